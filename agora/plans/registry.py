@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {}
 # Plan modules that register queries on import.
 PLAN_MODULES = (
     "agora.plans.catalog",
+    "agora.plans.catalog_export",
 )
 
 

@@ -33,8 +33,7 @@ B1_LINEITEM_FIRST = """
 b1_li AS (
   SELECT * FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-    ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-             l_discount, l_tax, l_returnflag, l_linestatus) = 1)"""
+    ORDER BY l_shipdate, l_partkey, l_suppkey, l_linestatus) = 1)"""
 
 B1_COMMENTS = B1_LINEITEM_FIRST + """,
 b1_comments AS (
