@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 PLAN_MODULES = (
     "agora.plans.catalog",
     "agora.plans.catalog_export",
+    "agora.plans.catalog_ingest",
 )
 
 

@@ -74,3 +74,31 @@ b3_comments AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
+
+
+def two_key_first_wins(base: str, key1: list[str], key2: list[str], out: str) -> str:
+    """Recursive-CTE form of the two-unique-key first-wins insert.
+
+    ``base`` is a SELECT giving column ``o`` (unique ordinal) and the key
+    columns; rounds keep the rows earliest in both key groups and reject their
+    neighbours until no row is undecided. NULL keys never collide.
+    """
+    k1, k2 = ", ".join(key1), ", ".join(key2)
+    n1 = " OR ".join(f"{c} IS NULL" for c in key1)
+    n2 = " OR ".join(f"{c} IS NULL" for c in key2)
+    cols = ", ".join(["o"] + key1 + key2)
+    return f"""
+WITH RECURSIVE base AS ({base}),
+it({cols}, st) AS (
+  SELECT {cols}, 'u' FROM base
+  UNION ALL
+  SELECT {cols},
+         CASE WHEN kept THEN 'k'
+              WHEN (NOT ({n1}) AND bool_or(kept) OVER (PARTITION BY {k1}))
+                OR (NOT ({n2}) AND bool_or(kept) OVER (PARTITION BY {k2})) THEN 'r'
+              ELSE 'u' END
+  FROM (SELECT *, (({n1}) OR o = min(o) OVER (PARTITION BY {k1}))
+                  AND (({n2}) OR o = min(o) OVER (PARTITION BY {k2})) AS kept
+        FROM it WHERE st = 'u') s),
+kept AS (SELECT {cols} FROM it WHERE st = 'k')
+{out}"""
