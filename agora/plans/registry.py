@@ -15,6 +15,7 @@ PLAN_MODULES = (
     "agora.plans.catalog",
     "agora.plans.catalog_export",
     "agora.plans.catalog_ingest",
+    "agora.plans.catalog_text",
 )
 
 
