@@ -16,6 +16,7 @@ PLAN_MODULES = (
     "agora.plans.catalog_export",
     "agora.plans.catalog_ingest",
     "agora.plans.catalog_text",
+    "agora.plans.catalog_extract",
 )
 
 
