@@ -17,6 +17,7 @@ PLAN_MODULES = (
     "agora.plans.catalog_ingest",
     "agora.plans.catalog_text",
     "agora.plans.catalog_extract",
+    "agora.plans.catalog_annotate",
 )
 
 
