@@ -18,6 +18,7 @@ PLAN_MODULES = (
     "agora.plans.catalog_text",
     "agora.plans.catalog_extract",
     "agora.plans.catalog_annotate",
+    "agora.plans.catalog_stream",
 )
 
 
