@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from agora import schemas
 from agora.operators import search
+from agora.operators.ingest import cut_lineage
 
 
 def normalize(df: DataFrame, entity: str) -> DataFrame:
@@ -90,10 +91,14 @@ def combined(groups: DataFrame | None, posts: DataFrame | None,
 
 
 def fetch_for_export(posts: DataFrame, comments: DataFrame, groups: DataFrame,
-                     filters: dict | None = None, entity: str = "posts") -> dict:
+                     filters: dict | None = None, entity: str = "posts",
+                     materialize: bool = False) -> dict:
     """The DataFrames to export for ``entity`` in posts / comments / groups / all.
 
     Returns ``{"posts", "comments", "groups", "combined"}`` -> DataFrame or None.
+    With ``materialize`` the selected posts and their comments are written once
+    to the shared checkpoint folder, so several writes (one per entity, plus
+    the empty checks) reuse them instead of re-running the search.
     """
     if entity not in ("posts", "comments", "groups", "all"):
         raise ValueError(f"unknown entity {entity!r}")
@@ -102,11 +107,15 @@ def fetch_for_export(posts: DataFrame, comments: DataFrame, groups: DataFrame,
     selected = None
     if entity in ("posts", "comments", "all"):
         selected = search.search_posts(posts, comments, order=False, **filters)
+        if materialize:
+            selected = cut_lineage(selected)
     if entity in ("groups", "all"):
         out["groups"] = groups
     if entity in ("posts", "all"):
         out["posts"] = selected
     if entity in ("comments", "all"):
         out["comments"] = search.comments_of(selected, comments)
+        if materialize:
+            out["comments"] = cut_lineage(out["comments"])
     out["combined"] = combined(out["groups"], out["posts"], out["comments"])
     return out

@@ -116,6 +116,7 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
         work = work.join(s1, "_k1", "left_anti").join(s2, "_k2", "left_anti")
     work = cut_lineage(work)
     kept_parts: list[DataFrame] = []
+    cached: list[DataFrame] = []
     rounds = 0
     while not work.isEmpty():
         rounds += 1
@@ -124,10 +125,12 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
         m1 = work.filter(F.col("_k1").isNotNull()).groupBy("_k1").agg(F.min("_o").alias("_m1"))
         m2 = work.filter(F.col("_k2").isNotNull()).groupBy("_k2").agg(F.min("_o").alias("_m2"))
         cand = work.join(m1, "_k1", "left").join(m2, "_k2", "left")
-        kept = cut_lineage(cand.filter(
+        # kept rows are few and rebuilt from the checkpointed ``work`` if lost
+        kept = cand.filter(
             (F.col("_k1").isNull() | (F.col("_o") == F.col("_m1")))
-            & (F.col("_k2").isNull() | (F.col("_o") == F.col("_m2"))))
-            .select("_o", "_k1", "_k2"))
+            & (F.col("_k2").isNull() | (F.col("_o") == F.col("_m2")))).select(
+            "_o", "_k1", "_k2").persist()
+        cached.append(kept)
         kept_parts.append(kept.select("_o"))
         taken1 = kept.select("_k1").filter(F.col("_k1").isNotNull())
         taken2 = kept.select("_k2").filter(F.col("_k2").isNotNull())
@@ -141,7 +144,9 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
     else:
         kept_all = incoming.sparkSession.createDataFrame([], "_o " + dict(
             incoming.select(ordinal).dtypes)[ordinal])
-    kept_all = kept_all.withColumnRenamed("_o", ordinal)
+    kept_all = cut_lineage(kept_all.withColumnRenamed("_o", ordinal))
+    for c in cached:
+        c.unpersist()
     inserted = incoming.join(kept_all, ordinal, "left_semi")
     ignored = incoming.join(kept_all, ordinal, "left_anti")
     log.info("two-key insert converged in %d rounds", rounds)

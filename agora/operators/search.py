@@ -112,8 +112,14 @@ def search_posts(posts: DataFrame, comments: DataFrame, *, group_id=None, filter
                  filter_value=None, category=None, start_date=None, end_date=None,
                  end_exclusive=False, post_author=None, comment_author=None, keyword=None,
                  min_comments=None, max_comments=None, is_idea=False, limit=None,
-                 order=True) -> DataFrame:
-    """Annotated posts matching every given filter, with ``comment_count``."""
+                 order=True, prefilter: bool | None = None) -> DataFrame:
+    """Annotated posts matching every given filter, with ``comment_count``.
+
+    ``prefilter`` (default: when a post predicate beyond F1 is given) first
+    semi-joins the comments to the matching post ids, so a selective search
+    aggregates only the comments of its posts; AQE broadcasts the id side when
+    it is measured small, which filters the comments map-side with no shuffle.
+    """
     preds = post_predicates(group_id=group_id, filter_field=filter_field,
                             filter_value=filter_value, category=category,
                             start_date=start_date, end_date=end_date,
@@ -123,7 +129,12 @@ def search_posts(posts: DataFrame, comments: DataFrame, *, group_id=None, filter
     for pr in preds:
         p = p.filter(pr)
 
-    act = comment_activity(comments, comment_author=comment_author, keyword=keyword)
+    if prefilter is None:
+        prefilter = len(preds) > 1
+    c = comments
+    if prefilter:
+        c = comments.join(p.select("internal_post_id"), "internal_post_id", "left_semi")
+    act = comment_activity(c, comment_author=comment_author, keyword=keyword)
     j = p.join(act, "internal_post_id", "left").withColumn(
         "comment_count", F.coalesce(F.col("comment_count"), F.lit(0)).cast("bigint"))
 

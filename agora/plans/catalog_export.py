@@ -43,9 +43,9 @@ COMMENT_EXPORT_COLS = list(schemas.ESSENTIAL_FIELDS["comments"]) + [
     "comment_scraped_at", "external_comment_id", "internal_post_id"]
 
 
-def _data(spark, sf_dir, entity):
+def _data(spark, sf_dir, entity, materialize=False):
     return export.fetch_for_export(B.posts_b1(spark, sf_dir), B.comments_b1(spark, sf_dir),
-                                   B.groups_b1(spark, sf_dir), FILTERS, entity)
+                                   B.groups_b1(spark, sf_dir), FILTERS, entity, materialize)
 
 
 @register("export_posts", SB.with_(SB.B1) + _SELECTED + """
@@ -82,7 +82,7 @@ def q_export_combined(spark, sf_dir):
 
 
 def _roundtrip(spark, sf_dir, fmt):
-    data = _data(spark, sf_dir, "all")
+    data = _data(spark, sf_dir, "all", materialize=True)
     base = scratch_path(spark, f"export-{fmt}") + "/"
     written = sinks.export(data, base, fmt, spark)
     schema = data["combined"].schema
