@@ -156,6 +156,15 @@ def select_one(root: Node, selectors) -> Node | None:
     return None
 
 
+def first_match(root: Node, selectors) -> Node | None:
+    """Rule cascade: the first element matching the first selector that matches."""
+    for sel in selectors:
+        n = select_one(root, [sel])
+        if n is not None:
+            return n
+    return None
+
+
 def select_all(root: Node, selectors) -> list[Node]:
     ms = [_matcher(s) for s in selectors]
     return [n for n in root.iter() if any(m(n) for m in ms)]

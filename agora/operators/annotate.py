@@ -149,7 +149,9 @@ def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
     Returns rows + ``tokens``, ``shard``, ``bucket``, ``batch_seq`` and
     ``batch_id`` = "<shard>/<bucket>/<seq>".
     """
-    keyed = rows.select("*", shard.cast("string").alias("shard"),
+    reserved = {"shard", "bucket", "tokens", "ordinal", "batch_seq", "batch_id"}
+    keyed = rows.select(*[F.col(c) for c in rows.columns if c not in reserved],
+                        shard.cast("string").alias("shard"),
                         F.floor(F.col(id_col) / F.lit(bucket_ids)).cast("bigint").alias("bucket"),
                         token_estimate(F.col(text_col)).alias("tokens"),
                         F.col(id_col).alias("ordinal"))

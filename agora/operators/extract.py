@@ -57,11 +57,13 @@ def _rules_fn(rules: dict, fields: tuple):
     bg = re.compile(_BG_URL)
 
     def first_text(node, sels, sep=" "):
-        n = H.select_one(node, sels)
-        if n is None:
-            return None
-        t = n.text(sep)
-        return t or None
+        # the first rule giving a non-empty text wins
+        for sel in sels:
+            n = H.select_one(node, [sel])
+            t = n.text(sep) if n is not None else ""
+            if t:
+                return t
+        return None
 
     def image_of(n):
         if n is None:
@@ -74,7 +76,7 @@ def _rules_fn(rules: dict, fields: tuple):
         return m.group(1) if m else None
 
     def body(root):
-        cont = H.select_one(root, rules["text_container"])
+        cont = H.first_match(root, rules["text_container"])
         text = None
         if cont is not None:
             parts = [e.text(" ") for e in cont.elements() if not H.has_button(e)]
@@ -85,7 +87,7 @@ def _rules_fn(rules: dict, fields: tuple):
         return text
 
     def time_of(node, sels):
-        n = H.select_one(node, sels)
+        n = H.first_match(node, sels)
         if n is None:
             return None
         v = n.attrs.get("title") or n.attrs.get("datetime") or n.text(" ")
@@ -96,11 +98,11 @@ def _rules_fn(rules: dict, fields: tuple):
         for i, c in enumerate(H.select_all(root, rules["comment"])):
             name = first_text(c, rules["comment_name"]) if "comments" in want else None
             txt = first_text(c, rules["comment_text"]) or c.text(" ") or None
-            link = H.select_one(c, rules["comment_id_link"])
-            anyl = H.select_one(c, ["a[href]"])
+            link = H.first_match(c, rules["comment_id_link"])
+            anyl = H.first_match(c, ["a[href]"])
             out.append({
                 "pos": i,
-                "commenter_profile_pic_url": image_of(H.select_one(c, rules["comment_pic"])),
+                "commenter_profile_pic_url": image_of(H.first_match(c, rules["comment_pic"])),
                 "commenter_name": name,
                 "comment_text": txt,
                 "href": (link or anyl).attrs.get("href") if (link or anyl) is not None else None,
@@ -112,12 +114,12 @@ def _rules_fn(rules: dict, fields: tuple):
     def one(html):
         root = H.parse(html)
         return {
-            "author_pic": image_of(H.select_one(root, rules["author_pic"]))
+            "author_pic": image_of(H.first_match(root, rules["author_pic"]))
             if "post_author_profile_pic_url" in want else None,
             "author_name": first_text(root, rules["author_name"])
             if "post_author_name" in want else None,
             "content_text": body(root) if "content_text" in want else None,
-            "image_url": image_of(H.select_one(root, rules["image"]))
+            "image_url": image_of(H.first_match(root, rules["image"]))
             if "post_image_url" in want else None,
             "time_text": time_of(root, rules["time"]) if "posted_at" in want else None,
             "comments": comments(root) if "comments" in want else [],

@@ -58,8 +58,9 @@ def write_entity(df: DataFrame, path: str, file_format: str, entity: str,
                  mode: str = "errorifexists") -> None:
     shaped = normalize(df, entity) if entity != "combined" else df
     if file_format == "csv":
+        # RFC 4180: quotes are doubled, not backslash-escaped
         (csv_ready(shaped).write.mode(mode).option("header", True).option("encoding", "UTF-8")
-         .option("nullValue", "").csv(path))
+         .option("escape", '"').option("nullValue", "").csv(path))
     elif file_format == "json":
         (shaped.write.mode(mode).option("ignoreNullFields", False)
          .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").json(path))
@@ -91,7 +92,7 @@ def export(data: dict, base_path: str, file_format: str = "csv",
 def read_back(spark: SparkSession, path: str, file_format: str, schema) -> DataFrame:
     if file_format == "csv":
         return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8") \
-            .option("multiLine", True).csv(path)
+            .option("escape", '"').option("multiLine", True).csv(path)
     return spark.read.schema(schema).json(path)
 
 
