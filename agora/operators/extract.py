@@ -27,6 +27,13 @@ DEFAULT_RULES = {
     "generic_text": ["div[dir=auto]"],
     "image": ["img[src]", "div[style*=background-image]"],
     "time": ["abbr[title]", "time[datetime]"],
+    "time_link_text": ["a[href*=/posts/] span[data-lexical-text=true]",
+                       "a[href*=/videos/] span[data-lexical-text=true]",
+                       "a[href*=/photos/] span[data-lexical-text=true]"],
+    # links whose title / aria-label / short text may hold the time, in page order
+    "time_candidates": ["div[role=article] a[href*=/posts/]", "div[role=article] a[href*=/videos/]",
+                        "div[role=article] a[href*=/photos/]", "div[role=article] a[aria-label]"],
+    "time_marker": ["abbr", "a span[data-lexical-text=true]"],
     "comment": ["li"],
     "comment_pic": ["image[href]", "img[src]"],
     "comment_name": ["a"],
@@ -41,7 +48,8 @@ ALL_FIELDS = ("post_author_profile_pic_url", "post_author_name", "content_text",
 COMMENT_STRUCT = ("array<struct<pos:int,commenter_profile_pic_url:string,commenter_name:string,"
                   "comment_text:string,href:string,data_comment_id:string,time_text:string>>")
 RAW_SCHEMA = ("page_id bigint, url string, author_pic string, author_name string, "
-              "content_text string, image_url string, time_text string, comments " + COMMENT_STRUCT)
+              "content_text string, image_url string, time_text string, "
+              "time_candidates array<string>, has_time_marker boolean, comments " + COMMENT_STRUCT)
 
 _BG_URL = r'background-image:\s*url\("?([^")]*)"?\)'
 
@@ -93,6 +101,25 @@ def _rules_fn(rules: dict, fields: tuple):
         v = n.attrs.get("title") or n.attrs.get("datetime") or n.text(" ")
         return v or None
 
+    def post_time(root):
+        """E5 steps 1-2: attribute time, then the permalink's time text."""
+        return time_of(root, rules["time"]) or first_text(root, rules["time_link_text"], "")
+
+    def time_candidates(root, author):
+        """E5 step 3: title / aria-label (> 5 chars) / short text of candidate links,
+        in page order; Spark keeps the first that parses."""
+        out = []
+        for a in H.select_all(root, rules["time_candidates"]):
+            for attr in ("title", "aria-label"):
+                v = a.attrs.get(attr)
+                if v and len(v) > 5:
+                    out.append(v)
+            t = a.text("")
+            low = t.lower()
+            if 2 < len(t) < 30 and low != (author or "").lower() and "comment" not in low:
+                out.append(t)
+        return out
+
     def comments(root):
         out = []
         for i, c in enumerate(H.select_all(root, rules["comment"])):
@@ -113,15 +140,19 @@ def _rules_fn(rules: dict, fields: tuple):
 
     def one(html):
         root = H.parse(html)
+        author = first_text(root, rules["author_name"])
+        tt = post_time(root) if "posted_at" in want else None
         return {
             "author_pic": image_of(H.first_match(root, rules["author_pic"]))
             if "post_author_profile_pic_url" in want else None,
-            "author_name": first_text(root, rules["author_name"])
-            if "post_author_name" in want else None,
+            "author_name": author if "post_author_name" in want else None,
             "content_text": body(root) if "content_text" in want else None,
             "image_url": image_of(H.first_match(root, rules["image"]))
             if "post_image_url" in want else None,
-            "time_text": time_of(root, rules["time"]) if "posted_at" in want else None,
+            "time_text": tt,
+            "time_candidates": time_candidates(root, author)
+            if "posted_at" in want and tt is None else [],
+            "has_time_marker": H.first_match(root, rules["time_marker"]) is not None,
             "comments": comments(root) if "comments" in want else [],
         }
 
@@ -129,7 +160,8 @@ def _rules_fn(rules: dict, fields: tuple):
         for pdf in batches:
             rows = [one(h) for h in pdf["html"]]
             out = pd.DataFrame(rows, columns=["author_pic", "author_name", "content_text",
-                                              "image_url", "time_text", "comments"])
+                                              "image_url", "time_text", "time_candidates",
+                                              "has_time_marker", "comments"])
             out.insert(0, "url", pdf["url"].values)
             out.insert(0, "page_id", pdf["page_id"].values)
             yield out
@@ -149,8 +181,12 @@ def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
     fields = tuple(fields) if fields else ALL_FIELDS
     raw = pages.select("page_id", "url", "html").mapInPandas(_rules_fn(rules, fields), RAW_SCHEMA)
     base = base_ts if base_ts is not None else F.localtimestamp()
-    ident = urls.post_identity(F.col("url"), host, F.col("time_text").isNotNull(),
-                               F.col("page_id"))
+    ident = urls.post_identity(F.col("url"), host, F.col("has_time_marker"), F.col("page_id"))
+    # E5: direct time text, else the first candidate that parses (X5, JVM-side)
+    parses = F.filter("time_candidates",
+                      lambda c: timeparse.parse_time_text(c, base).isNotNull())
+    raw = raw.withColumn("time_text", F.coalesce(F.col("time_text"),
+                                                 F.try_element_at(parses, F.lit(1))))
     posts = raw.select(
         "page_id", ident["post_url"].alias("post_url"), ident["post_id"].alias("external_post_id"),
         F.col("author_pic").alias("post_author_profile_pic_url"),

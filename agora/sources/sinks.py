@@ -118,6 +118,21 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
 
 
+def typed_read(df: DataFrame) -> DataFrame:
+    """Rows stored the legacy way (keyword lists as JSON text, possibly encoded
+    twice; flags as 0/1 integers) -> the typed table columns. Bad keyword JSON
+    gives an empty list."""
+    from agora.functions.answers import keywords_from_text
+    out = df
+    for c in ("ai_keywords", "ai_comment_keywords"):
+        if c in df.columns and not isinstance(df.schema[c].dataType, T.ArrayType):
+            out = out.withColumn(c, keywords_from_text(F.col(c).cast("string")))
+    for c in ("ai_is_potential_idea", "is_processed_by_ai", "is_processed_by_ai_comment"):
+        if c in df.columns and not isinstance(df.schema[c].dataType, T.BooleanType):
+            out = out.withColumn(c, F.col(c).cast("int") != 0)
+    return out
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

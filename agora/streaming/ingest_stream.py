@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.operators import ingest
+from agora.operators.stats import run_counters
 
 log = logging.getLogger(__name__)
 
@@ -40,34 +41,49 @@ def read_store(spark: SparkSession, store: str) -> DataFrame | None:
     return spark.read.parquet(store)
 
 
-def _write_batch(df: DataFrame, store: str, batch_id: int) -> None:
-    (df.withColumn(BATCH_COL, F.lit(int(batch_id)))
+def _write_batch(df: DataFrame, store: str, batch_id: int, metrics: list | None = None) -> None:
+    """Write the batch's rows; A10: the inserted count is observed during the write."""
+    out, obs = run_counters(df, f"inserted_{batch_id}_{id(df)}", inserted=F.count(F.lit(1)))
+    (out.withColumn(BATCH_COL, F.lit(int(batch_id)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BATCH_COL).parquet(store))
+    if metrics is not None:
+        metrics.append({"batch_id": int(batch_id), **obs.get})
 
 
-def one_key_sink(store: str, key_cols: list[str], ordinal: str) -> Callable[[DataFrame, int], None]:
+def one_key_sink(store: str, key_cols: list[str], ordinal: str, metrics: list | None = None
+                 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: first-wins insert on one unique key (M2 + ST2)."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = read_store(spark, store)
         if stored is not None:
             stored = stored.filter(F.col(BATCH_COL) != F.lit(int(batch_id))).drop(BATCH_COL)
-        inserted, ignored = ingest.insert_one_key(stored, batch, key_cols, ordinal)
-        _write_batch(inserted, store, batch_id)
+        # the micro-batch feeds several jobs: read (and prepare) it once
+        batch = batch.persist()
+        try:
+            inserted, ignored = ingest.insert_one_key(stored, batch, key_cols, ordinal)
+            _write_batch(inserted, store, batch_id, metrics)
+        finally:
+            batch.unpersist()
     return process
 
 
-def two_key_sink(store: str, key1: list[str], key2: list[str], ordinal: str
-                 ) -> Callable[[DataFrame, int], None]:
+def two_key_sink(store: str, key1: list[str], key2: list[str], ordinal: str,
+                 metrics: list | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: first-wins insert on two unique keys (M1 + ST2)."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = read_store(spark, store)
         if stored is not None:
             stored = stored.filter(F.col(BATCH_COL) != F.lit(int(batch_id))).drop(BATCH_COL)
-        inserted, _, _ = ingest.insert_two_keys(stored, batch, key1, key2, ordinal)
-        _write_batch(inserted, store, batch_id)
+        # the micro-batch feeds several jobs: read (and prepare) it once
+        batch = batch.persist()
+        try:
+            inserted, _, _ = ingest.insert_two_keys(stored, batch, key1, key2, ordinal)
+            _write_batch(inserted, store, batch_id, metrics)
+        finally:
+            batch.unpersist()
     return process
 
 

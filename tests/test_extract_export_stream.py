@@ -54,6 +54,20 @@ def test_extract_literal_page(spark):
     assert flat["Cy"]["external_comment_id"] == "77"
 
 
+def test_time_candidates(spark):
+    page = """<div role="article"><h2><strong>Ann</strong></h2>
+      <a href="/groups/g/posts/9" aria-label="Ann">Ann</a>
+      <a aria-label="Comments">12 comments</a>
+      <a href="/groups/g/posts/9" title="see">Ann</a>
+      <a href="/groups/g/posts/9">March 3 at 5:00 PM</a><p>text</p></div>"""
+    pages = spark.createDataFrame([(1, "https://www.facebook.com/groups/g/posts/9", page)],
+                                  "page_id long, url string, html string")
+    base = F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")
+    r = extract.extract_pages(pages, "facebook.com", base_ts=base).first()
+    assert r["time_text"] == "March 3 at 5:00 PM"
+    assert str(r["posted_at"]) == "2024-03-03 17:00:00"
+
+
 def test_field_selection(spark):
     pages = spark.createDataFrame([(1, "https://www.facebook.com/groups/g/posts/5", PAGE)],
                                   "page_id long, url string, html string")
@@ -112,13 +126,34 @@ def test_stream_equals_batch(spark):
     def prep(df):
         return df.select(F.col("event_id").cast("string").alias("ext"), "user_id",
                          F.struct("ts", "event_id").alias("ordinal"))
+    metrics = []
     info = S.run_ingest_stream(spark, landing, ev.schema, store, scratch_path(spark, "t-ckpt"),
-                               prep, S.one_key_sink(store, ["ext"], "ordinal"),
+                               prep, S.one_key_sink(store, ["ext"], "ordinal", metrics),
                                max_files_per_trigger=2)
     assert info["batches"] >= 3                                            # rounds bounded
+    assert sum(m["inserted"] for m in metrics) == ev.count()               # A10 counters
+    assert info["input_rows"] == 2 * ev.count()
     got = sorted(r["ext"] for r in spark.read.parquet(store).collect())
     assert got == sorted(str(r["event_id"]) for r in ev.collect())          # each once
     # a second run with nothing new lands nothing new (availableNow, ST4)
     S.run_ingest_stream(spark, landing, ev.schema, store, scratch_path(spark, "t-ckpt2"),
                         prep, S.one_key_sink(store, ["ext"], "ordinal"))
     assert spark.read.parquet(store).count() == len(got)
+
+
+def test_typed_read(spark):
+    df = spark.createDataFrame([('["a","b"]', 1, 0), ('"[\\"x\\"]"', 0, 1), ("not json", None, 1)],
+                               "ai_keywords string, ai_is_potential_idea int, is_processed_by_ai int")
+    rows = sinks.typed_read(df).collect()
+    assert [r["ai_keywords"] for r in rows] == [["a", "b"], ["x"], []]
+    assert [r["ai_is_potential_idea"] for r in rows] == [True, False, None]
+    assert [r["is_processed_by_ai"] for r in rows] == [False, True, True]
+
+
+def test_bootstrap_tables(spark):
+    root = scratch_path(spark, "t-store-tables")
+    assert not sinks.tables_present(spark, root)
+    sinks.bootstrap(spark, root)
+    assert sinks.tables_present(spark, root)
+    got = sinks.read_table(spark, root, "posts").schema
+    assert [(f.name, f.dataType) for f in got] == [(f.name, f.dataType) for f in schemas.POSTS]
