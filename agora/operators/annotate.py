@@ -304,14 +304,19 @@ def call_with_retry(fn, *args, initial=schemas.RETRY_INITIAL_S,
 
 
 def annotate_prompts(prompts: DataFrame, annotator: str = "offline", options: dict | None = None,
-                     retry: dict | None = None) -> DataFrame:
+                     retry: dict | None = None, concurrency: int | None = None) -> DataFrame:
     """UDF1/UDF2: (batch_id, system, user) -> + answer (NULL when the call failed).
 
     An Arrow-batched iterator UDF: the annotator is built once per task. The
+    prompts are spread over ``concurrency`` partitions (default: the cluster's
+    parallelism) — an explicit count that AQE does not coalesce — so that many
+    calls run at once and the knob matches the model service's rate limit. The
     answers are checkpointed to the shared folder before anything reads them,
     so a re-evaluated plan never calls the model again.
     """
     name, opts, rkw = annotator, dict(options or {}), dict(retry or {})
+    n = concurrency or prompts.sparkSession.sparkContext.defaultParallelism
+    prompts = prompts.repartition(int(n), "batch_id")
 
     @F.pandas_udf(T.StringType())
     def call(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -54,6 +54,18 @@ RAW_SCHEMA = ("page_id bigint, url string, author_pic string, author_name string
 _BG_URL = r'background-image:\s*url\("?([^")]*)"?\)'
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy Python work every core: when the planned input has fewer
+    partitions than the cluster's parallelism (a few large files), spread it
+    round-robin; a big input already has many partitions and is left alone."""
+    if df.isStreaming:          # micro-batches are sized by maxFilesPerTrigger
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def _rules_fn(rules: dict, fields: tuple):
     import re
 
@@ -179,7 +191,8 @@ def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
     """
     rules = {**DEFAULT_RULES, **(rules or {})}
     fields = tuple(fields) if fields else ALL_FIELDS
-    raw = pages.select("page_id", "url", "html").mapInPandas(_rules_fn(rules, fields), RAW_SCHEMA)
+    src = spread(pages.select("page_id", "url", "html"))
+    raw = src.mapInPandas(_rules_fn(rules, fields), RAW_SCHEMA)
     base = base_ts if base_ts is not None else F.localtimestamp()
     ident = urls.post_identity(F.col("url"), host, F.col("has_time_marker"), F.col("page_id"))
     # E5: direct time text, else the first candidate that parses (X5, JVM-side)

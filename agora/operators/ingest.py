@@ -48,21 +48,26 @@ def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal",
                  start: int = 1) -> DataFrame:
     """Dense 1-based (``start``-based) BIGINT ordinal in ``order_cols`` order.
 
-    Distributed: range-partition + per-partition row numbers + a prefix sum over
-    the per-partition counts (one row per partition, so its broadcast is bounded
-    by the partition count). The input is checkpointed first so partition
-    assignment is stable if a task is retried.
+    Distributed, no window and no single partition: range-partition and sort
+    within partitions, checkpoint (fixes partition contents and row order, so a
+    retried task sees the same rows), take each row's position inside its
+    partition from ``monotonically_increasing_id`` (partition index in the high
+    bits, position in the low bits), and add the prefix sum of the per-partition
+    counts (one row per partition, so its broadcast is bounded by the partition
+    count).
     """
-    ordered = df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id())
-    ordered = cut_lineage(ordered)
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols))
+    mid = F.monotonically_increasing_id()
+    pos = (ordered.withColumn("_mid", mid)
+           .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+           .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)))
+    counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(
             Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (ordered.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .withColumn(name, F.lit(start - 1) + F.col("_off") + F.row_number().over(w))
-            .drop("_pid", "_off"))
+    return (pos.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
+            .withColumn(name, (F.lit(start) + F.col("_off") + F.col("_pos")).cast("bigint"))
+            .drop("_pid", "_off", "_pos", "_mid"))
 
 
 def first_per_key(df: DataFrame, key: Column, ordinal: str) -> DataFrame:
@@ -115,7 +120,11 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
         s2 = stored.select(k2.alias("_k2")).filter(F.col("_k2").isNotNull()).distinct()
         work = work.join(s1, "_k1", "left_anti").join(s2, "_k2", "left_anti")
     work = cut_lineage(work)
-    kept_parts: list[DataFrame] = []
+    # rows with both keys NULL never collide: kept now; every later kept row has a
+    # non-NULL key, so the anti-joins on the taken keys also drop it from ``work``
+    both_null = F.col("_k1").isNull() & F.col("_k2").isNull()
+    kept_parts: list[DataFrame] = [work.filter(both_null).select("_o")]
+    work = work.filter(~both_null)
     cached: list[DataFrame] = []
     rounds = 0
     while not work.isEmpty():
@@ -134,16 +143,11 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
         kept_parts.append(kept.select("_o"))
         taken1 = kept.select("_k1").filter(F.col("_k1").isNotNull())
         taken2 = kept.select("_k2").filter(F.col("_k2").isNotNull())
-        work = cut_lineage(work.join(kept.select("_o"), "_o", "left_anti")
-                           .join(taken1, "_k1", "left_anti")
+        work = cut_lineage(work.join(taken1, "_k1", "left_anti")
                            .join(taken2, "_k2", "left_anti"))
-    if kept_parts:
-        kept_all = kept_parts[0]
-        for p in kept_parts[1:]:
-            kept_all = kept_all.unionByName(p)
-    else:
-        kept_all = incoming.sparkSession.createDataFrame([], "_o " + dict(
-            incoming.select(ordinal).dtypes)[ordinal])
+    kept_all = kept_parts[0]
+    for p in kept_parts[1:]:
+        kept_all = kept_all.unionByName(p)
     kept_all = cut_lineage(kept_all.withColumnRenamed("_o", ordinal))
     for c in cached:
         c.unpersist()
