@@ -210,3 +210,18 @@ SELECT DISTINCT CAST(CAST(ai_is_potential_idea AS INTEGER) AS VARCHAR) AS value
 FROM b1_posts WHERE ai_is_potential_idea IS NOT NULL""")
 def q_distinct_values_flag(spark, sf_dir):
     return stats.distinct_values(B.posts_b1(spark, sf_dir), "ai_is_potential_idea")
+
+
+@register("avg_comments", SB.with_(SB.B1) + """
+SELECT (SELECT count(*) FROM b1_comments) AS total_comments,
+       (SELECT coalesce(avg(n), 0.0) FROM (SELECT count(comment_id) AS n FROM b1_comments
+                                           GROUP BY internal_post_id)) AS avg_comments_per_post""")
+def q_avg_comments(spark, sf_dir):
+    return stats.comment_counts(B.comments_b1(spark, sf_dir))
+
+
+@register("groups_list", SB.with_(SB.B1_GROUPS) + """
+SELECT group_id, group_name, group_url FROM b1_groups ORDER BY group_name, group_id""")
+def q_groups_list(spark, sf_dir):
+    return search.list_groups(B.groups_b1(spark, sf_dir)).select(
+        "group_id", "group_name", "group_url")
