@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from agora import schemas
 
-# fixed value: allowed id characters of a path segment
-ID_SEGMENT_CHARS = r"^[a-zA-Z0-9._-]+$"
-# fixed value: group-url shape (scheme, optional www., host, /groups/<name>)
-GROUP_URL_PATTERN = r"(?iU)^https?://(www\.)?(facebook\.com|fb\.com)/groups/[\w.-]+/?.*$"
+ID_SEGMENT_CHARS = schemas.ID_SEGMENT_CHARS
+# Python's \w is Unicode-aware: (?U) gives Java's regex the same meaning; (?i) = IGNORECASE
+GROUP_URL_PATTERN = "(?iU)" + schemas.GROUP_URL_PATTERN
 
 
 def _part(url: Column, which: str) -> Column:

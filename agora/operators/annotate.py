@@ -35,51 +35,9 @@ from agora.operators.ingest import cut_lineage, with_ordinal
 log = logging.getLogger(__name__)
 
 # ---------------------------------------------------------------- prompts (UDF5)
-# fixed values: the default instructions and the schema text appended to them
-DEFAULT_PROMPTS = {
-    "post_categorization": (
-        "You are an expert post categorizer. Analyze the following Facebook posts. "
-        "For each post, identify its primary category, a sub-category if applicable, "
-        "3-5 relevant keywords, a 1-2 sentence summary, whether it suggests a potential "
-        "project idea (true/false), "
-        "and provide a brief reasoning for your categorization. "
-        "Posts are provided with a temporary ID. Format your response as a JSON array of "
-        "objects, adhering to the provided schema. "
-        "Categories to use: Problem Statement, Project Idea, Question/Inquiry, "
-        "General Discussion, Other."
-    ),
-    "comment_analysis": (
-        "You are an expert comment analyzer. Analyze the following Facebook comments. "
-        "For each comment, categorize it, determine sentiment, extract keywords, and provide "
-        "a brief summary. "
-        "Format your response as a JSON array of objects, adhering to the provided schema. "
-        "Categories to use: 'question', 'suggestion', 'agreement', 'disagreement', "
-        "'positive_feedback', 'negative_feedback', 'neutral', 'off_topic'."
-    ),
-}
-POST_SCHEMA_FOR_PROMPT = """
-Expected JSON schema for each post:
-{
-    "postId": "POST_ID_X",
-    "category": "string (one of: Problem Statement, Project Idea, Question/Inquiry, General Discussion, Other)",
-    "subCategory": "string or null",
-    "keywords": ["keyword1", "keyword2", "keyword3"],
-    "summary": "1-2 sentence summary",
-    "isPotentialIdea": true/false,
-    "reasoning": "brief justification"
-}
-Return a JSON array of these objects.
-"""
-COMMENT_SCHEMA_FOR_PROMPT = """
-Expected JSON schema for each comment:
-{
-    "comment_id": "COMMENT_ID_X",
-    "category": "string (one of: question, suggestion_idea, agreement_positive_feedback, disagreement_negative_feedback, information_sharing, clarification_request, personal_experience, off_topic_other)",
-    "sentiment": "string (one of: positive, negative, neutral)",
-    "keywords": ["keyword1", "keyword2"]
-}
-Return a JSON array of these objects.
-"""
+DEFAULT_PROMPTS = schemas.DEFAULT_PROMPTS
+POST_SCHEMA_FOR_PROMPT = schemas.POST_SCHEMA_FOR_PROMPT
+COMMENT_SCHEMA_FOR_PROMPT = schemas.COMMENT_SCHEMA_FOR_PROMPT
 
 
 def get_prompt(prompt_type: str, include_schema: bool = False,
