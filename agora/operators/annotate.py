@@ -95,13 +95,14 @@ def _next_fit(max_tokens: int):
 
 def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
                  max_tokens: int = schemas.POST_BATCH_MAX_TOKENS,
-                 bucket_ids: int = 1_000_000) -> DataFrame:
+                 bucket_rows: int = 1_000_000) -> DataFrame:
     """Next-fit packing by token budget, in id order, within each shard.
 
     A batch closes when adding the next row would pass ``max_tokens``; a row
-    larger than the budget sits alone. Shards are independent tasks; a shard is
-    further split into id ranges of ``bucket_ids`` ids so no single pandas group
-    can grow with the data (a batch never spans two ranges). Only
+    larger than the budget sits alone. Shards are independent tasks. A shard is
+    further cut into buckets of ``bucket_rows`` consecutive rows (by a dense rank
+    over the narrow (shard, id) columns), so no pandas group grows with the data
+    however large one shard is; a batch never spans two buckets. Only
     (shard, bucket, id, tokens) go through Python.
 
     Returns rows + ``tokens``, ``shard``, ``bucket``, ``batch_seq`` and
@@ -110,15 +111,18 @@ def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
     reserved = {"shard", "bucket", "tokens", "ordinal", "batch_seq", "batch_id"}
     keyed = rows.select(*[F.col(c) for c in rows.columns if c not in reserved],
                         shard.cast("string").alias("shard"),
-                        F.floor(F.col(id_col) / F.lit(bucket_ids)).cast("bigint").alias("bucket"),
                         token_estimate(F.col(text_col)).alias("tokens"),
                         F.col(id_col).alias("ordinal"))
-    packed = (keyed.select("shard", "bucket", "ordinal", "tokens")
-              .groupBy("shard", "bucket")
+    narrow = with_ordinal(keyed.select("shard", "ordinal", "tokens"), ["shard", "ordinal"], "_g")
+    first = narrow.groupBy("shard").agg(F.min("_g").alias("_g0"))
+    bucketed = narrow.join(first, "shard").select(
+        "shard", "ordinal", "tokens",
+        F.floor((F.col("_g") - F.col("_g0")) / F.lit(bucket_rows)).cast("bigint").alias("bucket"))
+    packed = (bucketed.groupBy("shard", "bucket")
               .applyInPandas(_next_fit(max_tokens),
                              "shard string, bucket bigint, ordinal bigint, tokens bigint, "
                              "batch_seq bigint"))
-    out = keyed.drop("tokens").join(packed, ["shard", "bucket", "ordinal"])
+    out = keyed.drop("tokens").join(packed, ["shard", "ordinal"])
     return out.withColumn("batch_id", F.concat_ws("/", "shard", F.col("bucket").cast("string"),
                                                   F.col("batch_seq").cast("string")))
 

@@ -56,6 +56,16 @@ def test_packing_is_per_shard(spark):
     assert got == [0, 0, 0, 0, 1, 1]                  # 200 tokens each: two per batch
 
 
+def test_buckets_bound_groups_whatever_the_ids(spark):
+    # sparse ids: buckets follow row counts, not id ranges
+    rows = [(i * 10**12, "x" * 400, "s") for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "id long, text string, shard string")
+    out = sorted(AN.pack_batches(df, "id", "text", F.col("shard"), 10**6, bucket_rows=4)
+                 .select("ordinal", "bucket", "batch_seq").collect())
+    assert [r["bucket"] for r in out] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+    assert [r["batch_seq"] for r in out] == [0] * 10            # one batch per bucket
+
+
 def test_fixed_chunks(spark):
     df = spark.createDataFrame([(i * 3, "t") for i in range(12)], "comment_id long, t string")
     out = AN.fixed_chunks(df, "comment_id").collect()
