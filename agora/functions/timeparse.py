@@ -25,7 +25,8 @@ _REL = r"^(\d+)\s*(min|mins|minute|minutes|m|hr|hrs|hour|hours|h|day|days|d|week
 
 
 def _ntz(c: Column) -> Column:
-    # session time zone is UTC, so LTZ -> NTZ keeps the UTC wall clock
+    # a pattern parse gives the text's wall clock in the session zone; casting back
+    # to NTZ in the same zone returns that wall clock unchanged
     return c.cast("timestamp_ntz")
 
 
@@ -40,7 +41,12 @@ def parse_time_text(text: Column, base: Column) -> Column:
     base_year = F.year(base).cast("string")
     base_day = F.to_date(base)
 
-    iso = _ntz(s.try_cast("timestamp"))
+    # ISO: with an explicit offset it is an instant -> its UTC wall clock, whatever the
+    # session time zone; without one the text already is UTC wall-clock time
+    has_offset = s.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$") & s.rlike(r"\d[T ]\d")
+    instant = _ntz(s.try_cast("timestamp"))
+    iso = F.when(has_offset, F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)) \
+        .otherwise(s.try_cast("timestamp_ntz"))
     long_dt = F.coalesce(_fmt(s, "MMMM d, yyyy 'at' h:mm a"), _fmt(s, "MMMM d, yyyy"),
                          _fmt(s, "MMM d, yyyy 'at' h:mm a"), _fmt(s, "MMM d, yyyy"))
     with_year = F.concat(base_year, F.lit(" "), s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.functions import timeparse, urls
+from agora.plans import sql_bindings as SB
 from agora.plans.registry import register
 from agora.sources import bindings as B
 
@@ -59,10 +60,15 @@ def q_record_id(spark, sf_dir):
         F.when(on_host, F.coalesce(digits, seg)).alias("lang_segment_or_digits"))
 
 
-@register("post_identity")
+_IDENT = SB.url_identity_sql("url", HOST, "strpos(html, '<abbr') > 0", "page_id")
+
+
+@register("post_identity", f"""
+SELECT page_id, {_IDENT["post_url"]} AS post_url, {_IDENT["post_id"]} AS post_id,
+       {_IDENT["is_candidate"]} AS is_candidate
+FROM pages""")
 def q_post_identity(spark, sf_dir):
-    """Full permalink identity (X1+X2+X3+F16) of every page, no oracle
-    (the SHA-based fallback id has no DuckDB twin)."""
+    """Full permalink identity (X1+X2+X3+F16) of every page."""
     p = B.pages(spark, sf_dir)
     ident = urls.post_identity(F.col("url"), HOST, F.col("html").contains("<abbr"),
                                F.col("page_id"))

@@ -102,3 +102,27 @@ it({cols}, st) AS (
         FROM it WHERE st = 'u') s),
 kept AS (SELECT {cols} FROM it WHERE st = 'k')
 {out}"""
+
+
+def url_identity_sql(url: str, host: str, marker: str, key: str) -> dict[str, str]:
+    """SQL twins of the permalink identity (X1-X3, F16) for DuckDB."""
+    from agora import schemas
+    auth = f"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    canon = f"nullif(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*)', 1), '')"
+    path = f"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    query = f"regexp_extract({url}, '\\?([^#]*)', 1)"
+    on_host = f"coalesce(strpos(lower({auth}), '{host.lower()}') > 0, FALSE)"
+    cands = []
+    for name in schemas.ID_PATH_SEGMENTS:
+        seg = f"regexp_extract({path}, '^(?:[^/]*/)*?{name}/([^/]*)', 1)"
+        cands.append(f"CASE WHEN regexp_matches({seg}, '^[a-zA-Z0-9._-]+$') THEN {seg} END")
+    for k in schemas.ID_QUERY_KEYS:
+        v = f"url_decode(regexp_extract({query}, '(?:^|&){k}=([^&]*)', 1))"
+        cands.append(f"CASE WHEN trim({v}) <> '' THEN {v} END")
+    cands.append(f"nullif(regexp_extract({path}, '/(\\d{{10,}})', 1), '')")
+    post_url = f"CASE WHEN {on_host} THEN {canon} END"
+    cand = f"(({on_host} AND {canon} IS NOT NULL) OR {marker})"
+    rid = f"CASE WHEN {on_host} THEN coalesce({', '.join(cands)}) END"
+    pid = (f"CASE WHEN {cand} THEN coalesce({rid}, 'generated_' || substr(sha256("
+           f"coalesce({post_url}, '') || '|' || CAST({key} AS VARCHAR)), 1, 12)) END")
+    return {"post_url": post_url, "post_id": pid, "is_candidate": cand}

@@ -159,7 +159,8 @@ def comments_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
          .alias("external_comment_id"),
         # turn order stands in for scrape time: turn t -> epoch + t seconds
-        F.timestamp_seconds(F.col("turn")).cast("timestamp_ntz").alias("comment_scraped_at"),
+        F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0),
+                             F.col("turn").cast("decimal(16,6)")).alias("comment_scraped_at"),
         F.lit(False).alias("is_processed_by_ai_comment"),
     )
     return conform(df, schemas.COMMENTS)

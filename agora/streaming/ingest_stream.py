@@ -71,14 +71,19 @@ def one_key_sink(store: str, key_cols: list[str], ordinal: str, metrics: list |
 
 def two_key_sink(store: str, key1: list[str], key2: list[str], ordinal: str,
                  metrics: list | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: first-wins insert on two unique keys (M1 + ST2)."""
+    """foreachBatch body: first-wins insert on two unique keys (M1 + ST2).
+
+    Rows sharing an ordinal are one record landed more than once (a re-scrape
+    arriving in the same round); one copy is kept before the two-key rule, which
+    needs unique ordinals.
+    """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = read_store(spark, store)
         if stored is not None:
             stored = stored.filter(F.col(BATCH_COL) != F.lit(int(batch_id))).drop(BATCH_COL)
         # the micro-batch feeds several jobs: read (and prepare) it once
-        batch = batch.persist()
+        batch = batch.dropDuplicates([ordinal]).persist()
         try:
             inserted, _, _ = ingest.insert_two_keys(stored, batch, key1, key2, ordinal)
             _write_batch(inserted, store, batch_id, metrics)
