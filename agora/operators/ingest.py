@@ -184,10 +184,11 @@ def add_groups(groups: DataFrame, new: DataFrame, ordinal: str = "ordinal"
 
 
 def _append_groups(groups: DataFrame, inserted: DataFrame, ordinal: str) -> DataFrame:
-    base = groups.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("_base"))
+    # new ids continue after the current maximum: one scalar, read once
+    base = groups.agg(F.coalesce(F.max("group_id"), F.lit(0))).first()[0]
     ided = with_ordinal(inserted, [ordinal], "_seq")
-    new_rows = ided.crossJoin(F.broadcast(base)).select(
-        (F.col("_base") + F.col("_seq")).cast("bigint").alias("group_id"),
+    new_rows = ided.select(
+        (F.lit(int(base)) + F.col("_seq")).cast("bigint").alias("group_id"),
         "group_name", "group_url",
         F.lit(None).cast("timestamp_ntz").alias("last_scraped_at"))
     return groups.select(*new_rows.columns).unionByName(new_rows)

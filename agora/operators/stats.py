@@ -41,8 +41,19 @@ def comment_counts(comments: DataFrame) -> DataFrame:
 
 
 def overview(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """A1 A3 A4 A5 as one row (two aggregates, joined as 1x1)."""
-    return post_counts(posts).crossJoin(comment_counts(comments))
+    """A1 A3 A4 A5 as one row: posts and per-post comment counts are unioned and
+    reduced by ONE global aggregate (no join)."""
+    p = posts.select(F.lit(True).alias("_post"), (~F.col("is_processed_by_ai")).alias("_unp"),
+                     F.lit(None).cast("bigint").alias("_rows"),
+                     F.lit(None).cast("bigint").alias("_ids"))
+    c = comments.groupBy("internal_post_id").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("comment_id").alias("_ids")).select(
+        F.lit(False).alias("_post"), F.lit(None).cast("boolean").alias("_unp"), "_rows", "_ids")
+    return p.unionByName(c).agg(
+        F.count_if(F.col("_post")).alias("total_posts"),
+        F.count_if(F.col("_post") & F.col("_unp")).alias("unprocessed_posts"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("total_comments"),
+        F.coalesce(F.avg("_ids"), F.lit(0.0)).alias("avg_comments_per_post"))
 
 
 def posts_per_category(posts: DataFrame) -> DataFrame:
