@@ -259,3 +259,58 @@ def cap_per_group(df: DataFrame, group_cols: list[str], ordinal: str, n: int) ->
     """
     w = Window.partitionBy(*group_cols).orderBy(F.col(ordinal))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+# ---------------------------------------------------------------- records -> store
+def _next_ids(existing: DataFrame, id_col: str, new: DataFrame, order_cols: list[str],
+              out_col: str) -> DataFrame:
+    """New surrogate ids continuing after the stored maximum, dense in ``order_cols`` order."""
+    base = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    return with_ordinal(new, order_cols, "_seq").withColumn(
+        out_col, (F.lit(int(base)) + F.col("_seq")).cast("bigint")).drop("_seq")
+
+
+def resolve_post_ids(records: DataFrame, posts: DataFrame) -> DataFrame:
+    """Q10: the stored post of each record — by external id, else by url."""
+    by_ext = posts.filter(F.col("external_post_id").isNotNull()).select(
+        "external_post_id", F.col("internal_post_id").alias("_by_ext"))
+    by_url = posts.filter(F.col("post_url").isNotNull()).select(
+        "post_url", F.col("internal_post_id").alias("_by_url"))
+    return (records.join(by_ext, "external_post_id", "left").join(by_url, "post_url", "left")
+            .withColumn("internal_post_id", F.coalesce("_by_ext", "_by_url"))
+            .drop("_by_ext", "_by_url"))
+
+
+def ingest_records(posts: DataFrame, comments: DataFrame, records: DataFrame,
+                   group_id: int, ordinal: str = "page_id") -> dict:
+    """ST1 body in batch form: extracted records -> posts (M1), comments.
+
+    ``records`` carry ``external_post_id``, ``post_url``, post fields and nested
+    ``comments`` (the extraction output). Posts are inserted first-wins on both
+    unique keys; every record - inserted or already stored - is then resolved to
+    its stored post (Q10) and its comments are inserted first-wins on the
+    external comment id. Returns the new table snapshots and the run counts.
+    """
+    from agora import schemas
+    from agora.operators.extract import explode_comments
+    from agora.sources.bindings import conform
+    recs = records.withColumn("group_id", F.lit(int(group_id)).cast("bigint"))
+    recs = cut_lineage(recs)
+    ins, ign, _ = insert_two_keys(posts, recs, ["external_post_id"], ["post_url"], ordinal)
+    new_posts = _next_ids(posts, "internal_post_id", ins, [ordinal], "internal_post_id")
+    new_posts = new_posts.withColumn("is_processed_by_ai", F.lit(False)) \
+        .withColumn("post_content_raw", F.col("content_text"))
+    posts_after = posts.unionByName(conform(new_posts, schemas.POSTS))
+    resolved = resolve_post_ids(recs.drop("group_id"), posts_after)
+    cm = explode_comments(resolved.select("page_id", "external_post_id", "scraped_at", "comments",
+                                          "internal_post_id"))
+    cm = cm.join(resolved.select("page_id", "internal_post_id"), "page_id") \
+        .filter(F.col("internal_post_id").isNotNull()) \
+        .withColumn("_ord", F.struct(F.col("page_id"), F.col("pos")))
+    c_ins, c_ign = insert_one_key(comments, cm, ["external_comment_id"], "_ord")
+    new_c = _next_ids(comments, "comment_id", c_ins.withColumn("_p", F.col("_ord.page_id"))
+                      .withColumn("_q", F.col("_ord.pos")), ["_p", "_q"], "comment_id")
+    new_c = new_c.withColumn("is_processed_by_ai_comment", F.lit(False))
+    comments_after = comments.unionByName(conform(new_c, schemas.COMMENTS))
+    return {"posts": posts_after, "comments": comments_after, "inserted_posts": new_posts,
+            "ignored_records": ign, "inserted_comments": new_c}
