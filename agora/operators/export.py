@@ -92,14 +92,20 @@ def combined(groups: DataFrame | None, posts: DataFrame | None,
 
 def fetch_for_export(posts: DataFrame, comments: DataFrame, groups: DataFrame,
                      filters: dict | None = None, entity: str = "posts",
-                     materialize: bool = False) -> dict:
+                     materialize: bool | None = None) -> dict:
     """The DataFrames to export for ``entity`` in posts / comments / groups / all.
 
     Returns ``{"posts", "comments", "groups", "combined"}`` -> DataFrame or None.
     With ``materialize`` the selected posts and their comments are written once
     to the shared checkpoint folder, so several writes (one per entity, plus
-    the empty checks) reuse them instead of re-running the search.
+    the empty checks) reuse them instead of re-running the search. By default
+    this happens whenever comments are exported: the selected posts then feed
+    two consumers (the posts output and the comments semi-join), which Spark
+    would otherwise compute twice (their column sets differ, so no exchange is
+    reused).
     """
+    if materialize is None:
+        materialize = entity in ("comments", "all")
     if entity not in ("posts", "comments", "groups", "all"):
         raise ValueError(f"unknown entity {entity!r}")
     filters = {k: v for k, v in (filters or {}).items() if v is not None and v != ""}

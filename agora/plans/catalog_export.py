@@ -43,7 +43,7 @@ COMMENT_EXPORT_COLS = list(schemas.ESSENTIAL_FIELDS["comments"]) + [
     "comment_scraped_at", "external_comment_id", "internal_post_id"]
 
 
-def _data(spark, sf_dir, entity, materialize=False):
+def _data(spark, sf_dir, entity, materialize=None):
     return export.fetch_for_export(B.posts_b1(spark, sf_dir), B.comments_b1(spark, sf_dir),
                                    B.groups_b1(spark, sf_dir), FILTERS, entity, materialize)
 
