@@ -113,11 +113,18 @@ def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
                         shard.cast("string").alias("shard"),
                         token_estimate(F.col(text_col)).alias("tokens"),
                         F.col(id_col).alias("ordinal"))
-    narrow = with_ordinal(keyed.select("shard", "ordinal", "tokens"), ["shard", "ordinal"], "_g")
-    first = narrow.groupBy("shard").agg(F.min("_g").alias("_g0"))
-    bucketed = narrow.join(first, "shard").select(
-        "shard", "ordinal", "tokens",
-        F.floor((F.col("_g") - F.col("_g0")) / F.lit(bucket_rows)).cast("bigint").alias("bucket"))
+    narrow = keyed.select("shard", "ordinal", "tokens")
+    # only shards above ``bucket_rows`` need ranking; the others are one bucket
+    big = narrow.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")) \
+        .filter(F.col("_n") > bucket_rows).select("shard")
+    bucketed = narrow.join(big, "shard", "left_anti").withColumn("bucket", F.lit(0).cast("bigint"))
+    if not big.isEmpty():
+        ranked = with_ordinal(narrow.join(big, "shard", "left_semi"), ["shard", "ordinal"], "_g")
+        first = ranked.groupBy("shard").agg(F.min("_g").alias("_g0"))
+        bucketed = bucketed.unionByName(ranked.join(first, "shard").select(
+            "shard", "ordinal", "tokens",
+            F.floor((F.col("_g") - F.col("_g0")) / F.lit(bucket_rows)).cast("bigint")
+            .alias("bucket")))
     packed = (bucketed.groupBy("shard", "bucket")
               .applyInPandas(_next_fit(max_tokens),
                              "shard string, bucket bigint, ordinal bigint, tokens bigint, "
