@@ -198,7 +198,13 @@ def post_threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
         "ai_category", "keywords_text", "idea_flag")
     c = comments.select("internal_post_id", "comment_id", "commenter_name", "comment_text",
                         "comment_scraped_at")
-    return (p.join(c, "internal_post_id", "left")
+    # inner join (AQE can split a hot post on the comment side) + the posts without
+    # comments (anti-join against the distinct commented ids: a partial aggregate)
+    with_comments = p.join(c, "internal_post_id", "inner")
+    commented = c.select("internal_post_id").distinct()
+    bare = p.join(commented, "internal_post_id", "left_anti").select(
+        *p.columns, *[F.lit(None).cast(t).alias(n) for n, t in c.dtypes if n != "internal_post_id"])
+    return (with_comments.unionByName(bare)
             .orderBy("internal_post_id", F.col("comment_scraped_at").asc_nulls_last(),
                      "comment_id"))
 
