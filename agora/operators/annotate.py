@@ -326,26 +326,77 @@ def valid_result(kind: str) -> Column:
     return ok
 
 
+def _first_containing(posts_pdf: pd.DataFrame, summ_pdf: pd.DataFrame) -> pd.DataFrame:
+    """One batch: for each summary, the first post (batch order) whose text contains it.
+
+    One Aho-Corasick automaton over the summaries, one pass over the post texts:
+    linear in text size, never summary x post pairs.
+    """
+    out_cols = ["batch_id", "rpos", "fb_pid"]
+    if posts_pdf.empty or summ_pdf.empty:
+        return pd.DataFrame(columns=out_cols)
+    by_text: dict[str, list[int]] = {}
+    for rpos, summ in zip(summ_pdf["rpos"], summ_pdf["summary"]):
+        by_text.setdefault(summ, []).append(int(rpos))
+    found: dict[str, int] = {}
+    posts_pdf = posts_pdf.sort_values("ordinal", kind="stable")
+    try:
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        for summ in by_text:
+            auto.add_word(summ, summ)
+        auto.make_automaton()
+        for pid, text in zip(posts_pdf["pid"], posts_pdf["content"]):
+            if text:
+                for _, summ in auto.iter(text):
+                    found.setdefault(summ, int(pid))
+            if len(found) == len(by_text):
+                break
+    except ImportError:                                   # plain scan, same answer
+        for pid, text in zip(posts_pdf["pid"], posts_pdf["content"]):
+            for summ in by_text:
+                if summ not in found and text and summ in text:
+                    found[summ] = int(pid)
+    batch = summ_pdf["batch_id"].iloc[0]
+    rows = [(batch, rpos, pid) for summ, pid in found.items() for rpos in by_text[summ]]
+    return pd.DataFrame(rows, columns=out_cols)
+
+
+def containment_fallback(unmatched: DataFrame, posts: DataFrame) -> DataFrame:
+    """(batch_id, rpos, fb_pid) for results whose non-blank summary occurs in a
+    post of the same batch — the first such post in batch order.
+
+    Only batches with unmatched results take part; each is one cogroup (bounded
+    by the token budget) scanned once by an automaton of its summaries.
+    """
+    summ = (unmatched.filter(F.col("r.summary").isNotNull() & (F.col("r.summary") != ""))
+            .select("batch_id", "rpos", F.col("r.summary").alias("summary")))
+    wanted = summ.select(F.col("batch_id").alias("_wb")).distinct()
+    batch_posts = posts.join(wanted, F.col("batch_id") == F.col("_wb"), "left_semi") \
+        .withColumnRenamed("batch_id", "_pb")
+    return (batch_posts.groupBy("_pb")
+            .cogroup(summ.groupBy("batch_id"))
+            .applyInPandas(_first_containing, "batch_id string, rpos int, fb_pid long"))
+
+
 def map_post_results(results: DataFrame, batched: DataFrame, validate: bool = False) -> dict:
     """J4 + J5 + J8 + W4: results -> (matched per post, rejects).
 
     J4: the parsed id is a post of the same batch. J5 (only for results J4 left
     unmatched): the first post of the batch, in batch order, whose text contains
-    the non-blank summary — the batch id is the equi-key that bounds the work.
+    the non-blank summary (``containment_fallback``: one automaton pass per batch).
     W4: per post the last result (batch, result position) wins.
     """
     r = results.filter(valid_result("posts")) if validate else results
     bad = results.filter(~valid_result("posts")) if validate else None
     posts = batched.select("batch_id", "ordinal", F.col("internal_post_id").alias("pid"),
                            F.col("post_content_raw").alias("content"))
-    direct = r.join(posts.select("batch_id", "pid"),
-                    (r.batch_id == posts.batch_id) & (r.parsed_id == posts.pid), "left") \
-        .select(r["*"], posts.pid.alias("direct_pid"))
+    ids = batched.select(F.col("batch_id").alias("_b"),
+                         F.col("internal_post_id").alias("direct_pid"))
+    direct = r.join(ids, (F.col("batch_id") == F.col("_b"))
+                    & (F.col("parsed_id") == F.col("direct_pid")), "left").drop("_b")
     unmatched = direct.filter(F.col("direct_pid").isNull()).drop("direct_pid")
-    summ = F.col("r.summary")
-    cand = unmatched.filter(summ.isNotNull() & (summ != "")).join(
-        posts, "batch_id").filter(F.col("content").contains(F.col("r.summary")))
-    fallback = cand.groupBy("batch_id", "rpos").agg(F.min_by("pid", "ordinal").alias("fb_pid"))
+    fallback = containment_fallback(unmatched, posts)
     mapped = direct.join(fallback, ["batch_id", "rpos"], "left").withColumn(
         "target", F.coalesce(F.col("direct_pid"), F.col("fb_pid"))).withColumn(
         "matched_by", F.when(F.col("direct_pid").isNotNull(), "id")
