@@ -230,13 +230,15 @@ def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
     return posts.select(*keep)
 
 
-def explode_comments(posts: DataFrame, base_ts: Column | None = None) -> DataFrame:
-    """Nested comments -> comment rows, with the X4 id cascade and X5 time."""
+def explode_comments(posts: DataFrame, base_ts: Column | None = None,
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nested comments -> comment rows, with the X4 id cascade and X5 time.
+    ``keep`` names record columns carried onto every comment row."""
     base = base_ts if base_ts is not None else F.col("scraped_at")
-    e = posts.select("page_id", "external_post_id", "scraped_at",
+    e = posts.select("page_id", "external_post_id", "scraped_at", *keep,
                      F.explode("comments").alias("c"))
     return e.select(
-        "page_id", "external_post_id",
+        "page_id", "external_post_id", *keep,
         F.col("c.pos").alias("pos"),
         F.col("c.commenter_name").alias("commenter_name"),
         F.col("c.commenter_profile_pic_url").alias("commenter_profile_pic_url"),

@@ -302,9 +302,7 @@ def ingest_records(posts: DataFrame, comments: DataFrame, records: DataFrame,
         .withColumn("post_content_raw", F.col("content_text"))
     posts_after = posts.unionByName(conform(new_posts, schemas.POSTS))
     resolved = resolve_post_ids(recs.drop("group_id"), posts_after)
-    cm = explode_comments(resolved.select("page_id", "external_post_id", "scraped_at", "comments",
-                                          "internal_post_id"))
-    cm = cm.join(resolved.select("page_id", "internal_post_id"), "page_id") \
+    cm = explode_comments(resolved, keep=("internal_post_id",)) \
         .filter(F.col("internal_post_id").isNotNull()) \
         .withColumn("_ord", F.struct(F.col("page_id"), F.col("pos")))
     c_ins, c_ign = insert_one_key(comments, cm, ["external_comment_id"], "_ord")
