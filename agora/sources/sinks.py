@@ -133,6 +133,59 @@ def typed_read(df: DataFrame) -> DataFrame:
     return out
 
 
+# ---------------------------------------------------------------- snapshots (M3 M4 M7)
+POINTER = "_CURRENT"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_snapshot(df: DataFrame, root: str, table: str) -> str:
+    """Write ``df`` as a new snapshot directory of ``table`` and switch the pointer.
+
+    Plain Parquet has no MERGE/DELETE: an update is a join producing the new
+    table, written to a fresh directory (never over a path the plan reads);
+    readers follow the pointer, written to a temporary file and renamed into
+    place.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = f"{root.rstrip('/')}/{table}"
+    path = f"{base}/snap-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, tmp = _fs(spark, f"{base}/{POINTER}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    out.writeUTF(path)
+    out.close()
+    _, final = _fs(spark, f"{base}/{POINTER}")
+    if fs.exists(final):
+        fs.delete(final, False)
+    fs.rename(tmp, final)
+    return path
+
+
+def current_snapshot(spark: SparkSession, root: str, table: str) -> str | None:
+    fs, ptr = _fs(spark, f"{root.rstrip('/')}/{table}/{POINTER}")
+    if not fs.exists(ptr):
+        return None
+    inp = fs.open(ptr)
+    try:
+        return inp.readUTF()
+    finally:
+        inp.close()
+
+
+def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The table as of its current snapshot (empty with the declared schema if none)."""
+    path = current_snapshot(spark, root, table)
+    if path is None:
+        return spark.createDataFrame([], schemas.TABLES[table])
+    return spark.read.schema(schemas.TABLES[table]).parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

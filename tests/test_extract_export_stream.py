@@ -157,3 +157,23 @@ def test_bootstrap_tables(spark):
     assert sinks.tables_present(spark, root)
     got = sinks.read_table(spark, root, "posts").schema
     assert [(f.name, f.dataType) for f in got] == [(f.name, f.dataType) for f in schemas.POSTS]
+
+
+def test_snapshot_update_cycle(spark):                                  # M3 via snapshots
+    from agora.operators import annotate as AN
+    root = scratch_path(spark, "t-snap-store")
+    posts = conform(spark.createDataFrame(
+        [(1, 1, "x" * 50, False), (2, 1, "y" * 900, False)],
+        "internal_post_id long, group_id long, post_content_raw string, "
+        "is_processed_by_ai boolean"), schemas.POSTS)
+    first = sinks.write_snapshot(posts, root, "posts")
+    assert sinks.current_snapshot(spark, root, "posts") == first
+    current = sinks.read_current(spark, root, "posts")
+    run = AN.annotate_posts(current, "offline", max_tokens=10_000,
+                            run_ts=F.lit("2024-01-01 00:00:00"))
+    second = sinks.write_snapshot(run["posts"], root, "posts")        # never over `first`
+    assert second != first and sinks.current_snapshot(spark, root, "posts") == second
+    after = {r["internal_post_id"]: r for r in sinks.read_current(spark, root, "posts").collect()}
+    assert after[1]["is_processed_by_ai"] and after[2]["is_processed_by_ai"]
+    assert spark.read.parquet(first).filter("is_processed_by_ai").count() == 0
+    assert sinks.read_current(spark, root, "comments").count() == 0
