@@ -39,6 +39,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # checkpoint files of unreachable intermediates are removed by the context cleaner
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     builder = builder.config("spark.driver.memory", os.environ.get("AGORA_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
