@@ -8,8 +8,6 @@ so that value comparison is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from agora.operators import search, stats
 from agora.plans import sql_bindings as SB
 from agora.plans.registry import register

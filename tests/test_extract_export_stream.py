@@ -17,7 +17,7 @@ from agora.streaming import ingest_stream as S
 PAGE = """<html><head><title>T</title></head><body>
 <div role="article">
   <h2><strong>Ann &amp; Co</strong></h2><svg><image href="https://pic/ann.png"/></svg>
-  <a href="https://www.facebook.com/groups/g/posts/123/?ref=x"><abbr title="2 hrs ago">2h</abbr></a>
+  <a href="https://www.forum.example/groups/g/posts/123/?ref=x"><abbr title="2 hrs ago">2h</abbr></a>
   <div data-ad-preview="message"><div>First line</div><div><div role="button">See more</div></div><div>Second  line</div></div>
   <img src="https://img/1.jpg">
   <ul>
@@ -31,15 +31,15 @@ PAGE = """<html><head><title>T</title></head><body>
 
 def test_extract_literal_page(spark):
     pages = spark.createDataFrame(
-        [(1, "https://www.facebook.com/groups/g/posts/123/?ref=x", PAGE),
+        [(1, "https://www.forum.example/groups/g/posts/123/?ref=x", PAGE),
          (2, "https://elsewhere.org/a", "<p>no marker</p>")], "page_id long, url string, html string")
     base = F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")
-    posts = extract.extract_pages(pages, "facebook.com", base_ts=base,
+    posts = extract.extract_pages(pages, "forum.example", base_ts=base,
                                   rules={"text_container": ["div[data-ad-preview=message]"]})
     rows = posts.collect()
     assert len(rows) == 1                                                  # F14/F16
     r = rows[0]
-    assert r["post_url"] == "https://www.facebook.com/groups/g/posts/123/"
+    assert r["post_url"] == "https://www.forum.example/groups/g/posts/123/"
     assert r["external_post_id"] == "123"
     assert r["post_author_name"] == "Ann & Co"
     assert r["post_author_profile_pic_url"] == "https://pic/ann.png"
@@ -60,18 +60,18 @@ def test_time_candidates(spark):
       <a aria-label="Comments">12 comments</a>
       <a href="/groups/g/posts/9" title="see">Ann</a>
       <a href="/groups/g/posts/9">March 3 at 5:00 PM</a><p>text</p></div>"""
-    pages = spark.createDataFrame([(1, "https://www.facebook.com/groups/g/posts/9", page)],
+    pages = spark.createDataFrame([(1, "https://www.forum.example/groups/g/posts/9", page)],
                                   "page_id long, url string, html string")
     base = F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")
-    r = extract.extract_pages(pages, "facebook.com", base_ts=base).first()
+    r = extract.extract_pages(pages, "forum.example", base_ts=base).first()
     assert r["time_text"] == "March 3 at 5:00 PM"
     assert str(r["posted_at"]) == "2024-03-03 17:00:00"
 
 
 def test_field_selection(spark):
-    pages = spark.createDataFrame([(1, "https://www.facebook.com/groups/g/posts/5", PAGE)],
+    pages = spark.createDataFrame([(1, "https://www.forum.example/groups/g/posts/5", PAGE)],
                                   "page_id long, url string, html string")
-    posts = extract.extract_pages(pages, "facebook.com", fields=("post_author_name",),
+    posts = extract.extract_pages(pages, "forum.example", fields=("post_author_name",),
                                   rules={"text_container": ["div[data-ad-preview=message]"]})
     assert "content_text" not in posts.columns and posts.first()["post_author_name"] == "Ann & Co"
 

@@ -13,31 +13,31 @@ def one_col(spark, values, expr_fn, typ="string"):
 
 
 def test_canonical_url(spark):
-    got = one_col(spark, ["https://www.facebook.com:8443/groups/x/posts/123?a=1#f",
+    got = one_col(spark, ["https://www.forum.example:8443/groups/x/posts/123?a=1#f",
                           "http://a.com", "not a url", None], urls.canonical_url)
-    assert got == ["https://www.facebook.com:8443/groups/x/posts/123", "http://a.com", None, None]
+    assert got == ["https://www.forum.example:8443/groups/x/posts/123", "http://a.com", None, None]
 
 
 def test_record_id_cascade(spark):
     got = one_col(spark, [
-        "https://facebook.com/groups/g/posts/123/",
-        "https://facebook.com/groups/g/videos/a.b-c",
-        "https://facebook.com/permalink.php?story_fbid=9%2B9&id=5",
-        "https://facebook.com/watch/?v=777",
-        "https://facebook.com/x/1234567890/",
-        "https://facebook.com/groups/g/posts/bad%20id/",
-        "https://facebook.com/groups/g/posts",
-        "https://facebook.com/groups/g/",
+        "https://forum.example/groups/g/posts/123/",
+        "https://forum.example/groups/g/videos/a.b-c",
+        "https://forum.example/permalink.php?story_fbid=9%2B9&id=5",
+        "https://forum.example/watch/?v=777",
+        "https://forum.example/x/1234567890/",
+        "https://forum.example/groups/g/posts/bad%20id/",
+        "https://forum.example/groups/g/posts",
+        "https://forum.example/groups/g/",
         None], urls.record_id)
     assert got == ["123", "a.b-c", "9+9", "777", "1234567890", None, None, None, None]
 
 
 def test_post_identity_and_fallback(spark):
-    df = spark.createDataFrame([("https://www.facebook.com/groups/g/posts/1", False, 1),
+    df = spark.createDataFrame([("https://www.forum.example/groups/g/posts/1", False, 1),
                                 ("https://other.com/groups/g/posts/1", False, 2),
                                 ("https://other.com/x", True, 3),
                                 (None, False, 4)], "u string, marker boolean, k long")
-    ident = urls.post_identity(F.col("u"), "facebook.com", F.col("marker"), F.col("k"))
+    ident = urls.post_identity(F.col("u"), "forum.example", F.col("marker"), F.col("k"))
     rows = df.select(*[v.alias(n) for n, v in ident.items()]).collect()
     assert rows[0]["post_id"] == "1" and rows[0]["is_candidate"]
     assert not rows[1]["is_candidate"] and rows[1]["post_id"] is None
@@ -60,8 +60,7 @@ def test_valid_group_url(spark):
     got = one_col(spark, ["https://www.facebook.com/groups/my.group/", "http://fb.com/groups/ü_x",
                           "https://facebook.com/pages/x", "ftp://facebook.com/groups/x", "", None],
                   urls.valid_group_url)
-    assert got == [True, True, False, False, False, None] or got[:5] == [True, True, False,
-                                                                          False, False]
+    assert got == [True, True, False, False, False, False]
 
 
 def test_time_text(spark):

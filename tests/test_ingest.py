@@ -166,12 +166,12 @@ def test_ingest_records_and_rescrape(spark):                            # ST1, Q
             '<div data-ad-preview="message"><div>{t}</div></div><ul>'
             '<li data-commentid="{c}"><a href="/u">Bob</a> <span dir="auto">hi</span></li></ul></div>')
     pages = spark.createDataFrame([
-        (1, "https://www.facebook.com/groups/g/posts/100", page.format(a="A", t="one", c="c1")),
-        (2, "https://www.facebook.com/groups/g/about/", page.format(a="B", t="two", c="c2")),
+        (1, "https://www.forum.example/groups/g/posts/100", page.format(a="A", t="one", c="c1")),
+        (2, "https://www.forum.example/groups/g/about/", page.format(a="B", t="two", c="c2")),
     ], "page_id long, url string, html string")
     rules = {"text_container": ["div[data-ad-preview=message]"]}
     base = F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")
-    recs = extract.extract_pages(pages, "facebook.com", base_ts=base, rules=rules)
+    recs = extract.extract_pages(pages, "forum.example", base_ts=base, rules=rules)
     posts0 = spark.createDataFrame([], schemas.POSTS)
     comments0 = spark.createDataFrame([], schemas.COMMENTS)
     run1 = ingest.ingest_records(posts0, comments0, recs, group_id=7)
@@ -185,10 +185,10 @@ def test_ingest_records_and_rescrape(spark):                            # ST1, Q
     # re-scrape: same posts (first write wins, Q11); the id-less post gets a new
     # fallback id this time, so its new comment is resolved by url (Q10)
     pages2 = spark.createDataFrame([
-        (3, "https://www.facebook.com/groups/g/posts/100", page.format(a="A", t="changed", c="c1")),
-        (4, "https://www.facebook.com/groups/g/about/", page.format(a="B", t="two", c="c3")),
+        (3, "https://www.forum.example/groups/g/posts/100", page.format(a="A", t="changed", c="c1")),
+        (4, "https://www.forum.example/groups/g/about/", page.format(a="B", t="two", c="c3")),
     ], "page_id long, url string, html string")
-    recs2 = extract.extract_pages(pages2, "facebook.com", base_ts=base, rules=rules)
+    recs2 = extract.extract_pages(pages2, "forum.example", base_ts=base, rules=rules)
     run2 = ingest.ingest_records(run1["posts"], run1["comments"], recs2, group_id=7)
     p2 = sorted((r["internal_post_id"], r["post_content_raw"]) for r in run2["posts"].collect())
     assert p2 == [(1, "one"), (2, "two")]
