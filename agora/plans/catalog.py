@@ -223,3 +223,34 @@ SELECT group_id, group_name, group_url FROM b1_groups ORDER BY group_name, group
 def q_groups_list(spark, sf_dir):
     return search.list_groups(B.groups_b1(spark, sf_dir)).select(
         "group_id", "group_name", "group_url")
+
+
+def _legacy_posts(spark, sf_dir):
+    """B1 posts stored the legacy way: keyword lists as JSON text (encoded twice for
+    even ids), flags as 0/1 integers."""
+    from pyspark.sql import functions as F
+    p = B.posts_b1(spark, sf_dir)
+    once = F.to_json("ai_keywords")
+    twice = F.to_json(F.array(once)).substr(F.lit(2), F.length(F.to_json(F.array(once))) - 2)
+    return p.select(
+        "internal_post_id",
+        F.when(F.col("internal_post_id") % 2 == 0, twice).otherwise(once).alias("ai_keywords"),
+        F.col("ai_is_potential_idea").cast("int").alias("ai_is_potential_idea"),
+        F.col("is_processed_by_ai").cast("int").alias("is_processed_by_ai"))
+
+
+@register("typed_read", SB.with_(SB.B1_POSTS) + """
+SELECT internal_post_id,
+       CASE WHEN is_processed_by_ai
+            THEN lower(ai_sub_category) || ',' || lower(CASE WHEN is_processed_by_ai
+                 THEN (SELECT o_orderstatus FROM orders WHERE o_orderkey = internal_post_id) END)
+            ELSE '' END AS keywords_text,
+       ai_is_potential_idea, is_processed_by_ai
+FROM b1_posts""")
+def q_typed_read(spark, sf_dir):
+    """P1 + X15: legacy-encoded rows read back as typed columns."""
+    from pyspark.sql import functions as F
+    from agora.sources.sinks import typed_read
+    t = typed_read(_legacy_posts(spark, sf_dir))
+    return t.select("internal_post_id", F.array_join("ai_keywords", ",").alias("keywords_text"),
+                    "ai_is_potential_idea", "is_processed_by_ai")
