@@ -35,7 +35,7 @@ todo AS (
          row_number() OVER (PARTITION BY source ORDER BY internal_post_id) AS rn
   FROM b2_posts WHERE NOT is_processed_by_ai AND post_content_raw IS NOT NULL),
 packed(shard, rn, doc_id, tokens, cur, batch_seq) AS (
-  SELECT shard, rn, doc_id, tokens, tokens, 0 FROM todo WHERE rn = 1
+  SELECT shard, rn, doc_id, tokens, tokens, CAST(0 AS BIGINT) FROM todo WHERE rn = 1
   UNION ALL
   SELECT t.shard, t.rn, t.doc_id, t.tokens,
          CASE WHEN p.cur + t.tokens > {BUDGET} THEN t.tokens ELSE p.cur + t.tokens END,
