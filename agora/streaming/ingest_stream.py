@@ -109,6 +109,23 @@ def run_ingest_stream(spark: SparkSession, source_dir: str, schema, store: str,
             "input_rows": sum(int(p.get("numInputRows", 0)) for p in progress)}
 
 
+def dedup_within_watermark(stream: DataFrame, key_cols: list[str], event_time: str,
+                           lateness: str) -> DataFrame:
+    """ST2, bounded variant: drop repeats of a key seen within ``lateness`` of event
+    time, with operator state bounded by the watermark. Use it when a bound on
+    lateness is acceptable and one key identifies a record; the exact, unbounded
+    rule (and the either-key rule) is the table-backed sink above."""
+    # watermarks need TIMESTAMP; a UTC wall-clock NTZ column is cast (a constant
+    # zone offset does not change lateness)
+    if dict(stream.dtypes).get(event_time) == "timestamp_ntz":
+        wm = "_event_ts"
+        stream = stream.withColumn(wm, F.col(event_time).cast("timestamp"))
+    else:
+        wm = event_time
+    out = stream.withWatermark(wm, lateness).dropDuplicatesWithinWatermark(key_cols)
+    return out.drop("_event_ts") if wm == "_event_ts" else out
+
+
 def land_files(df: DataFrame, landing: str, n_files: int, copies: int = 1) -> None:
     """Write ``df`` as ``n_files`` files per copy into ``landing`` (a replayed
     feed: every copy after the first is a re-scrape of the same records)."""

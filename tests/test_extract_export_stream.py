@@ -177,3 +177,19 @@ def test_snapshot_update_cycle(spark):                                  # M3 via
     assert after[1]["is_processed_by_ai"] and after[2]["is_processed_by_ai"]
     assert spark.read.parquet(first).filter("is_processed_by_ai").count() == 0
     assert sinks.read_current(spark, root, "comments").count() == 0
+
+
+def test_bounded_stream_dedup(spark):                                   # ST2 bounded state
+    from tests.conftest import SMALL
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    landing = scratch_path(spark, "t-landing-wm")
+    S.land_files(ev, landing, n_files=2, copies=2)
+    out = scratch_path(spark, "t-out-wm")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    q = (S.dedup_within_watermark(stream, ["event_id"], "ts", "400 days")
+         .writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "t-ckpt-wm"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == ev.count() and got.select("event_id").distinct().count() == ev.count()
