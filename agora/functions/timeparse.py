@@ -82,3 +82,11 @@ def parse_time_text(text: Column, base: Column) -> Column:
 def valid_date_arg(s: Column) -> Column:
     """empty/NULL is valid, else ``YYYY-MM-DD`` (single-digit month/day allowed)."""
     return s.isNull() | (s == "") | F.try_to_timestamp(s, F.lit("yyyy-M-d")).isNotNull()
+
+
+def observe_rejects(df, text_col: str, parsed_col: str, name: str = "time_text_rejects"):
+    """X5 reject count: rows whose time text is present but did not parse, observed
+    while the job that consumes ``df`` runs (no extra pass). Returns (df, Observation)."""
+    from agora.operators.stats import run_counters
+    bad = F.col(text_col).isNotNull() & (F.trim(F.col(text_col)) != "") & F.col(parsed_col).isNull()
+    return run_counters(df, name, rejected=F.count_if(bad), with_text=F.count(F.col(text_col)))

@@ -112,3 +112,12 @@ def test_token_estimate_and_line(spark):
 def test_contains_pattern():
     assert text.contains_pattern("a\\b") == "%a\\\\b%"
     assert text.contains_pattern("50%") == "%50%%"
+
+
+def test_time_text_reject_count(spark):
+    df = spark.createDataFrame([("2 hrs ago",), ("junk",), ("",), (None,), ("bad date",)], "t string")
+    parsed = df.withColumn("p", timeparse.parse_time_text(
+        F.col("t"), F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")))
+    out, obs = timeparse.observe_rejects(parsed, "t", "p")
+    assert out.count() == 5
+    assert obs.get == {"rejected": 2, "with_text": 4}
