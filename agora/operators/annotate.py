@@ -31,6 +31,7 @@ from agora import schemas
 from agora.functions.answers import parse_results
 from agora.functions.text import lenient_tag_id, strict_tag_id, tagged_line, token_estimate
 from agora.operators.ingest import cut_lineage, with_ordinal
+from agora.session import ship_package
 
 log = logging.getLogger(__name__)
 
@@ -108,6 +109,7 @@ def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
     Returns rows + ``tokens``, ``shard``, ``bucket``, ``batch_seq`` and
     ``batch_id`` = "<shard>/<bucket>/<seq>".
     """
+    ship_package(rows.sparkSession)
     reserved = {"shard", "bucket", "tokens", "ordinal", "batch_seq", "batch_id"}
     keyed = rows.select(*[F.col(c) for c in rows.columns if c not in reserved],
                         shard.cast("string").alias("shard"),
@@ -283,6 +285,7 @@ def annotate_prompts(prompts: DataFrame, annotator: str = "offline", options: di
     answers are checkpointed to the shared folder before anything reads them,
     so a re-evaluated plan never calls the model again.
     """
+    ship_package(prompts.sparkSession)
     name, opts, rkw = annotator, dict(options or {}), dict(retry or {})
     n = concurrency or prompts.sparkSession.sparkContext.defaultParallelism
     prompts = prompts.repartition(int(n), "batch_id")
@@ -369,6 +372,7 @@ def containment_fallback(unmatched: DataFrame, posts: DataFrame) -> DataFrame:
     Only batches with unmatched results take part; each is one cogroup (bounded
     by the token budget) scanned once by an automaton of its summaries.
     """
+    ship_package(unmatched.sparkSession)
     summ = (unmatched.filter(F.col("r.summary").isNotNull() & (F.col("r.summary") != ""))
             .select("batch_id", "rpos", F.col("r.summary").alias("summary")))
     wanted = summ.select(F.col("batch_id").alias("_wb")).distinct()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import timeparse, urls
 from agora.operators.ingest import cap_per_group
+from agora.session import ship_package
 
 DEFAULT_RULES = {
     "author_pic": ["image[href]", "image[xlink:href]", "img[alt*=profile]"],
@@ -189,6 +190,7 @@ def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
     (default: the job's current timestamp). ``cap`` keeps at most that many
     valid records per ``cap_group`` (or overall per host) in page order.
     """
+    ship_package(pages.sparkSession)
     rules = {**DEFAULT_RULES, **(rules or {})}
     fields = tuple(fields) if fields else ALL_FIELDS
     src = spread(pages.select("page_id", "url", "html"))

@@ -80,3 +80,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder (never reused, never cleared)."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``agora`` importable in the Python workers of every executor.
+
+    Operators whose tasks run Python (pandas UDFs, mapInPandas, applyInPandas)
+    call this once per application: the package is zipped on the driver and
+    registered with ``addPyFile``, so Spark distributes it to each executor
+    (nothing is read from a machine-local folder by the executors).
+    """
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="agora-pkg-"), f"agora-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
