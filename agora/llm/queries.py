@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import chat
+from agora.llm import chat, simhash
 from agora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,9 @@ def query(name: str, oracle: str | None = None):
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_hostile(table(spark, sf_dir, "conversations"))
     return chat.chat_digests(chat.format_chats(rows))
+
+
+@query("op3_simhash_dedup")
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
