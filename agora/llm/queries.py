@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import chat, langid, packing, simhash, suffix_dedup
+from agora.llm import bpe_chunks, chat, langid, packing, simhash, suffix_dedup
 from agora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_langid")
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
+
+
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.digests(bpe_chunks.encoded(table(spark, sf_dir, "documents")))

@@ -60,9 +60,6 @@ class Codec:
                  if token not in self.special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks,
                                           special_tokens=self.special)
-        self.n = max([*ranks.values(), *self.special.values()]) + 1
-        words = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.words = [words.get(i, b"") for i in range(self.n)]
         self._slow = None
 
     def _encode(self, text: str) -> list[int]:
@@ -92,8 +89,9 @@ class Codec:
     def encode_array(self, text: str) -> np.ndarray:
         return np.array(self.encode(text), "<u4")
 
-    def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids, special tokens included; bytes that form no character are replaced."""
+        return self.encoding.decode(ids, errors="replace")
 
 
 def share(spark: SparkSession, path: str | None = None) -> Broadcast:
