@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import bpe_chunks, chat, langid, packing, simhash, suffix_dedup
+from agora.llm import bpe_chunks, chat, langid, packing, simhash, suffix_dedup, syncmers
 from agora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(bpe_chunks.encoded(table(spark, sf_dir, "documents")))
+
+
+@query("op2_syncmers")
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprinted(table(spark, sf_dir, "documents"))
