@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import bpe_chunks, chat, langid, packing, simhash, suffix_dedup, syncmers
+from agora.llm import bpe_chunks, chat, langid, main_text, packing, simhash, suffix_dedup, syncmers
 from agora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_syncmers")
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(spark, sf_dir, "pages"))
