@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import bpe_chunks, chat, langid, main_text, packing, simhash, suffix_dedup, syncmers
+from agora.llm import bpe_chunks, chat, langid, main_text, packing, simhash, suffix_dedup, syncmers, vector_graph
 from agora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_main_text")
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op8_vector_graph")
+def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
