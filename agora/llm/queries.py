@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import bpe_chunks, chat, langid, main_text, packing, simhash, suffix_dedup, syncmers, vector_graph
+from agora.llm import (bpe_chunks, chat, langid, main_text, packing, simhash, suffix_dedup, syncmers,
+                       vector_graph, warc_audit)
 from agora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_vector_graph")
 def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_warc_audit", warc_audit.ORACLE)
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_audit.audited(spark, sf_dir)
