@@ -17,32 +17,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts and pages are long, and a task holds a batch in both the JVM and Python.
+BATCH_ROWS = 1024
+
+
 def prepared(spark: SparkSession) -> None:
-    """Make the package importable in the executors' Python workers."""
+    """Make the package importable in the executors' Python workers, and bound what they hold."""
     ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Spark's own setting that frees a query's shuffle files when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the cluster's shared folder and read it back: fixes its
-    rows, cuts its lineage and survives the loss of executors."""
+    """Write ``df`` below the cluster's shared folder and read it back: fixes its rows, cuts its
+    lineage, frees the shuffle files behind it and survives the loss of executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` plus ``_row``, a number for each row. A file scan yields the
-    same rows in the same partitions each time, so the number is stable when a
-    task is run again; repeated rows and null ids stay apart."""
+    """``columns`` plus ``_row``, a number for each row. A file scan yields the same rows in the same
+    partitions each time, so the number is stable when a task is run again, and the same in
+    another scan of the table; repeated rows and null ids stay apart. ``docs`` must be a stored
+    table (or a projection of one), as everywhere in this subpackage."""
     return docs.select(F.monotonically_increasing_id().alias("_row"),
                        *[F.col(c) for c in columns])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``doc``, a struct of all columns (so that their names clash with nothing), and ``_row`` as in ``keyed``."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def chunked(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes add up to ``limit`` at most (a
     larger item stands alone)."""

@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.codec(shared)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("_row", "doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+            out: dict[str, list] = {c: [] for c in schema.names}
             for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "text"))):
                 ids = np.array(codec.encode(text or "") + tail, "<u4").tobytes()
                 n = len(ids) // 4
@@ -60,8 +60,6 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     part = ids[4 * a:4 * b]
                     for c, v in zip(out, (row, doc, i, a, b - a, zlib.crc32(part), part)):
                         out[c].append(v)
-            if not with_ids:
-                del out["ids"]
             yield pa.RecordBatch.from_pydict(out, schema)
 
     names = "_row long, doc_id long, piece int, start long, length long, ids_crc32 long"

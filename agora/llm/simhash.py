@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import keyed, materialize, prepared
+from agora.llm.common import keyed, materialize, numbered, prepared
 from agora.llm.components import components
 
 SEED = 42
@@ -98,6 +98,8 @@ def linked(cell: np.ndarray, fps: np.ndarray, max_bits: int, refs: np.ndarray) -
     those that are joined already."""
     n = len(fps)
     label = np.arange(n)
+    if not n:
+        return label
     # a row's cell ends before this index
     end = np.append(np.flatnonzero(np.diff(cell)) + 1, n)[np.cumsum(np.append(0, np.diff(cell) != 0))]
     table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
@@ -149,19 +151,21 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -
     refs = pivots()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[pa.RecordBatch] = []
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                tile = np.append(tile, batch.column("tile").to_numpy())
-                fps = np.append(fps, batch.column("fp").to_numpy())
-                done = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
-            else:
-                done = len(tile)
-            if done:
-                label = linked(tile[:done], fps[:done].view(np.uint64), max_bits, refs)
-                at = np.flatnonzero(label != np.arange(done))
-                yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(fps[label[at]])], ["a", "b"])
-                tile, fps = tile[done:], fps[done:]
+                held.append(batch)
+                if sum(b.num_rows for b in held) < _AT_ONCE:
+                    continue
+            if not held:
+                break
+            tile, fps = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("tile", "fp"))
+            # the last tile may go on in the next batch
+            done = int(np.searchsorted(tile, tile[-1])) if batch is not None else len(tile)
+            held = [pa.RecordBatch.from_arrays([pa.array(tile[done:]), pa.array(fps[done:])], ["tile", "fp"])]
+            label = linked(tile[:done], fps[:done].view(np.uint64), max_bits, refs)
+            at = np.flatnonzero(label != np.arange(done))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(fps[label[at]])], ["a", "b"])
 
     return (tiles.repartition("tile").sortWithinPartitions("tile", "fp")
             .mapInArrow(compare, "a long, b long").distinct())
@@ -186,7 +190,6 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS)
     """The rows of ``docs`` without near-duplicates: of each component the row with
     the smallest doc_id (null last; then the first stored)."""
     kept = (near_duplicates(docs, size, max_bits).groupBy("component")
-            .agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_kept"))
-            .select("_kept"))
-    rows = docs.withColumn("_kept", F.monotonically_increasing_id())
-    return rows.join(kept, "_kept", "left_semi").drop("_kept")
+            .agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
+            .select("_row"))
+    return numbered(docs).join(kept, "_row", "left_semi").select("doc.*")
