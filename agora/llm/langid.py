@@ -210,4 +210,5 @@ def identified(docs: DataFrame) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that language identification rejects."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return classify(docs, model).where("NOT rejected").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return classify(whole, model).where("NOT rejected").select("doc.*")

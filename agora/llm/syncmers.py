@@ -133,7 +133,7 @@ def _ordered(docs: DataFrame) -> DataFrame:
     bucket = above + F.size(F.filter(F.slice(fine, above + 1, side), lambda c: c > F.col("at")))
     rows = rows.withColumn("bucket", bucket)
     heads = sorted(rows.groupBy("bucket").agg(
-        F.min_by("_row", F.struct((-F.col("at") - 1).alias("a"), "_row")).alias("_row")).collect())
+        F.min_by("_row", F.struct(F.bitwise_not("at").alias("a"), "_row")).alias("_row")).collect())
     before = [(h["_row"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]  # the first follows the last
     ends = F.broadcast(spark.createDataFrame(before, "_row long, before int"))  # a row for each bucket
     own = F.struct(F.col("bucket"), F.lit(False).alias("extra"))
