@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import materialize
+from agora.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,4 +40,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return now.select(F.col("big").alias("id"), F.col("small").alias("component")).unionByName(
                 now.select(F.col("small").alias("id"), F.col("small").alias("component")).distinct())
         mark = tuple(told)
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        release(before)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import BATCH_CHARS, chunked, keyed, materialize, prepared
+from agora.llm.common import BATCH_CHARS, chunked, keyed, materialize, numbered, prepared, release
 
 DEPTH = 200
 KMER = 64
@@ -173,10 +173,12 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     prepared(docs.sparkSession)
     scanned = materialize(_scan(docs, depth), "suffixes")
     left = materialize(scanned.join(_repeated(scanned, "hk"), "hk", "left_semi"), "suffixes")
+    release(scanned)
     whole = _repeated(left, "hk", "hs").withColumn("whole", F.lit(True))
     sorted_ = materialize(left.join(whole, ["hk", "hs"], "left")
                           .select("_row", "span", "hk", "hs", F.coalesce("whole", F.lit(False)).alias("whole")),
                           "suffixes")
+    release(left)
     first = F.shiftright("span", 16)
     spans = sorted_.where("whole").select(
         "_row", first.alias("lo"), (first + F.col("span").bitwiseAND(F.lit(255)) + (depth - 1)).alias("hi"))
@@ -190,8 +192,10 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     windows = open_.select("_row", "hk", "off", "start", F.posexplode("windows").alias("i", "hw")).select(
         "_row", "hk", (F.col("off") - F.col("i")).alias("off"), (F.col("start") + F.col("i")).alias("lo"), "hw")
     windows = materialize(windows, "suffixes")
-    ends = windows.join(_repeated(windows, "hk", "off", "hw"), ["hk", "off", "hw"], "left_semi").select(
-        "_row", "lo", (F.col("lo") + depth).alias("hi"))
+    release(blocks)
+    ends = materialize(windows.join(_repeated(windows, "hk", "off", "hw"), ["hk", "off", "hw"], "left_semi").select(
+        "_row", "lo", (F.col("lo") + depth).alias("hi")), "suffixes")
+    release(windows)
     return spans.unionByName(ends)
 
 
@@ -235,13 +239,13 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (characters of which only some
     bytes are left go too) and ``n_chars`` counted anew; no row is lost."""
-    left = remove_repeats(docs, depth).select("_row", F.col("kept").alias("_kept"))
-
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).drop("text")
-    text = F.try_validate_utf8(F.col("_kept").cast("string"))
-    clean = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit("")))
-    out = rows.join(left, "_row").withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    left = remove_repeats(docs, depth).select("_row", F.col("kept").cast("string").alias("kept"))
+    # what is no character any more becomes U+FFFD, which goes
+    clean = F.coalesce(F.try_validate_utf8("kept"), F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
+    out = numbered(docs).join(left, "_row").select("doc", clean.alias("kept"))
+    new = {"text": F.when(F.col("doc.text").isNotNull(), F.col("kept")),
+           "n_chars": F.length("kept").cast("long")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:
