@@ -11,7 +11,8 @@ wins), re-expressed as set operations:
   aggregations plus joins over the still-undecided rows only, and is
   checkpointed to the shared checkpoint folder.
 
-NULL keys never collide. Ingest order must be an explicit, unique ordinal.
+NULL keys never collide. Ingest order is an explicit ordinal; rows that share one are
+taken in the order of their content, so none is lost and replays agree.
 """
 
 from __future__ import annotations
@@ -85,6 +86,22 @@ def first_per_key(df: DataFrame, key: Column, ordinal: str) -> DataFrame:
     return firsts.unionByName(nulls)
 
 
+def unique_ordinal(df: DataFrame, ordinal: str, name: str = "_o") -> DataFrame:
+    """``df`` (checkpointed) with an ordinal that is unique: the given one, then a hash of
+    the row, then the row's place in the checkpoint (for repeated rows)."""
+    rows = cut_lineage(df)
+    return rows.withColumn(name, F.struct(
+        F.col(ordinal).alias("a"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("b"),
+        F.monotonically_increasing_id().alias("c")))
+
+
+def _where_set(df: DataFrame, key: str, step) -> DataFrame:
+    """``step`` on the rows with a key; rows without one pass by it, so that NULLs
+    never meet in one task of a join."""
+    return step(df.filter(F.col(key).isNotNull())).unionByName(
+        df.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 # ---------------------------------------------------------------- M2
 def insert_one_key(stored: DataFrame | None, incoming: DataFrame, key_cols: list[str],
                    ordinal: str) -> tuple[DataFrame, DataFrame]:
@@ -94,13 +111,14 @@ def insert_one_key(stored: DataFrame | None, incoming: DataFrame, key_cols: list
     the batch and the key is not stored yet.
     """
     key = key_col(*key_cols)
-    cand = first_per_key(incoming, key, ordinal)
+    incoming = unique_ordinal(incoming, ordinal)
+    cand = first_per_key(incoming, key, "_o")
     if stored is not None:
         sk = stored.select(key.alias("_k")).filter(F.col("_k").isNotNull())
-        cand = (cand.withColumn("_k", key)
-                .join(sk, "_k", "left_anti").drop("_k"))
-    ignored = incoming.join(cand.select(ordinal), ordinal, "left_anti")
-    return cand, ignored
+        cand = _where_set(cand.withColumn("_k", key), "_k",
+                          lambda d: d.join(sk, "_k", "left_anti")).drop("_k")
+    ignored = incoming.join(cand.select("_o"), "_o", "left_anti")
+    return cand.drop("_o"), ignored.drop("_o")
 
 
 # ---------------------------------------------------------------- M1 / M5
@@ -114,64 +132,45 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
     for tests; ``None`` runs to completion.
     """
     k1, k2 = key_col(*key1_cols), key_col(*key2_cols)
-    work = incoming.select(F.col(ordinal).alias("_o"), k1.alias("_k1"), k2.alias("_k2"))
+    incoming = unique_ordinal(incoming, ordinal)
+    work = incoming.select("_o", k1.alias("_k1"), k2.alias("_k2"))
+    anti = lambda d, key, taken: _where_set(d, key, lambda x: x.join(taken, key, "left_anti"))
     if stored is not None:
         s1 = stored.select(k1.alias("_k1")).filter(F.col("_k1").isNotNull()).distinct()
         s2 = stored.select(k2.alias("_k2")).filter(F.col("_k2").isNotNull()).distinct()
-        work = work.join(s1, "_k1", "left_anti").join(s2, "_k2", "left_anti")
+        work = anti(anti(work, "_k1", s1), "_k2", s2)
     work = cut_lineage(work)
     # rows with both keys NULL never collide: kept now; every later kept row has a
     # non-NULL key, so the anti-joins on the taken keys also drop it from ``work``
     both_null = F.col("_k1").isNull() & F.col("_k2").isNull()
     kept_parts: list[DataFrame] = [work.filter(both_null).select("_o")]
     work = work.filter(~both_null)
-    cached: list[DataFrame] = []
     rounds = 0
     while not work.isEmpty():
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("two-key insert did not converge within max_rounds")
-        m1 = work.filter(F.col("_k1").isNotNull()).groupBy("_k1").agg(F.min("_o").alias("_m1"))
-        m2 = work.filter(F.col("_k2").isNotNull()).groupBy("_k2").agg(F.min("_o").alias("_m2"))
-        cand = work.join(m1, "_k1", "left").join(m2, "_k2", "left")
-        # kept rows are few and rebuilt from the checkpointed ``work`` if lost
-        kept = cand.filter(
-            (F.col("_k1").isNull() | (F.col("_o") == F.col("_m1")))
-            & (F.col("_k2").isNull() | (F.col("_o") == F.col("_m2")))).select(
-            "_o", "_k1", "_k2").persist()
-        cached.append(kept)
+        firsts = lambda key: (work.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_g"))
+                              .agg(F.min("_o").alias("_m")))
+        m1, m2 = firsts("_k1"), firsts("_k2")
+        # the earliest of both its groups is kept: a semi-join for each key that is set
+        first = lambda d, key, m: _where_set(d, key, lambda x: x.join(
+            m, (F.col(key) == F.col("_g")) & (F.col("_o") == F.col("_m")), "left_semi"))
+        kept = cut_lineage(first(first(work, "_k1", m1), "_k2", m2))
         kept_parts.append(kept.select("_o"))
         taken1 = kept.select("_k1").filter(F.col("_k1").isNotNull())
         taken2 = kept.select("_k2").filter(F.col("_k2").isNotNull())
-        work = cut_lineage(work.join(taken1, "_k1", "left_anti")
-                           .join(taken2, "_k2", "left_anti"))
+        work = cut_lineage(anti(anti(work, "_k1", taken1), "_k2", taken2))
     kept_all = kept_parts[0]
     for p in kept_parts[1:]:
         kept_all = kept_all.unionByName(p)
-    kept_all = cut_lineage(kept_all.withColumnRenamed("_o", ordinal))
-    for c in cached:
-        c.unpersist()
-    inserted = incoming.join(kept_all, ordinal, "left_semi")
-    ignored = incoming.join(kept_all, ordinal, "left_anti")
+    kept_all = cut_lineage(kept_all)
+    inserted = incoming.join(kept_all, "_o", "left_semi").drop("_o")
+    ignored = incoming.join(kept_all, "_o", "left_anti").drop("_o")
     log.info("two-key insert converged in %d rounds", rounds)
     return inserted, ignored, rounds
 
 
-def sequential_two_key(rows, stored1=(), stored2=()):
-    """Plain-Python model of M1 (used by tests): rows are (ordinal, k1, k2)."""
-    taken1, taken2 = set(stored1), set(stored2)
-    kept = []
-    for o, a, b in sorted(rows, key=lambda r: r[0]):
-        if (a is not None and a in taken1) or (b is not None and b in taken2):
-            continue
-        kept.append(o)
-        if a is not None:
-            taken1.add(a)
-        if b is not None:
-            taken2.add(b)
-    return kept
-
-
 # ---------------------------------------------------------------- groups
 def add_groups(groups: DataFrame, new: DataFrame, ordinal: str = "ordinal"
                ) -> tuple[DataFrame, DataFrame]:
@@ -194,21 +193,28 @@ def _append_groups(groups: DataFrame, inserted: DataFrame, ordinal: str) -> Data
     return groups.select(*new_rows.columns).unionByName(new_rows)
 
 
-def get_or_create_groups(groups: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+def get_or_create_groups(groups: DataFrame, urls: DataFrame, ordinal: str | None = None,
+                         ) -> tuple[DataFrame, DataFrame]:
     """Resolve each (group_url, group_name?) to a group id, creating
     the missing groups (name defaults to ``Group from <url>``).
 
+    Requests are taken in the order of ``ordinal`` (without one: of url and name): of a url's
+    names the first given counts, and a new group is added only if its name is
+    not taken yet, by a stored group or an earlier new one (both columns are unique).
+    A request whose group could not be added keeps a NULL group_id.
+
     Returns (resolved rows with group_id, groups_after).
     """
-    req = urls.select("group_url", F.col("group_name") if "group_name" in urls.columns
-                      else F.lit(None).cast("string").alias("group_name"))
-    # one request per url: the first name given wins
-    req = req.groupBy("group_url").agg(F.min("group_name").alias("group_name"))
+    name = F.col("group_name") if "group_name" in urls.columns else F.lit(None).cast("string")
+    order = F.col(ordinal) if ordinal else F.struct(F.col("group_url"), name)
+    req = (urls.select("group_url", name.alias("group_name"), order.alias("ordinal"))
+           .groupBy("group_url").agg(F.min_by("group_name", F.struct(F.col("group_name").isNull(), "ordinal"))
+                                     .alias("group_name"), F.min("ordinal").alias("ordinal")))
     misses = req.join(groups.select("group_url"), "group_url", "left_anti").select(
         "group_url", generated_group_name(F.col("group_name"), F.col("group_url"))
-        .alias("group_name"))
-    misses = misses.join(groups.select("group_name"), "group_name", "left_anti")
-    after = _append_groups(groups, misses.withColumn("ordinal", F.col("group_url")), "ordinal")
+        .alias("group_name"), "ordinal")
+    inserted, _, _ = insert_two_keys(groups, misses, ["group_name"], ["group_url"], "ordinal")
+    after = _append_groups(groups, inserted, "ordinal")
     resolved = urls.join(after.select("group_url", "group_id"), "group_url", "left")
     return resolved, after
 
@@ -222,7 +228,8 @@ def remove_groups(groups: DataFrame, posts: DataFrame, ids: DataFrame, cascade:
     req = ids.select(F.col("group_id").cast("bigint").alias("group_id")).distinct()
     known = req.join(groups.select("group_id"), "group_id", "left_semi")
     unknown = req.join(groups.select("group_id"), "group_id", "left_anti")
-    used = known.join(posts.select("group_id"), "group_id", "left_semi")
+    # few distinct ids: a group of very many posts is no hot key of the join
+    used = known.join(posts.select("group_id").distinct(), "group_id", "left_semi")
     if cascade:
         removed, refused = known, used.limit(0)
     else:

@@ -27,18 +27,10 @@ from agora.functions.text import ilike_contains
 
 log = logging.getLogger(__name__)
 
-# Largest matching-post set whose ids are broadcast to filter comments map-side
-# (8 bytes per id: 16 MB).
-PREFILTER_MAX_IDS = 2_000_000
-
-
 def _present(v) -> bool:
-    """a search argument counts only when it is not None and not blank."""
-    if v is None:
-        return False
-    if isinstance(v, str):
-        return v.strip() != ""
-    return True
+    """a search argument counts when it is neither None nor empty; blanks are a
+    value like any other (they match texts that hold them)."""
+    return v is not None and v != ""
 
 
 def parse_day(value: str) -> _dt.date:
@@ -118,18 +110,13 @@ def search_posts(posts: DataFrame, comments: DataFrame, *, group_id=None, filter
                  filter_value=None, category=None, start_date=None, end_date=None,
                  end_exclusive=False, post_author=None, comment_author=None, keyword=None,
                  min_comments=None, max_comments=None, is_idea=False, limit=None,
-                 order=True, prefilter: bool | None = None,
-                 prefilter_max_ids: int = PREFILTER_MAX_IDS) -> DataFrame:
+                 order=True, prefilter: bool | None = None) -> DataFrame:
     """Annotated posts matching every given filter, with ``comment_count``.
 
-    Selective searches first filter the comments to the matching post ids with a
-    BROADCAST semi-join, so only their comments are aggregated, map-side. The
-    broadcast is behind a size check: the matching posts are counted first (one
-    scalar) and the ids are broadcast only when there are at most
-    ``prefilter_max_ids`` of them. Beyond that the plain plan runs: partial
-    aggregation of all comments, which stays skew-safe (a shuffled semi-join
-    would send every comment of a hot post to one task before aggregating).
-    ``prefilter=None`` tries this when a post predicate beyond F1 is given.
+    Selective searches (a post predicate beyond F1; or as ``prefilter`` says) first filter the
+    comments to the matching post ids with a semi-join: Spark broadcasts the ids
+    where their measured size allows it and else splits a hot post's comments as a
+    skewed join side. Otherwise all comments are aggregated, partially first.
     """
     preds = post_predicates(group_id=group_id, filter_field=filter_field,
                             filter_value=filter_value, category=category,
@@ -143,9 +130,8 @@ def search_posts(posts: DataFrame, comments: DataFrame, *, group_id=None, filter
     if prefilter is None:
         prefilter = len(preds) > 1
     c = comments
-    if prefilter and p.count() <= prefilter_max_ids:
-        ids = F.broadcast(p.select("internal_post_id"))
-        c = comments.join(ids, "internal_post_id", "left_semi")
+    if prefilter:
+        c = comments.join(p.select("internal_post_id"), "internal_post_id", "left_semi")
     act = comment_activity(c, comment_author=comment_author, keyword=keyword)
     j = p.join(act, "internal_post_id", "left").withColumn(
         "comment_count", F.coalesce(F.col("comment_count"), F.lit(0)).cast("bigint"))

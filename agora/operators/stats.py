@@ -84,17 +84,11 @@ def distinct_values(posts: DataFrame, field: str) -> DataFrame:
     return posts.filter(F.col(field).isNotNull()).select(c.cast("string").alias("value")).distinct()
 
 
-def all_statistics(posts: DataFrame, comments: DataFrame, k: int = 5) -> dict:
-    """Every statistic; four small jobs, results are tiny."""
-    row = overview(posts, comments).first()
-    return {
-        "total_posts": row["total_posts"],
-        "posts_per_category": [tuple(r) for r in posts_per_category(posts).collect()],
-        "unprocessed_posts": row["unprocessed_posts"],
-        "total_comments": row["total_comments"],
-        "avg_comments_per_post": round(float(row["avg_comments_per_post"]), 2),
-        "top_authors": [tuple(r) for r in top_authors(posts, k).collect()],
-    }
+def all_statistics(posts: DataFrame, comments: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+    """Every statistic, as DataFrames (categories are free text, so their number
+    is not bounded): ``overview`` of one row, ``posts_per_category``, ``top_authors``."""
+    return {"overview": overview(posts, comments), "posts_per_category": posts_per_category(posts),
+            "top_authors": top_authors(posts, k)}
 
 
 def run_counters(df: DataFrame, name: str, **exprs) -> tuple[DataFrame, Observation]:

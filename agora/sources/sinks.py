@@ -161,15 +161,22 @@ def write_snapshot(df: DataFrame, root: str, table: str) -> str:
     out.writeUTF(path)
     out.close()
     _, final = _fs(spark, f"{base}/{POINTER}")
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(tmp, final)
+    jvm = spark.sparkContext._jvm
+    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(overwrite, 1)
+    options[0] = overwrite.OVERWRITE
+    # one step that replaces the pointer, or fails and leaves the old one
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, final, options)
     return path
 
 
 def current_snapshot(spark: SparkSession, root: str, table: str) -> str | None:
     fs, ptr = _fs(spark, f"{root.rstrip('/')}/{table}/{POINTER}")
     if not fs.exists(ptr):
+        if fs.exists(ptr.getParent()) and any(
+                f.getPath().getName().startswith("snap-") for f in fs.listStatus(ptr.getParent())):
+            raise RuntimeError(f"table {table} has snapshots but no pointer to the current one")
         return None
     inp = fs.open(ptr)
     try:

@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agora.operators import ingest
 from agora.operators.stats import run_counters
@@ -35,10 +36,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame | None:
+def read_store(spark: SparkSession, store: str, rows: T.StructType) -> DataFrame | None:
+    """The stored rows (of schema ``rows``) with their batch number; read with the
+    declared schema, as batches without rows leave no files to infer one from."""
     if not _exists(spark, store):
         return None
-    return spark.read.parquet(store)
+    return spark.read.schema(T.StructType([*rows.fields, T.StructField(BATCH_COL, T.IntegerType())])).parquet(store)
+
+
+def _stored_before(batch: DataFrame, store: str, batch_id: int) -> DataFrame | None:
+    stored = read_store(batch.sparkSession, store, batch.schema)
+    if stored is None:
+        return None
+    return stored.filter(F.col(BATCH_COL) != F.lit(int(batch_id))).drop(BATCH_COL)
 
 
 def _write_batch(df: DataFrame, store: str, batch_id: int, metrics: list | None = None) -> None:
@@ -55,17 +65,8 @@ def one_key_sink(store: str, key_cols: list[str], ordinal: str, metrics: list |
                  ) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: first-wins insert on one unique key (M2 + ST2)."""
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = read_store(spark, store)
-        if stored is not None:
-            stored = stored.filter(F.col(BATCH_COL) != F.lit(int(batch_id))).drop(BATCH_COL)
-        # the micro-batch feeds several jobs: read (and prepare) it once
-        batch = batch.persist()
-        try:
-            inserted, ignored = ingest.insert_one_key(stored, batch, key_cols, ordinal)
-            _write_batch(inserted, store, batch_id, metrics)
-        finally:
-            batch.unpersist()
+        inserted, _ = ingest.insert_one_key(_stored_before(batch, store, batch_id), batch, key_cols, ordinal)
+        _write_batch(inserted, store, batch_id, metrics)
     return process
 
 
@@ -73,22 +74,12 @@ def two_key_sink(store: str, key1: list[str], key2: list[str], ordinal: str,
                  metrics: list | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: first-wins insert on two unique keys (M1 + ST2).
 
-    Rows sharing an ordinal are one record landed more than once (a re-scrape
-    arriving in the same round); one copy is kept before the two-key rule, which
-    needs unique ordinals.
+    Rows sharing an ordinal are told apart by their content, so different records are
+    all offered to the two-key rule and a re-scrape in the same round is ignored by it.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = read_store(spark, store)
-        if stored is not None:
-            stored = stored.filter(F.col(BATCH_COL) != F.lit(int(batch_id))).drop(BATCH_COL)
-        # the micro-batch feeds several jobs: read (and prepare) it once
-        batch = batch.dropDuplicates([ordinal]).persist()
-        try:
-            inserted, _, _ = ingest.insert_two_keys(stored, batch, key1, key2, ordinal)
-            _write_batch(inserted, store, batch_id, metrics)
-        finally:
-            batch.unpersist()
+        inserted, _, _ = ingest.insert_two_keys(_stored_before(batch, store, batch_id), batch, key1, key2, ordinal)
+        _write_batch(inserted, store, batch_id, metrics)
     return process
 
 

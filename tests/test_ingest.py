@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests import models
 from agora.operators import ingest
 
 ROW = "ordinal long, k1 string, k2 string"
@@ -49,7 +50,7 @@ def test_two_key_equals_sequential(spark, pairs, rnd):
     rnd.shuffle(order)
     rows = [(o, None if a is None else f"a{a}", None if b is None else f"b{b}")
             for o, (a, b) in zip(order, pairs)]
-    exp = sorted(ingest.sequential_two_key(rows))
+    exp = sorted(models.sequential_two_key(rows))
     assert kept(spark, rows) == exp
 
 
@@ -62,7 +63,7 @@ def test_two_key_on_lineitem_sample(spark):
                                             ["l_partkey", "l_suppkey"], "ordinal")
     data = [(r[0], (r[1], r[2]), (r[3], r[4])) for r in rows.collect()]
     assert sorted(r[0] for r in ins.select("ordinal").collect()) == sorted(
-        ingest.sequential_two_key(data))
+        models.sequential_two_key(data))
     assert rounds >= 1
 
 
@@ -195,3 +196,71 @@ def test_ingest_records_and_rescrape(spark):                            # ST1, Q
     c2 = sorted((r["comment_id"], r["internal_post_id"], r["external_comment_id"])
                 for r in run2["comments"].collect())
     assert c2 == [(1, 1, "c1"), (2, 2, "c2"), (3, 2, "c3")]
+
+
+def test_rows_that_share_an_ordinal_are_not_lost(spark):
+    rows = [(1, "p1", "u1"), (1, "p2", "u2"), (1, "p1", "u9"), (1, None, None), (1, None, None), (2, "p3", "u2")]
+    df = spark.createDataFrame(rows, "ordinal long, k1 string, k2 string")
+    ins, ign, _ = ingest.insert_two_keys(None, df, ["k1"], ["k2"], "ordinal")
+    got = [tuple(r) for r in ins.collect()]
+    assert len(got) + ign.count() == len(rows)
+    assert {r[1] for r in got} == {"p1", "p2", None} and sum(r[1] is None for r in got) == 2
+    one, ignored = ingest.insert_one_key(None, df, ["k1"], "ordinal")
+    assert one.count() == 5 and ignored.count() == 1
+
+
+def test_first_given_name_and_unique_names(spark, groups):
+    req = spark.createDataFrame([(1, "https://x/1", "Zed"), (2, "https://x/1", "Abe"), (3, "https://x/2", "Same"),
+                                 (4, "https://x/3", "Same"), (5, "https://x/4", "Alpha"), (6, "https://x/5", None)],
+                                "o long, group_url string, group_name string")
+    resolved, after = ingest.get_or_create_groups(groups, req, "o")
+    names = {r["group_url"]: r["group_name"] for r in after.collect()}
+    assert names["https://x/1"] == "Zed" and names["https://x/2"] == "Same"
+    assert "https://x/3" not in names and "https://x/4" not in names
+    assert len(names) == len(set(names.values()))
+    got = {r["o"]: r["group_id"] for r in resolved.collect()}
+    assert got[1] == got[2] is not None and got[4] is None and got[5] is None and got[6] is not None
+
+
+def test_stream_without_rows_first_and_shared_ordinals(spark, tmp_path):
+    from agora.streaming import ingest_stream as S
+    schema = "ordinal long, k1 string, k2 string"
+    sink = S.two_key_sink(str(tmp_path / "store"), ["k1"], ["k2"], "ordinal")
+    rows = spark.createDataFrame([(1, "p1", "u1"), (1, "p2", "u2")], schema)
+    sink(spark.createDataFrame([], schema), 0)
+    sink(rows, 1)
+    sink(rows, 1)   # replayed
+    sink(rows, 2)   # landed again
+    got = S.read_store(spark, str(tmp_path / "store"), rows.schema).collect()
+    assert sorted((r["k1"], r["_batch"]) for r in got) == [("p1", 1), ("p2", 1)]
+
+
+def test_pointer_is_replaced_in_one_step_and_never_lost(spark, tmp_path):
+    import pytest
+    from agora.sources import sinks
+    root = str(tmp_path)
+    df = spark.range(3).selectExpr("id AS group_id")
+    first = sinks.write_snapshot(df, root, "t")
+    second = sinks.write_snapshot(df, root, "t")
+    assert first != second == sinks.current_snapshot(spark, root, "t")
+    (tmp_path / "t" / sinks.POINTER).unlink()
+    with pytest.raises(RuntimeError):
+        sinks.current_snapshot(spark, root, "t")
+
+
+def test_no_own_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from agora import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())

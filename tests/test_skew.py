@@ -3,6 +3,7 @@ is split or pre-aggregated (never one giant group in one task)."""
 
 from pyspark.sql import functions as F
 
+from tests import models
 from agora.operators import annotate as AN
 from agora.operators import ingest, search
 
@@ -44,7 +45,7 @@ def test_two_key_hot_key(spark):
                                   F.col("v").cast("string").alias("k2"))
     ins, _, _ = ingest.insert_two_keys(None, rows.repartition(8), ["k1"], ["k2"], "ordinal")
     got = sorted(r[0] for r in ins.select("ordinal").collect())
-    exp = sorted(ingest.sequential_two_key([(r[0], r[1], r[2]) for r in rows.collect()]))
+    exp = sorted(models.sequential_two_key([(r[0], r[1], r[2]) for r in rows.collect()]))
     assert got == exp
 
 
