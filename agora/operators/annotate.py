@@ -3,8 +3,8 @@ pluggable annotator, parse the answers and write the results back.
 
 Plan (posts)::
 
-    F12 unprocessed -> X8 tokens -> W1 next-fit packing per shard (applyInPandas,
-    only (id, ordinal, tokens) cross into Python) -> X9/X10 prompt per batch ->
+    F12 unprocessed -> X8 tokens -> W1 next-fit packing per shard (applyInPandas on
+    blocks of rows, only (position, tokens) cross into Python) -> X9/X10 prompt per batch ->
     UDF1 annotator (Arrow-batched pandas UDF, non-deterministic) -> raw answers
     CHECKPOINTED (a recomputed plan must never call the model twice) ->
     X11/X12 parse -> posexplode -> X13 id -> J4 equi-join on (batch, id) ->
@@ -22,6 +22,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,65 +76,110 @@ def unprocessed_comments(comments: DataFrame, group_id: int | None = None,
 
 
 # ---------------------------------------------------------------- W1 packing
-def _next_fit(max_tokens: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        seq = []
-        cur, b, started = 0, 0, False
-        for t in pdf["tokens"].to_numpy():
-            t = int(t)
-            if started and cur + t > max_tokens:
-                b += 1
-                cur = 0
-            cur += t
-            started = True
-            seq.append(b)
-        out = pdf[["shard", "bucket", "ordinal", "tokens"]].copy()
-        out["batch_seq"] = pd.Series(seq, index=pdf.index, dtype="int64")
-        return out
+#: Consecutive rows of a shard that one task packs.
+BLOCK_ROWS = 100_000
+
+
+def _next_starts(tokens: np.ndarray, max_tokens: int) -> np.ndarray:
+    """For each row the row that the next batch begins with, if one begins here."""
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    fits = np.searchsorted(total, total[:-1] + max_tokens, side="right") - 1
+    return np.maximum(fits, np.arange(len(tokens)) + 1)
+
+
+def _block_map(block_rows: int, reach: int, max_tokens: int):
+    """Where the batches leave a block, for each row they may enter it by: as runs of
+    entries with the same (row of the next block, number of batches begun)."""
+    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        begin = int(key[1]) * block_rows
+        own = int((pdf["_pos"] < begin + block_rows).sum())
+        starts = _next_starts(pdf["tokens"].to_numpy(), max_tokens)
+        leave, count = np.zeros(own, np.int64), np.ones(own, np.int64)
+        for i in range(own - 1, -1, -1):
+            n = starts[i]
+            if n < own:
+                leave[i], count[i] = leave[n], count[n] + 1
+            else:
+                leave[i] = n - block_rows
+        entry = np.arange(reach)
+        inside = entry < own
+        leave = np.where(inside, leave[np.minimum(entry, own - 1)], entry - block_rows)
+        count = np.where(inside, count[np.minimum(entry, own - 1)], 0)
+        # beyond the block's rows a batch passes it by: one run
+        new = np.flatnonzero(np.append(True, np.where(
+            inside[1:], (np.diff(leave) != 0) | (np.diff(count) != 0), inside[:-1])))
+        return pd.DataFrame({"_shard": key[0], "_block": key[1], "entry": [new.tolist()],
+                             "leave": [leave[new].tolist()], "count": [count[new].tolist()]})
+    return fn
+
+
+def _entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Follow the blocks of a shard: where the batches enter each, and how many began before."""
+    entry, seq, out = 0, 0, []
+    for r in pdf.sort_values("_block").itertuples(index=False):
+        out.append((key[0], r[1], entry, seq))
+        run = int(np.searchsorted(r[2], entry, side="right")) - 1
+        seq += int(r[4][run])
+        entry = int(r[3][run]) + (entry - int(r[2][run]) if r[4][run] == 0 else 0)
+    return pd.DataFrame(out, columns=["_shard", "_block", "_entry", "_seq"])
+
+
+def _numbered(block_rows: int, max_tokens: int):
+    """Batch numbers of a block's rows, given where the batches enter it."""
+    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        entry, seq = int(pdf["_entry"].iloc[0]), int(pdf["_seq"].iloc[0])
+        starts, begins = _next_starts(pdf["tokens"].to_numpy(), max_tokens), np.zeros(len(pdf), np.int64)
+        while entry < len(pdf):
+            begins[entry] = 1
+            entry = starts[entry]
+        return pd.DataFrame({"_g": pdf["_g"].to_numpy(), "batch_seq": seq - 1 + np.cumsum(begins)})
     return fn
 
 
 def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
                  max_tokens: int = schemas.POST_BATCH_MAX_TOKENS,
-                 bucket_rows: int = 1_000_000) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Next-fit packing by token budget, in id order, within each shard.
 
     A batch closes when adding the next row would pass ``max_tokens``; a row
-    larger than the budget sits alone. Shards are independent tasks. A shard is
-    further cut into buckets of ``bucket_rows`` consecutive rows (by a dense rank
-    over the narrow (shard, id) columns), so no pandas group grows with the data
-    however large one shard is; a batch never spans two buckets. Only
-    (shard, bucket, id, tokens) go through Python.
-
-    Returns rows + ``tokens``, ``shard``, ``bucket``, ``batch_seq`` and
-    ``batch_id`` = "<shard>/<bucket>/<seq>".
+    larger than the budget sits alone. A NULL shard is a shard of its own. The result
+    does not depend on ``block_rows``, the consecutive rows of a shard that one task
+    packs: a row costs ``TOKEN_OVERHEAD`` at least, so a batch reaches only so many
+    rows into the next block. For each row that a batch can enter a block by, a
+    task finds where the batches leave it; the blocks of a shard are then
+    followed from entry to entry (a few numbers each), and every block is numbered
+    with its own entry. Only (position, tokens) go through Python.
+
+    Returns rows + ``tokens``, ``shard``, ``batch_seq`` and ``batch_id`` =
+    "<shard>/0/<seq>".
     """
     ship_package(rows.sparkSession)
-    reserved = {"shard", "bucket", "tokens", "ordinal", "batch_seq", "batch_id"}
+    reserved = {"shard", "tokens", "ordinal", "batch_seq", "batch_id"}
     keyed = rows.select(*[F.col(c) for c in rows.columns if c not in reserved],
                         shard.cast("string").alias("shard"),
                         token_estimate(F.col(text_col)).alias("tokens"),
                         F.col(id_col).alias("ordinal"))
-    narrow = keyed.select("shard", "ordinal", "tokens")
-    # only shards above ``bucket_rows`` need ranking; the others are one bucket
-    big = narrow.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")) \
-        .filter(F.col("_n") > bucket_rows).select("shard")
-    bucketed = narrow.join(big, "shard", "left_anti").withColumn("bucket", F.lit(0).cast("bigint"))
-    if not big.isEmpty():
-        ranked = with_ordinal(narrow.join(big, "shard", "left_semi"), ["shard", "ordinal"], "_g")
-        first = ranked.groupBy("shard").agg(F.min("_g").alias("_g0"))
-        bucketed = bucketed.unionByName(ranked.join(first, "shard").select(
-            "shard", "ordinal", "tokens",
-            F.floor((F.col("_g") - F.col("_g0")) / F.lit(bucket_rows)).cast("bigint")
-            .alias("bucket")))
-    packed = (bucketed.groupBy("shard", "bucket")
-              .applyInPandas(_next_fit(max_tokens),
-                             "shard string, bucket bigint, ordinal bigint, tokens bigint, "
-                             "batch_seq bigint"))
-    out = keyed.drop("tokens").join(packed, ["shard", "ordinal"])
-    return out.withColumn("batch_id", F.concat_ws("/", "shard", F.col("bucket").cast("string"),
-                                                  F.col("batch_seq").cast("string")))
+    ranked = with_ordinal(keyed, ["shard", "ordinal"], "_g")
+    # a shard is known by its first row from here on
+    first = ranked.groupBy(F.col("shard").alias("_name")).agg(F.min("_g").alias("_shard"))
+    narrow = (ranked.select("_g", "shard", "tokens").join(first, F.col("shard").eqNullSafe(F.col("_name")))
+              .select("_g", "_shard", (F.col("_g") - F.col("_shard")).alias("_pos"), "tokens"))
+    reach = max(1, max_tokens // schemas.TOKEN_OVERHEAD)
+    block = F.floor(F.col("_pos") / block_rows)
+    back = F.greatest(F.lit(0), F.floor((F.col("_pos") - reach) / block_rows))
+    maps = (narrow.withColumn("_block", F.explode(F.sequence(back.cast("long"), block.cast("long"))))
+            .groupBy("_shard", "_block").applyInPandas(
+                _block_map(block_rows, reach, max_tokens),
+                "_shard long, _block long, entry array<long>, leave array<long>, count array<long>"))
+    entries = cut_lineage(maps.groupBy("_shard").applyInPandas(
+        _entries, "_shard long, _block long, _entry long, _seq long"))
+    packed = (narrow.withColumn("_block", block.cast("long")).join(entries, ["_shard", "_block"])
+              .groupBy("_shard", "_block").applyInPandas(
+                  _numbered(block_rows, max_tokens), "_g long, batch_seq long"))
+    out = ranked.join(packed, "_g").drop("_g")
+    return out.withColumn("batch_id", F.concat_ws("/", "shard", F.lit("0"), F.col("batch_seq").cast("string")))
 
 
 def fixed_chunks(rows: DataFrame, id_col: str, size: int = schemas.COMMENT_CHUNK_SIZE) -> DataFrame:

@@ -56,14 +56,21 @@ def test_packing_is_per_shard(spark):
     assert got == [0, 0, 0, 0, 1, 1]                  # 200 tokens each: two per batch
 
 
-def test_buckets_bound_groups_whatever_the_ids(spark):
-    # sparse ids: buckets follow row counts, not id ranges
-    rows = [(i * 10**12, "x" * 400, "s") for i in range(1, 11)]
+@pytest.mark.parametrize("budget", [150, 450, 1000, 5000])
+def test_any_block_size_gives_the_same_batches(spark, budget):
+    import random
+    rng = random.Random(budget)
+    lengths = [rng.choice([0, 40, 400, 900, 3000]) for _ in range(120)]
+    rows = [(i * 10**12, "x" * n, rng.choice(["a", "a", "a", "b", None])) for i, n in enumerate(lengths)]
     df = spark.createDataFrame(rows, "id long, text string, shard string")
-    out = sorted(AN.pack_batches(df, "id", "text", F.col("shard"), 10**6, bucket_rows=4)
-                 .select("ordinal", "bucket", "batch_seq").collect())
-    assert [r["bucket"] for r in out] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
-    assert [r["batch_seq"] for r in out] == [0] * 10            # one batch per bucket
+    want = {}
+    for name in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == name]
+        for r, seq in zip(own, next_fit_model([len(r[1]) // 4 + 100 for r in own], budget)):
+            want[r[0]] = (name, seq)
+    for block in (1, 3, 7, 50, 100_000):
+        out = AN.pack_batches(df, "id", "text", F.col("shard"), budget, block_rows=block).collect()
+        assert {r["id"]: (r["shard"], r["batch_seq"]) for r in out} == want and len(out) == len(rows)
 
 
 def test_fixed_chunks(spark):
