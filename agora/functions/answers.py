@@ -20,8 +20,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FENCE = r"```(?:json)?\s*([\s\S]*?)```"
-_BRACKETS = r"\[[\s\S]*\]"
+# what stands between the first two fences, without the name of a language
+_FENCED = r"(?s)`{3}(?:json)?(.*?)`{3}"
+
+
+def _bracketed(text: Column) -> Column:
+    """From the first opening to the last closing bracket."""
+    first = F.instr(text, "[")
+    last = F.length(text) - F.instr(F.reverse(text), "]") + 1
+    return F.when((first > 0) & text.contains("]") & (last > first), F.substring(text, first, last - first + 1))
 
 
 def _is_json(text: Column) -> Column:
@@ -53,8 +60,8 @@ def result_list_text(answer: Column, wrapper_keys: tuple[str, ...]) -> Column:
     obj = F.coalesce(*wrapped, first_list)
     from_whole = (F.when(first == "[", answer)
                   .when(first == "{", obj))
-    fenced = _array_text(F.trim(F.regexp_extract(answer, _FENCE, 1)))
-    brackets = _array_text(F.regexp_extract(answer, _BRACKETS, 0))
+    fenced = _array_text(F.trim(F.regexp_extract(answer, _FENCED, 1)))
+    brackets = _array_text(_bracketed(answer))
     return F.when(answer.isNull(), F.lit(None)) \
         .when(whole_ok, from_whole) \
         .otherwise(F.coalesce(fenced, brackets))

@@ -69,7 +69,8 @@ def post_identity(url: Column, host_substring: str, has_time_marker: Column | No
 
     With a link on the expected host: canonical url and the X2 id. Otherwise
     the record is a candidate only with a time marker. A candidate without an
-    id gets the X3 fallback id.
+    id gets the X3 fallback id: of its url or else of ``page_key``, which must be made of
+    what a re-scrape sees again (author, text, time), never of where it was found.
     """
     on_host = host_matches(url, host_substring)
     post_url = F.when(on_host, canonical_url(url))
@@ -78,7 +79,7 @@ def post_identity(url: Column, host_substring: str, has_time_marker: Column | No
     is_candidate = (on_host & post_url.isNotNull()) | marker
     key = page_key if page_key is not None else F.lit("")
     pid = F.when(is_candidate, F.coalesce(
-        rid, fallback_id("generated_", F.coalesce(post_url, F.lit("")), key.cast("string"))))
+        rid, fallback_id("generated_", F.coalesce(post_url, key.cast("string")))))
     return {"post_url": post_url, "post_id": pid, "is_candidate": is_candidate}
 
 

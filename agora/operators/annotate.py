@@ -16,9 +16,8 @@ Comments use fixed chunks of 5 in comment-id order (W2): a global dense rank
 
 from __future__ import annotations
 
-import json
 import logging
-import re
+import random
 import time
 from collections.abc import Callable, Iterator
 
@@ -214,110 +213,50 @@ def build_prompts(batched: DataFrame, kind: str, id_col: str, text_col: str,
 
 
 # ---------------------------------------------------------------- UDF1-UDF4
-class OfflineAnnotator:
-    """A deterministic, rule-based annotator (no network) for tests and replays.
-
-    Posts: category by text length, summary = first 40 characters, idea flag =
-    even length, keywords = [length]. Some ids are written in a damaged form
-    (exercising the lenient id parse and the summary fallback), some posts get
-    two results (the last wins), and the answer shape rotates between a plain
-    array, a fenced block and a wrapper object.
-    Comments: category / sentiment by text length; some ids are damaged (strict
-    parse rejects them).
-    """
-
-    POST_LINE = re.compile(r"\[POST_ID_(\d+): (.*?)\]\n(?=\[POST_ID_\d+: |\Z)", re.S)
-    COMMENT_LINE = re.compile(r"\[COMMENT_ID_(\d+): (.*?)\]\n(?=\[COMMENT_ID_\d+: |\Z)", re.S)
-
-    def __call__(self, system: str, user: str) -> str:
-        if user.startswith("Posts:\n"):
-            return self._posts(user[len("Posts:\n"):])
-        return self._comments(user[len("Comments:\n"):])
-
-    @staticmethod
-    def post_category(n: int) -> str:
-        if n < 500:
-            return "General Discussion"
-        if n < 2000:
-            return "Question/Inquiry"
-        if n < 10000:
-            return "Problem Statement"
-        return "Project Idea"
-
-    def _posts(self, body: str) -> str:
-        res = []
-        first = None
-        for m in self.POST_LINE.finditer(body):
-            pid, text = int(m.group(1)), m.group(2)
-            first = pid if first is None else first
-            n = len(text)
-            if pid % 7 == 3:
-                tag = f"POST_{pid}"                     # unparseable -> summary fallback
-            elif pid % 11 == 5:
-                tag = f"POST_ID_{pid}: see text"        # lenient parse
-            else:
-                tag = f"POST_ID_{pid}"
-            r = {"postId": tag, "category": self.post_category(n), "subCategory": None,
-                 "keywords": [str(n)], "summary": text[:40], "isPotentialIdea": n % 2 == 0,
-                 "reasoning": "length rule"}
-            res.append(r)
-            if pid % 13 == 0:                           # a second answer: the last wins
-                res.append({**r, "postId": f"POST_ID_{pid}", "category": "Other"})
-        body_json = json.dumps(res, ensure_ascii=False)
-        shape = (first or 0) % 3
-        if shape == 1:
-            return f"Here are the results:\n```json\n{body_json}\n```"
-        if shape == 2:
-            return json.dumps({"results": res}, ensure_ascii=False)
-        return body_json
-
-    def _comments(self, body: str) -> str:
-        res = []
-        first = None
-        for m in self.COMMENT_LINE.finditer(body):
-            cid, text = int(m.group(1)), m.group(2)
-            first = cid if first is None else first
-            n = len(text)
-            tag = f"COMMENT_ID_{cid}x" if cid % 9 == 4 else f"COMMENT_ID_{cid}"
-            res.append({"comment_id": tag,
-                        "category": schemas.COMMENT_CATEGORIES[n % 8],
-                        "sentiment": schemas.COMMENT_SENTIMENTS[n % 3],
-                        "keywords": [str(n)]})
-        if (first or 0) % 2 == 0:
-            return json.dumps({"comments": res}, ensure_ascii=False)
-        return json.dumps(res, ensure_ascii=False)
-
-
 # UDF3: annotators by name; a factory runs on the worker.
-ANNOTATORS: dict[str, Callable[..., Callable[[str, str], str]]] = {
-    "offline": lambda **kw: OfflineAnnotator(),
-}
+ANNOTATORS: dict[str, Callable[..., Callable[[str, str], str]]] = {}
 
 
 def register_annotator(name: str, factory: Callable[..., Callable[[str, str], str]]) -> None:
     ANNOTATORS[name] = factory
 
 
-def get_annotator(name: str, **options) -> Callable[[str, str], str]:
+def factory_of(name: str) -> Callable[..., Callable[[str, str], str]]:
     if name not in ANNOTATORS:
         raise ValueError(f"unknown annotator {name!r}; known: {sorted(ANNOTATORS)}")
-    return ANNOTATORS[name](**options)
+    return ANNOTATORS[name]
+
+
+def get_annotator(name: str, **options) -> Callable[[str, str], str]:
+    return factory_of(name)(**options)
+
+
+class TransientError(Exception):
+    """What an annotator raises for a failure that may pass (rate limit, overload)."""
+
+
+TRANSIENT = (TransientError, ConnectionError, TimeoutError)
 
 
 def call_with_retry(fn, *args, initial=schemas.RETRY_INITIAL_S,
                     multiplier=schemas.RETRY_MULTIPLIER, cap=schemas.RETRY_MAX_WAIT_S,
-                    deadline=schemas.RETRY_DEADLINE_S, sleep=time.sleep, clock=time.monotonic):
-    """UDF4: exponential back-off; after the deadline the call yields None."""
+                    deadline=schemas.RETRY_DEADLINE_S, sleep=time.sleep, clock=time.monotonic,
+                    transient=TRANSIENT, jitter=random.random):
+    """UDF4: exponential back-off with jitter on transient errors; after the deadline, and at
+    once on any other error, the call yields None (its rows stay unprocessed)."""
     start, wait = clock(), initial
     while True:
         try:
             return fn(*args)
-        except Exception as e:  # any transient failure
+        except transient as e:
             if clock() - start + wait > deadline:
                 log.warning("annotator gave up after retries: %s", e)
                 return None
-            sleep(wait)
+            sleep(wait * (1 + jitter() / 4))
             wait = min(wait * multiplier, cap)
+        except Exception as e:
+            log.warning("annotator failed: %s", e)
+            return None
 
 
 def annotate_prompts(prompts: DataFrame, annotator: str = "offline", options: dict | None = None,
@@ -332,13 +271,14 @@ def annotate_prompts(prompts: DataFrame, annotator: str = "offline", options: di
     so a re-evaluated plan never calls the model again.
     """
     ship_package(prompts.sparkSession)
-    name, opts, rkw = annotator, dict(options or {}), dict(retry or {})
+    # looked up here: the executors' own registry knows nothing of what was registered on the driver
+    factory, opts, rkw = factory_of(annotator), dict(options or {}), dict(retry or {})
     n = concurrency or prompts.sparkSession.sparkContext.defaultParallelism
     prompts = prompts.repartition(int(n), "batch_id")
 
     @F.pandas_udf(T.StringType())
     def call(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        fn = get_annotator(name, **opts)
+        fn = factory(**opts)
         for system, user in it:
             yield pd.Series([call_with_retry(fn, s, u, **rkw) for s, u in zip(system, user)],
                             dtype=object)
@@ -354,6 +294,8 @@ def results_of(answers: DataFrame, kind: str) -> DataFrame:
     """One row per parsed result: (batch_id, rpos, result, parsed_id)."""
     schema = schemas.POST_RESULT if kind == "posts" else schemas.COMMENT_RESULT
     keys = schemas.POST_WRAPPER_KEYS if kind == "posts" else schemas.COMMENT_WRAPPER_KEYS
+    # of a name given twice in one object the last value counts, as usual for JSON
+    answers.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = answers.select("batch_id", F.posexplode(
         parse_results(F.col("answer"), schema, keys)).alias("rpos", "r"))
     if kind == "posts":

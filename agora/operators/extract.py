@@ -196,7 +196,8 @@ def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
     src = spread(pages.select("page_id", "url", "html"))
     raw = src.mapInPandas(_rules_fn(rules, fields), RAW_SCHEMA)
     base = base_ts if base_ts is not None else F.localtimestamp()
-    ident = urls.post_identity(F.col("url"), host, F.col("has_time_marker"), F.col("page_id"))
+    seen = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("author_name", "content_text", "time_text")])
+    ident = urls.post_identity(F.col("url"), host, F.col("has_time_marker"), seen)
     # E5: direct time text, else the first candidate that parses (X5, JVM-side)
     parses = F.filter("time_candidates",
                       lambda c: timeparse.parse_time_text(c, base).isNotNull())
@@ -246,7 +247,8 @@ def explode_comments(posts: DataFrame, base_ts: Column | None = None,
         F.col("c.commenter_profile_pic_url").alias("commenter_profile_pic_url"),
         F.col("c.comment_text").alias("comment_text"),
         urls.comment_id_from(F.col("c.href"), F.col("c.data_comment_id"),
-                             F.col("page_id").cast("string"), F.col("c.pos").cast("string"))
+                             *[F.coalesce(c, F.lit("")) for c in ("c.commenter_name", "c.comment_text",
+                                                                  "c.time_text", "external_post_id")])
         .alias("external_comment_id"),
         timeparse.parse_time_text(F.col("c.time_text"), base).alias("commented_at"),
         F.col("scraped_at").alias("comment_scraped_at"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agora import schemas
 from agora.operators import annotate as AN
 from agora.operators import stats
+from agora.plans import offline  # noqa: F401  (registers the annotator)
 from agora.plans import sql_bindings as SB
 from agora.plans.registry import register
 from agora.sources import bindings as B

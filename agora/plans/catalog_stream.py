@@ -10,7 +10,7 @@ from agora.session import scratch_path
 from agora.sources import bindings as B
 from agora.streaming import ingest_stream as S
 
-HOST = "example.com"
+HOST = "example."
 SCRAPE_TS = "2024-02-01 00:00:00"
 
 

@@ -124,5 +124,5 @@ def url_identity_sql(url: str, host: str, marker: str, key: str) -> dict[str, st
     cand = f"(({on_host} AND {canon} IS NOT NULL) OR {marker})"
     rid = f"CASE WHEN {on_host} THEN coalesce({', '.join(cands)}) END"
     pid = (f"CASE WHEN {cand} THEN coalesce({rid}, 'generated_' || substr(sha256("
-           f"coalesce({post_url}, '') || '|' || CAST({key} AS VARCHAR)), 1, 12)) END")
+           f"coalesce({post_url}, CAST({key} AS VARCHAR))), 1, 12)) END")
     return {"post_url": post_url, "post_id": pid, "is_candidate": cand}

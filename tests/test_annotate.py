@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from agora import schemas
 from agora.functions import answers
 from agora.operators import annotate as AN
+from agora.plans import offline  # noqa: F401
 from agora.sources.bindings import conform
 
 
@@ -100,15 +101,21 @@ def test_annotator_registry_and_retry():
     def flaky(s, u):
         calls.append(1)
         if len(calls) < 3:
-            raise RuntimeError("transient")
+            raise AN.TransientError("busy")
         return "ok"
     clock = iter(range(0, 1000, 1))
-    assert AN.call_with_retry(flaky, "s", "u", sleep=sleeps.append,
+    assert AN.call_with_retry(flaky, "s", "u", sleep=sleeps.append, jitter=lambda: 0,
                               clock=lambda: next(clock)) == "ok"
     assert sleeps == [1.0, 2.0]
 
+    def broken(s, u):
+        calls.append(1)
+        raise KeyError("no such key")
+    calls.clear()
+    assert AN.call_with_retry(broken, "s", "u", sleep=sleeps.append) is None and len(calls) == 1
+
     def dead(s, u):
-        raise RuntimeError("down")
+        raise TimeoutError("down")
     t = iter(range(0, 10000, 100))
     assert AN.call_with_retry(dead, "s", "u", sleep=lambda w: None, clock=lambda: next(t)) is None
 
@@ -191,3 +198,26 @@ def test_end_to_end_offline(spark):
     again = AN.annotate_posts(out["posts"], "offline", max_tokens=1500,
                               run_ts=F.lit("2024-01-02 00:00:00"))["posts"].collect()
     assert sum(r["is_processed_by_ai"] for r in again) >= len(done)
+
+
+def test_registered_factory_reaches_the_executors(spark):
+    def factory(prefix="", **_):
+        return lambda system, user: prefix + user[:6]
+    AN.register_annotator("echo", factory)
+    prompts = spark.createDataFrame([("b1", "s", "Posts:\n..", 1)], "batch_id string, system string, user string, n_items long")
+    got = AN.annotate_prompts(prompts, "echo", {"prefix": ">"}, concurrency=1).collect()
+    assert got[0]["answer"] == ">Posts:"
+
+
+def test_a_name_given_twice_keeps_the_last_value(spark):
+    text = '[{"postId": "POST_ID_1", "category": "Other", "category": "Project Idea", "keywords": [], "summary": "s", ' \
+           '"isPotentialIdea": true, "reasoning": "r"}, {"postId": "POST_ID_2", "category": "Other"}]'
+    df = spark.createDataFrame([("b", text), ("c", "Sure:\n```json\n" + text + "\n```"), ("d", "so [1] it is " + text)],
+                               "batch_id string, answer string")
+    got = [(r["batch_id"], r["parsed_id"], r["r"]["category"]) for r in AN.results_of(df, "posts").collect()]
+    assert sorted(got) == [("b", 1, "Project Idea"), ("b", 2, "Other"), ("c", 1, "Project Idea"), ("c", 2, "Other")]
+
+
+def test_labels_of_the_instructions_are_those_that_are_checked():
+    for name, labels in (("post_categorization", schemas.POST_CATEGORIES), ("comment_analysis", schemas.COMMENT_CATEGORIES)):
+        assert all(x in AN.get_prompt(name) for x in labels)
