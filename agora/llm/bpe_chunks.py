@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm import tokens
-from agora.llm.common import keyed, materialize, prepared
+from agora.llm.common import keyed, materialize, prepared, release
 
 #: Characters that a cut is decided by; a cut falls after one place in so many, about.
 WINDOW = 16
@@ -133,6 +133,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     again = (chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("_row", "nth")).alias("home"))
              .where("n > 1"))
     again = materialize(again.select("d1", "d2", "home"), "chunks")
+    shared_chunks = materialize(chunks.join(again.select("d1", "d2"), ["d1", "d2"], "left_semi"), "chunks")
+    release(chunks)
 
     def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.codec(shared)
@@ -142,17 +144,17 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 edges = cuts(text)
                 for w in wanted:
                     ids = codec.encode(text[edges[w["nth"]]:edges[w["nth"] + 1]])
-                    for column, value in zip(out, (w["d1"], w["d2"], np.array(ids, "<u4").tobytes())):
+                    for column, value in zip(out, (w["d1"], w["d2"], np.array(ids, codec.dtype).tobytes())):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                                               pa.array(out[2], pa.binary())], ["d1", "d2", "ids"])
 
-    # both joins with the texts deal them by _row alike, so Spark shuffles them once
     wanted = (again.select("home._row", F.struct("home.nth", "d1", "d2").alias("w"))
               .groupBy("_row").agg(F.collect_list("w").alias("wanted")))
-    exported = rows.join(wanted, "_row").select("text", "wanted").mapInArrow(
-        export, "d1 long, d2 long, ids binary")
-    taken = (chunks.join(exported, ["d1", "d2"]).groupBy("_row")
+    exported = materialize(rows.join(wanted, "_row").select("text", "wanted").mapInArrow(
+        export, "d1 long, d2 long, ids binary"), "chunks")
+    release(again)
+    taken = (shared_chunks.join(exported, ["d1", "d2"]).groupBy("_row")
              .agg(F.collect_list(F.struct("nth", "ids")).alias("known")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             lists, decoded = [], []
             for text, known in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist()):
-                have = {w["nth"]: np.frombuffer(w["ids"], "<u4").tolist() for w in known or ()}
+                have = {w["nth"]: np.frombuffer(w["ids"], codec.dtype).tolist() for w in known or ()}
                 ids = stitched(text, cuts(text), have, codec.encode)
                 lists.append(np.array(ids, "<u4").tobytes())
                 decoded.append(codec.decode(ids))

@@ -60,6 +60,8 @@ class Codec:
                  if token not in self.special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks,
                                           special_tokens=self.special)
+        #: The smallest type that holds every id: what ids are shuffled as.
+        self.dtype = "<u2" if max([*ranks.values(), *self.special.values()]) < 1 << 16 else "<u4"
         self._slow = None
 
     def _encode(self, text: str) -> list[int]:
