@@ -7,11 +7,15 @@ anything else is NULL.
 
 Accepted forms:
   * ISO-8601 date or date-time, optional fraction and offset (converted to UTC)
-  * ``January 5, 2024 at 3:04 PM`` / ``January 5, 2024``
+  * ``2024/01/05``
+  * ``January 5, 2024 at 3:04 PM`` / ``January 5, 2024, 3:04 PM`` / ``January 5, 2024`` and the
+    same as ``5 January 2024``; 12- or 24-hour clock; a weekday may stand before
   * ``March 3 at 5:00 PM`` / ``March 3`` (year taken from ``base``)
-  * ``<n> <unit>[s] [ago]`` with units min/m, hr/h/hour, day/d, week/w,
-    month/mo, year/y/yr (``2 hrs ago``, ``1 day``, ``5m``)
-  * ``Yesterday at 5:00 PM``, ``Today at 5:00 PM``, ``Yesterday``, ``Today``
+  * ``<n> <unit>[s] [ago]`` with units sec/s, min/m, hr/h/hour, day/d, week/w,
+    month/mo, year/y/yr (``2 hrs ago``, ``1 day``, ``5m``, ``an hour ago``), also of two units
+    (``1 hour 5 minutes ago``), and ``last week`` / ``month`` / ``year``
+  * ``Yesterday at 5:00 PM``, ``Today at 17:00``, ``Yesterday``, ``Today``
+  * ``Monday at 5:00 PM``, ``Monday``: the last such day before ``base``
   * ``Just now`` / ``now``
 """
 
@@ -20,8 +24,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_REL = r"^(\d+)\s*(min|mins|minute|minutes|m|hr|hrs|hour|hours|h|day|days|d|week|weeks|w" \
-       r"|mo|mos|month|months|yr|yrs|year|years|y)\.?(\s+ago)?$"
+_UNITS = {"second": ("sec", "secs", "second", "seconds", "s"), "minute": ("min", "mins", "minute", "minutes", "m"),
+          "hour": ("hr", "hrs", "hour", "hours", "h"), "day": ("day", "days", "d"), "week": ("week", "weeks", "w"),
+          "month": ("mo", "mos", "month", "months"), "year": ("yr", "yrs", "year", "years", "y")}
+_UNIT = "(" + "|".join(w for words in _UNITS.values() for w in words) + ")"
+_REL = rf"^(\d+)\s*{_UNIT}\.?(?:,?\s+(?:and\s+)?(\d+)\s*{_UNIT}\.?)?(?:\s+ago)?$"
+_DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_DAY = "(yesterday|today|" + "|".join(_DAYS) + ")"
+_MONTH = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+# what stands between a date and its clock
+_BEFORE_CLOCK = (" 'at' ", ", ", " ")
+
+
+def _back(base: Column, n: Column, unit: Column) -> Column:
+    """``base`` less ``n`` units; ``base`` itself where no unit is given."""
+    zero = F.lit(0)
+    steps = {"second": F.make_dt_interval(zero, zero, zero, n.cast("decimal(18,6)")), "minute": F.make_dt_interval(zero, zero, n),
+             "hour": F.make_dt_interval(zero, n), "day": F.make_dt_interval(n), "week": F.make_dt_interval(n * 7),
+             "month": F.make_ym_interval(zero, n), "year": F.make_ym_interval(n, zero)}
+    out = F.when(F.coalesce(unit, F.lit("")) == "", base)
+    for name, step in steps.items():
+        out = out.when(unit.isin(*_UNITS[name]), base - step)
+    return out
 
 
 def _ntz(c: Column) -> Column:
@@ -37,6 +61,9 @@ def _fmt(s: Column, pattern: str) -> Column:
 def parse_time_text(text: Column, base: Column) -> Column:
     """Parse ``text`` relative to ``base`` (TIMESTAMP_NTZ, UTC); NULL on failure."""
     s = F.regexp_replace(F.trim(text), r"\s+", " ")
+    s = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    # a weekday before a full date says nothing more
+    s = F.regexp_replace(s, rf"(?i)^({'|'.join(_DAYS)}),? (?!at\b)(?=[a-z0-9])", "")
     low = F.lower(s)
     base_year = F.year(base).cast("string")
     base_day = F.to_date(base)
@@ -47,31 +74,32 @@ def parse_time_text(text: Column, base: Column) -> Column:
     instant = _ntz(s.try_cast("timestamp"))
     iso = F.when(has_offset, F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)) \
         .otherwise(s.try_cast("timestamp_ntz"))
-    long_dt = F.coalesce(_fmt(s, "MMMM d, yyyy 'at' h:mm a"), _fmt(s, "MMMM d, yyyy"),
-                         _fmt(s, "MMM d, yyyy 'at' h:mm a"), _fmt(s, "MMM d, yyyy"))
-    with_year = F.concat(base_year, F.lit(" "), s)
-    no_year = F.coalesce(_fmt(with_year, "yyyy MMMM d 'at' h:mm a"), _fmt(with_year, "yyyy MMMM d"),
-                         _fmt(with_year, "yyyy MMM d 'at' h:mm a"), _fmt(with_year, "yyyy MMM d"))
-
-    n = F.regexp_extract(low, _REL, 1).try_cast("int")
-    unit = F.regexp_extract(low, _REL, 2)
-    rel = F.when(unit.isin("min", "mins", "minute", "minutes", "m"),
-                 base - F.make_dt_interval(F.lit(0), F.lit(0), n)) \
-        .when(unit.isin("hr", "hrs", "hour", "hours", "h"),
-              base - F.make_dt_interval(F.lit(0), n)) \
-        .when(unit.isin("day", "days", "d"), base - F.make_dt_interval(n)) \
-        .when(unit.isin("week", "weeks", "w"), base - F.make_dt_interval(n * 7)) \
-        .when(unit.isin("mo", "mos", "month", "months"),
-              base - F.make_ym_interval(F.lit(0), n)) \
-        .when(unit.isin("yr", "yrs", "year", "years", "y"),
-              base - F.make_ym_interval(n, F.lit(0)))
-
-    day_word = F.regexp_extract(low, r"^(yesterday|today)( at (.+))?$", 1)
-    clock = F.regexp_extract(s, r"(?i)^(yesterday|today) at (.+)$", 2)
-    day = F.when(day_word == "yesterday", F.date_sub(base_day, 1)) \
-        .when(day_word == "today", base_day)
-    clock_ts = _fmt(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.upper(clock)),
-                    "yyyy-MM-dd h:mm a")
+    # AM and PM in capitals, as the patterns want them
+    told = F.regexp_replace(F.regexp_replace(s, r"(?i)\bam$", "AM"), r"(?i)\bpm$", "PM")
+    def dated(c: Column, days: tuple[str, ...]) -> Column:
+        # only the patterns that can fit are tried: a failed one is costly
+        tried = lambda clock: F.coalesce(*[_fmt(c, d + b + clock) for d in days for b in _BEFORE_CLOCK])
+        return F.when(low.rlike(_MONTH), F.when(low.rlike(r":.*[ap]m$"), tried("h:mm a"))
+                      .when(F.contains(low, F.lit(":")), tried("H:mm"))
+                      .otherwise(F.coalesce(*[_fmt(c, d) for d in days])))
+
+    long_dt = dated(told, ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"))
+    no_year = dated(F.concat(base_year, F.lit(" "), told),
+                    ("yyyy MMMM d", "yyyy MMM d", "yyyy d MMMM", "yyyy d MMM"))
+
+    counted = F.regexp_replace(low, rf"^(an?|one) (?={_UNIT}\b)", "1 ")
+    part = lambda i: F.regexp_extract(counted, _REL, i)
+    rel = F.when(part(2) != "", _back(_back(base, part(1).try_cast("int"), part(2)), part(3).try_cast("int"), part(4)))
+    last = F.regexp_extract(low, r"^last (week|month|year)$", 1)
+    rel = F.coalesce(rel, F.when(last != "", _back(base, F.lit(1), last)))
+
+    word = F.regexp_extract(low, rf"^{_DAY}(?: at .+)?$", 1)
+    clock = F.regexp_extract(s, rf"(?i)^{_DAY} at (.+)$", 2)
+    day = F.when(word == "yesterday", F.date_sub(base_day, 1)).when(word == "today", base_day)
+    for name in _DAYS:  # the last one before the base day
+        day = day.when(word == name, F.next_day(F.date_sub(base_day, 8), name[:3]))
+    at = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.upper(clock))
+    clock_ts = F.coalesce(_fmt(at, "yyyy-MM-dd h:mm a"), _fmt(at, "yyyy-MM-dd H:mm"))
     day_rel = F.when(day.isNotNull(),
                      F.when(clock != "", clock_ts).otherwise(_ntz(F.to_timestamp(day))))
 

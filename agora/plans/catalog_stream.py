@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.operators import extract
+from agora.plans import sql_bindings as SB
+from agora.plans.catalog_extract import _POSTS_SQL as POSTS_SQL
 from agora.plans.registry import register
 from agora.session import scratch_path
 from agora.sources import bindings as B
@@ -50,17 +52,26 @@ def _page_records(df):
     return posts.withColumn("ordinal", F.col("page_id"))
 
 
-@register("stream_pages_ingest")
+ROUNDS = 2
+
+
+@register("stream_pages_ingest", SB.two_key_first_wins(
+    f"SELECT (page_id % {ROUNDS}) * 1000000000 + page_id AS o, * FROM ({POSTS_SQL}) r",
+    ["external_post_id"], ["post_url"],
+    "SELECT b.page_id, b.external_post_id, b.post_url, b.post_author_name, b.content_text "
+    "FROM kept k JOIN base b ON k.o = b.o"))
 def q_stream_pages_ingest(spark, sf_dir):
-    """ST1 on pages: extraction inside the stream, two-key (id, url) insert per
-    round; pages land twice. Equals the batch extraction (checked in tests)."""
+    """ST1 on pages: extraction inside the stream, two-key (id, url) insert per round. Each file is
+    a round and holds the pages of one remainder; then all of them land again."""
     pages = B.pages(spark, sf_dir)
     landing = scratch_path(spark, "landing-pages")
-    S.land_files(pages, landing, n_files=4, copies=2)
+    for _ in range(2):
+        for r in range(ROUNDS):
+            S.land_files(pages.where(F.col("page_id") % ROUNDS == r), landing, n_files=1)
     store = scratch_path(spark, "store-pages")
     S.run_ingest_stream(spark, landing, pages.schema, store, scratch_path(spark, "ckpt-pages"),
                         _page_records,
                         S.two_key_sink(store, ["external_post_id"], ["post_url"], "ordinal"),
-                        max_files_per_trigger=2)
+                        max_files_per_trigger=1)
     return spark.read.parquet(store).select("page_id", "external_post_id", "post_url",
                                             "post_author_name", "content_text")

@@ -19,6 +19,7 @@ PLAN_MODULES = (
     "agora.plans.catalog_extract",
     "agora.plans.catalog_annotate",
     "agora.plans.catalog_stream",
+    "agora.plans.catalog_more",
 )
 
 

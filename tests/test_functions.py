@@ -121,3 +121,25 @@ def test_time_text_reject_count(spark):
     out, obs = timeparse.observe_rejects(parsed, "t", "p")
     assert out.count() == 5
     assert obs.get == {"rejected": 2, "with_text": 4}
+
+
+def test_more_time_forms(spark):
+    import datetime as dt
+    base = dt.datetime(2024, 2, 1, 12, 30)  # a Thursday
+    want = {
+        "an hour ago": dt.datetime(2024, 2, 1, 11, 30), "a day ago": dt.datetime(2024, 1, 31, 12, 30),
+        "30 secs ago": dt.datetime(2024, 2, 1, 12, 29, 30), "1 hour 5 minutes ago": dt.datetime(2024, 2, 1, 11, 25),
+        "2 days, 3 hours ago": dt.datetime(2024, 1, 30, 9, 30), "last week": dt.datetime(2024, 1, 25, 12, 30),
+        "Monday at 5:00 PM": dt.datetime(2024, 1, 29, 17), "Thursday": dt.datetime(2024, 1, 25),
+        "Yesterday at 17:00": dt.datetime(2024, 1, 31, 17), "yesterday at 5:00 pm": dt.datetime(2024, 1, 31, 17),
+        "5 January 2024": dt.datetime(2024, 1, 5), "5 January 2024 at 15:04": dt.datetime(2024, 1, 5, 15, 4),
+        "January 5, 2024, 3:04 PM": dt.datetime(2024, 1, 5, 15, 4),
+        "Monday, January 5, 2024 at 3:04 PM": dt.datetime(2024, 1, 5, 15, 4),
+        "2024/01/05": dt.datetime(2024, 1, 5), "2024/1/5 10:20": dt.datetime(2024, 1, 5, 10, 20),
+        "March 3 at 5:00 PM": dt.datetime(2024, 3, 3, 17), "2 hrs ago": dt.datetime(2024, 2, 1, 10, 30),
+        "5m": dt.datetime(2024, 2, 1, 12, 25), "Just now": base, "some words": None, "": None, "at": None,
+        "12345 hours ago and more": None,
+    }
+    df = spark.createDataFrame([(k, base) for k in want], "t string, b timestamp_ntz")
+    got = {r["t"]: r["p"] for r in df.select("t", timeparse.parse_time_text(F.col("t"), F.col("b")).alias("p")).collect()}
+    assert got == want
