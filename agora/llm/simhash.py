@@ -139,7 +139,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -
     masks = choices(blocks, max_bits)
     cells = distinct.select("fp", F.posexplode(F.array(
         *[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "cell"))
-    crowd = cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that a crowded cell is a key that Spark can split in the join
+    crowd = materialize(cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash")
     parts = F.ceil(F.col("n") / PART).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     met = cells.join(crowd, ["choice", "cell"]).withColumn("parts", parts).withColumn("own", own)

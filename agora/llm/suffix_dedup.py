@@ -165,7 +165,9 @@ def _blocks(rest: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
 
 
 def _repeated(df: DataFrame, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    """Keys of more than one row. Stored, so that a join with them has a shuffle on both sides
+    and nothing between: Spark can then split a key of very many rows."""
+    return materialize(df.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "suffixes")
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -242,7 +244,9 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     left = remove_repeats(docs, depth).select("_row", F.col("kept").cast("string").alias("kept"))
     # what is no character any more becomes U+FFFD, which goes
     clean = F.coalesce(F.try_validate_utf8("kept"), F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
-    out = numbered(docs).join(left, "_row").select("doc", clean.alias("kept"))
+    # the texts themselves need not travel again
+    bare = numbered(docs.withColumn("text", F.when(F.col("text").isNotNull(), F.lit(""))))
+    out = bare.join(left, "_row").select("doc", clean.alias("kept"))
     new = {"text": F.when(F.col("doc.text").isNotNull(), F.col("kept")),
            "n_chars": F.length("kept").cast("long")}
     return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
