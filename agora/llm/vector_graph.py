@@ -3,16 +3,19 @@
 Equal vectors are one node. Centroids fitted on a bounded sample cut the nodes into
 shards; every node joins its ``OVERLAP`` nearest, so shards overlap. A shard of more than ``CROWD``
 nodes is dealt over tiles of pairs of its parts, so that no task holds more than about twice ``PART``.
+A group of near copies may have many centroids, more than a node joins shards of: the nodes nearest
+to two centroids whose shards may hold links with each other (``near_cells``) also meet in tiles, in
+bundles of about ``PART``.
 
 1. *Build.* In each shard every node keeps, of its nearest candidates and some spread over the
    shard, those that no kept one is closer to (robust pruning, at most ``DEGREE``).
 2. *Union.* A node's lists from all its shards become one.
-3. *Search.* In each shard every node is a query: a greedy search with a beam of ``BEAM`` runs from
+3. *Search.* In each shard and tile of bundles (the latter also by lists of its own) every node is a query: a greedy search with a beam of ``BEAM`` runs from
    the shard's medoids (and the query's own place in the graph); then the range grows from
    all nodes found within it, along the graph, until nothing new lies in range.
 4. *Verify.* The cosine of what was found is computed in double precision.
 
-A pair counts in the first shard that both share, so links are counted without listing pairs; a
+A pair counts in the first shard or tile that both share, so links are counted without listing pairs; a
 task emits a count and one link to the component in its shard for each node. ``audit`` counts the
 links of ``AUDIT`` nodes by brute force.
 
@@ -72,6 +75,51 @@ def centroids(x: np.ndarray, k: int) -> np.ndarray:
     return found
 
 
+def near_cells(x: np.ndarray, centers: np.ndarray, cosine: float) -> list[np.ndarray]:
+    """For each centroid the others whose nearest nodes may link with its own: centroids in the link radius
+    of each other, or the cosines of such nodes (of mean and spread as in the sample ``x``) reach it."""
+    x = x.astype(np.float32)
+    own = np.concatenate([(x[i:i + 4096] @ centers.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    sums = np.zeros_like(centers)
+    np.add.at(sums, own, x)
+    count = np.bincount(own, minlength=len(centers))
+    rho = np.where(count > 0, np.linalg.norm(sums, axis=1) / np.maximum(count, 1), 1).clip(0, 1)
+    loose, out = 1 - rho * rho, []
+    for lo in range(0, len(centers), 512):
+        r, f = rho[lo:lo + 512, None], loose[lo:lo + 512, None]
+        cos = (centers[lo:lo + 512] @ centers.T).clip(-1, 1)
+        apart = 1 - cos * cos
+        var = (f * loose + apart * (r * r * loose + rho * rho * f)) / max(x.shape[1] - 1, 1)
+        near = (cos >= cosine - _SLACK) | (cos * r * rho + 3 * np.sqrt(var) >= cosine)
+        near[np.arange(len(near)), lo + np.arange(len(near))] = False
+        out += [np.flatnonzero(row) for row in near]
+    return out
+
+
+def bundles(near: list[np.ndarray], sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int], set[tuple[int, int]]]:
+    """Cells with near others in bundles of ``PART`` nodes (a larger cell stands alone): the bundle of each
+    such cell, the nodes of each bundle, and the pairs of bundles (both ways) that hold near cells."""
+    of: dict[int, int] = {}
+    held: dict[int, int] = {}
+    seen: set[int] = set()
+    for first in range(len(near)):
+        if first in seen or not sizes.get(first) or not len(near[first]):
+            continue
+        queue, at = [first], None  # neighbours in one bundle where they fit
+        seen.add(first)
+        for cell in queue:
+            if at is None or held[at] + sizes[cell] > PART:
+                at = len(held)
+                held[at] = 0
+            of[cell] = at
+            held[at] += sizes[cell]
+            new = [c for c in near[cell].tolist() if c not in seen and sizes.get(c)]
+            seen.update(new)
+            queue += new
+    pairs = {(of[a], b) for a in of for b in {of[c] for c in near[a].tolist() if c in of}}
+    return of, held, pairs
+
+
 def pruned(x: np.ndarray) -> list[np.ndarray]:
     """Neighbour lists of the rows of ``x`` (unit, single precision)."""
     m = len(x)
@@ -129,8 +177,8 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], cosine: float)
     at = np.arange(m)
 
     def visit(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        code = np.unique(q * m + r)
-        code = code[~seen.ravel()[code]]
+        code = q * m + r
+        code = np.unique(code[~seen.ravel()[code]])
         q, r = code // m, code % m
         seen[q, r] = True
         sim = np.concatenate([np.einsum("nd,nd->n", x[q[i:i + 65536]], x[r[i:i + 65536]])
@@ -177,16 +225,39 @@ def in_range(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], cosine: float)
         merge(*visit(*neighbours(live, node)))
     front = np.nonzero(found)
     while len(front[0]):  # the range grows from all that lies in it
-        q, r, sim = visit(*neighbours(*front))
-        near = sim >= cosine - _SLACK
-        front = q[near], r[near]
+        grown = []
+        for lo in range(0, len(front[0]), 65536):
+            q, r, sim = visit(*neighbours(front[0][lo:lo + 65536], front[1][lo:lo + 65536]))
+            near = sim >= cosine - _SLACK
+            grown.append((q[near], r[near]))
+        front = tuple(np.concatenate(v) for v in zip(*grown))
     return found | found.T
 
 
-def _shards(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+def _shards(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroids of each row, and the nearest one."""
     k = min(OVERLAP, len(centers))
     near = x.astype(np.float32) @ centers.T
-    return np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
+    return np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1), near.argmax(axis=1)
+
+
+def _earlier(tiles: list[list[int]], tile: int) -> np.ndarray | None:
+    """[a, b]: rows a and b share a tile that comes before ``tile`` (None: no two rows do)."""
+    row = np.repeat(np.arange(len(tiles)), [len(t) for t in tiles])
+    ids = np.array([i for t in tiles for i in t], np.int64)
+    row, ids = row[ids < tile], ids[ids < tile]
+    _, at, n = np.unique(ids, return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    row, at = row[n[at] > 1], column[at[n[at] > 1]]
+    if not len(row):
+        return None
+    both = np.zeros((len(tiles), len(tiles)), bool)
+    for lo in range(0, int(at.max()) + 1, 256):
+        some = (at >= lo) & (at < lo + 256)
+        held = np.zeros((len(tiles), 256), np.float32)
+        held[row[some], at[some] - lo] = 1
+        both |= held @ held.T > 0
+    return both
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -208,31 +279,37 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     scale = 1 << 30
     drawn = nodes.where(F.pmod(F.xxhash64("embedding"), F.lit(scale)) < min(scale, scale * SAMPLE // max(total, 1)))
     centers: dict[int, np.ndarray] = {}
+    near: dict[int, list[np.ndarray]] = {}
     by_width: dict[int, list] = {}
     for r in drawn.select("width", "embedding").collect():  # SAMPLE rows, expected
         by_width.setdefault(r["width"], []).append(r["embedding"])
     for width, xs in by_width.items():
-        centers[width] = centroids(_unit(np.array(sorted(xs))), shards)
+        x = _unit(np.array(sorted(xs)))
+        centers[width] = centroids(x, shards)
+        near[width] = near_cells(x, centers[width], cosine)
     shared = spark.sparkContext.broadcast(centers)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             width = batch.column("width").to_numpy()
             lists: list = [None] * batch.num_rows
+            homes = np.zeros(batch.num_rows, np.int64)
             for w in np.unique(width):
                 at = np.flatnonzero(width == w)
                 own = shared.value.get(int(w))
-                found = _shards(_unit(_matrix(batch.column("embedding").take(pa.array(at)))), own) \
-                    if own is not None else np.zeros((len(at), 1), int)
+                found, home = _shards(_unit(_matrix(batch.column("embedding").take(pa.array(at)))), own) \
+                    if own is not None else (np.zeros((len(at), 1), int), 0)
+                homes[at] = int(w) * SHARDS + home
                 for i, f in zip(at.tolist(), found.tolist()):
                     lists[i] = [int(w) * SHARDS + c for c in f]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("embedding"), batch.column("copies"),
-                 pa.array(lists, pa.list_(pa.int64()))], ["node", "embedding", "copies", "shards"])
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(homes)],
+                ["node", "embedding", "copies", "shards", "home"])
 
     kind = nodes.schema["embedding"].dataType.simpleString()
     placed = materialize(nodes.mapInArrow(
-        place, f"node long, embedding {kind}, copies long, shards array<long>"), "vectors")
+        place, f"node long, embedding {kind}, copies long, shards array<long>, home long"), "vectors")
     one = placed.select("node", F.explode("shards").alias("shard"))
     crowds = one.groupBy("shard").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select(
         "shard", F.ceil(F.col("n") / PART).cast("long").alias("parts"))
@@ -242,7 +319,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
              .withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
                  F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), F.col("own")))))
              .withColumn("tile", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))))
-    lists = tiled.groupBy("node").agg(F.sort_array(F.collect_set("tile")).alias("tiles"))
+    tiled = tiled.select("node", "tile", F.lit(False).alias("met"))
+    if any(len(c) for cells in near.values() for c in cells):
+        tiled = tiled.unionByName(_met(placed, near).withColumn("met", F.lit(True)))
+    lists = tiled.groupBy("node").agg(F.sort_array(F.collect_set("tile")).alias("tiles"),
+                                      F.collect_set(F.when(~F.col("met"), F.col("tile"))).alias("built"))
     member = materialize(placed.select("node", "embedding", "copies").join(lists, "node"), "vectors")
 
     def build(table):
@@ -252,11 +333,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         near = [node[r].tolist() for r in pruned(x)] if len(node) > 1 else [[]] * len(node)
         return pa.table({"node": pa.array(node), "near": pa.array(near, pa.list_(pa.int64()))})
 
-    dealt = member.withColumn("tile", F.explode("tiles"))
+    dealt = member.withColumn("tile", F.explode("built"))
     edges = (dealt.select("tile", "node", "embedding").groupBy("tile")
              .applyInArrow(build, "node long, near array<long>"))
     union = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    ready = materialize(member.join(union, "node"), "vectors").withColumn("tile", F.explode("tiles"))
+    ready = materialize(member.join(union, "node"), "vectors").withColumn("tile", F.explode("tiles")).withColumn(
+        "met", ~F.array_contains("built", F.col("tile"))).drop("built")
 
     def search(key, table):
         node = table.column("node").to_numpy()
@@ -270,26 +352,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             at = at[at < len(node)] if len(at) and at.max() >= len(node) else at
             lists.append(at[np.isin(node[at], r)] if len(at) else at)
         x = exact.astype(np.float32)
+        if len(node) > 1 and table.column("met")[0].as_py():  # no graph was built there before
+            lists = [np.union1d(a, b).astype(int) for a, b in zip(lists, pruned(x))]
         q, r = np.nonzero(in_range(x, _graph(lists, len(node)), cosine))
         sure = np.concatenate([np.einsum("nd,nd->n", exact[q[i:i + 65536]], exact[r[i:i + 65536]]) >= cosine
                                for i in range(0, len(q), 65536)]) if len(q) else np.empty(0, bool)
         sure &= q != r
         q, r = q[sure], r[sure]
-        tiles = table.column("tiles").to_pylist()
-        wide = max((len(t) for t in tiles), default=1)
-        ids = np.array([t + [None] * (wide - len(t)) for t in tiles], dtype=object)
-        have = np.array([[i is not None for i in t] for t in ids], bool).reshape(len(node), wide)
-        ids = np.where(have, ids, 0).astype(np.int64).reshape(len(node), wide)
+        # the first tile in both lists owns the pair
+        before = _earlier(table.column("tiles").to_pylist(), tile)
         links = np.zeros(len(node), np.int64)
         copies = table.column("copies").to_numpy()
-        for lo in range(0, len(q), 65536):
-            a, b = q[lo:lo + 65536], r[lo:lo + 65536]
-            # the first tile in both lists owns the pair
-            earlier = np.zeros(len(a), bool)
-            for i in range(wide):
-                for j in range(wide):
-                    earlier |= (ids[a, i] == ids[b, j]) & have[a, i] & have[b, j] & (ids[a, i] < tile)
-            np.add.at(links, a[~earlier], copies[b[~earlier]])
+        first = ~before[q, r] if before is not None else np.ones(len(q), bool)
+        np.add.at(links, q[first], copies[r[first]])
         label = np.arange(len(node))
         while True:
             low = label.copy()
@@ -320,6 +395,27 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.col("audit").alias("audit_links"))
 
 
+def _met(placed: DataFrame, near: dict[int, list[np.ndarray]]) -> DataFrame:
+    """node, tile: the tiles of pairs of bundles."""
+    spark = placed.sparkSession
+    sizes: dict[int, dict[int, int]] = {}
+    for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect():  # SHARDS rows a width at most
+        sizes.setdefault(r["home"] // SHARDS, {})[r["home"] % SHARDS] = r["n"]
+    cells, meet = [], []
+    for width, lists in near.items():
+        of, held, pairs = bundles(lists, sizes.get(width, {}))
+        parts = {b: -(-n // PART) for b, n in held.items()}
+        cells += [(width * SHARDS + c, width * SHARDS + b, parts[b]) for c, b in of.items()]
+        meet += [(width * SHARDS + a, width * SHARDS + b, parts[b]) for a, b in pairs]
+    homes = spark.createDataFrame(cells, "home long, bundle long, parts long")
+    others = spark.createDataFrame(meet, "bundle long, other long, others long")
+    here = F.struct(F.col("bundle").alias("b"), F.pmod(F.xxhash64("node", F.lit("part")), "parts").alias("p"))
+    return (placed.select("node", "home").join(homes, "home").withColumn("here", here).join(others, "bundle")
+            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+            .withColumn("there", F.struct(F.col("other").alias("b"), F.col("part").alias("p")))
+            .select("node", F.xxhash64(F.least("here", "there"), F.greatest("here", "there")).alias("tile")))
+
+
 def _audited(nodes: DataFrame, total: int, cosine: float) -> DataFrame:
     """node, audit: the links of some nodes, counted against all by brute force."""
     scale = 1 << 30

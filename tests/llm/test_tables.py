@@ -123,6 +123,23 @@ def test_vector_recall_and_audit(spark):
     assert asked and all(true[d] == n for d, n in asked.items())
 
 
+def test_vector_recall_in_one_large_group(stored, monkeypatch):
+    """A third of all rows are different near copies of one vector, over many more centroids than OVERLAP."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    spread = rng.normal(size=(700, 64)) * 0.27 * np.linalg.norm(centre) / 8
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([centre + spread, rng.normal(size=(1400, 64))]))]
+    near = _plain_links([v for _, v in rows])
+    assert near[:700, :700].mean() > 0.9
+    for k, v in {"SHARD": 80, "CROWD": 256, "PART": 96}.items():
+        monkeypatch.setattr(vector_graph, k, v)
+    got = {r["vec_id"]: r["n_links"] for r in vector_graph.near_vectors(
+        stored(rows, "vec_id long, embedding array<double>")).collect()}
+    true = near.sum(axis=1)
+    assert all(got[i] <= n for i, n in enumerate(true.tolist()))
+    assert sum(got.values()) >= 0.95 * true.sum()
+
+
 def test_vector_edges(stored):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]),
