@@ -61,17 +61,28 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fix_split(spark: SparkSession) -> None:
+    """Cut stored tables the same way in each scan of this session: by itself Spark cuts by the cores
+    that are registered at that moment, which change as executors come and go."""
+    least = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(least, None) is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+        spark.conf.set(least, int(cores or spark.sparkContext.defaultParallelism))
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` plus ``_row``, a number for each row. A file scan yields the same rows in the same
-    partitions each time, so the number is stable when a task is run again, and the same in
+    partitions each time (``fix_split``), so the number is stable when a task is run again, and the same in
     another scan of the table; repeated rows and null ids stay apart. ``docs`` must be a stored
     table (or a projection of one), as everywhere in this subpackage."""
+    fix_split(docs.sparkSession)
     return docs.select(F.monotonically_increasing_id().alias("_row"),
                        *[F.col(c) for c in columns])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``doc``, a struct of all columns (so that their names clash with nothing), and ``_row`` as in ``keyed``."""
+    fix_split(docs.sparkSession)
     return docs.select(F.monotonically_increasing_id().alias("_row"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 

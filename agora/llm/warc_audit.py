@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.llm.common import materialize, table
+from agora.llm.common import fix_split, materialize, table
 
 #: Pages (ids) of an archive file, and the bits of an offset in a file.
 FILE_PAGES = 1000
@@ -43,6 +43,7 @@ def _header(url: Column, page_id: Column, size: Column) -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """file, start, length, page_id, record (the bytes as a string): the pages in order of their ids (then url and
     html), ``FILE_PAGES`` ids to a file."""
+    fix_split(pages.sparkSession)
     empty = F.lit("")
     rows = pages.select("page_id", F.coalesce("url", empty).alias("url"), F.coalesce("html", empty).alias("html"))
     record = F.concat(_header(F.col("url"), F.col("page_id"), F.octet_length("html").cast("string")),

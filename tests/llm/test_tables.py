@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from agora.llm import chat, main_text, packing, simhash, suffix_dedup, vector_graph, warc_audit
+from agora.llm import bpe_chunks, chat, main_text, packing, simhash, suffix_dedup, vector_graph, warc_audit
 from agora.llm.common import materialize, table
 from agora.llm.components import components
 from tests.conftest import SMALL
@@ -258,6 +258,29 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
+@pytest.mark.parametrize("late", [None, "1", "16"])
+def test_rows_stay_the_same_when_cores_come_and_go(spark, stored, late):
+    cores, least = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"
+    passage = " ".join(f"passage{i}" for i in range(40))
+    rows = [(i, f"text{i} " * 5 + (passage if i % 3 else " ".join(f"w{i}x{j}" for j in range(40)))) for i in range(300)]
+    docs, text = stored(rows, "doc_id long, text string", 12), dict(rows)
+    spark.conf.unset(least)
+    spark.conf.set(cores, "4")
+    try:
+        kept, left = simhash.one_of_each(docs), suffix_dedup.remove_repeats(docs)
+        ids, marked = bpe_chunks.encoded(docs, None), simhash.near_duplicates(docs)
+        spark.conf.set(cores, late or "4")  # the scans of the results come later
+        one = {r["component_id"] for r in marked.collect()}
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(one)
+        for r in left.collect():
+            assert r["n_bytes"] == len(text[r["doc_id"]]) and (r["n_removed"] > 0) == (r["doc_id"] % 3 > 0)
+            assert passage not in bytes(r["kept"]).decode()
+        assert {r["doc_id"]: r["decoded"] for r in ids.collect()} == text
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset(least)
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SMALL, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
