@@ -6,7 +6,9 @@ to the container it stands in, half to the next, less further up. The container
 discounted by link density) is the article, together with siblings that score or read like it;
 inside an ``article`` element (else a main part of few links) it is that element. Menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden parts and reader comments are left out by element, role
-and class or id words.
+and class or id words. Words alone leave out nothing that holds the article or most of the page's
+paragraph points, and inside an article nothing that reads as prose, unless it also looks like a menu (links),
+a form or comments (repeated items).
 
 Results: one row per page. Blocks of the article in page order, character references decoded, white
 space inside a block made one space, trimmed, empty blocks dropped, joined by one line feed. A null or
@@ -60,6 +62,8 @@ JUNK = ("nav", "menu", "sidebar", "footer", "advert", "sponsor", "promo", "cooki
         "banner", "skip", "hidden", "alert", "toast", "teaser", "outbrain", "taboola", "paywall", "topbar", "tracking")
 JUNK_WORDS = frozenset("ad ads adv aside rail dfp promo sr".split())
 TALK = ("comment", "disqus", "respond", "reply", "replies", "discussion", "reviews")
+#: What is named by nothing else holds readers' comments.
+TALK_WORDS = frozenset("comment comments disqus replies".split())
 HEAD_WORDS = ("header", "masthead")
 GOOD = ("article", "content", "entry", "main", "post", "story", "body", "text")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -152,6 +156,108 @@ def _named(attrs: str) -> tuple[dict[str, str], list[str]]:
     return found, words
 
 
+class _Told:
+    """What the subtrees of a page hold, read when first asked for: whether words alone may leave one out."""
+
+    def __init__(self, page: Page, named: list[tuple[dict[str, str], list[str]]], link: list[bool]) -> None:
+        self.page, self.named, self.link, self.read = page, named, link, False
+
+    def _read(self) -> None:
+        page, named = self.page, self.named
+        tags, parents, n = page.tags, page.parents, len(page.tags)
+        self.read = True
+        out, talk = [False] * n, [0] * n
+        self.points, self.size, self.linked, self.prose = [0.0] * n, [0] * n, [0] * n, [0] * n
+        self.forms, self.talks, self.articles = [0] * n, [0] * n, []
+        for i in range(1, n):
+            given, words = named[i]
+            says = any(w.startswith(TALK) for w in words)
+            out[i] = out[parents[i]] or tags[i] in DROPPED or "hidden" in given or \
+                given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in ROLES or \
+                "display:none" in given.get("style", "").lower().replace(" ", "")
+            talk[i] = talk[parents[i]] + says
+            self.forms[i] += tags[i] == "form"
+            self.talks[i] += says or tags[i] == "article"
+            if not out[i] and (tags[i] in ("article", "main") or given.get("role") in ("main", "article")):
+                self.articles.append(i)
+        at, texts = 0, [(b, i, t) for b, i, t in page.texts if not out[i]]
+        while at < len(texts):
+            to, whole, inside = at, 0, 0
+            while to < len(texts) and texts[to][0] == texts[at][0]:
+                to += 1
+            text = " ".join("".join(t for _, _, t in texts[at:to]).split())
+            for _, i, t in texts[at:to]:
+                whole += len(t.strip())
+                inside += len(t.strip()) * self.link[i]
+            i = texts[at][1]
+            at = to
+            if not text:
+                continue
+            self.size[i] += whole
+            self.linked[i] += inside
+            share = inside / max(whole, 1)
+            block = i
+            while tags[block] in INLINE:
+                block = parents[block]
+            if tags[block] not in HEADINGS:
+                self.points[i] += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - share)
+                if share < 0.5 and (len(text) >= 60 or len(text) >= 20 and text[-1] in ".!?…\"”)"):
+                    self.prose[i] += len(text)
+        for i in range(n - 1, 0, -1):
+            for sums in (self.points, self.size, self.linked, self.prose, self.forms, self.talks):
+                sums[parents[i]] += sums[i]
+        # parts named after an article that hold paragraphs: in each subtree, around it, and what the outermost holds
+        self.good, self.around, self.outer = [0] * n, [0] * n, [0.0] * n
+        for i in range(1, n):
+            p = parents[i]
+            self.good[i] = int(self.points[i] >= 2 and not out[i] and not talk[i] and tags[i] not in ("html", "body")
+                               and any(w.startswith(GOOD) for w in named[i][1]) and not self._junk(i))
+            self.around[i] = self.around[p] + self.good[p]
+            self.outer[i] = self.outer[p] or self.good[p] * self.points[p]
+        for i in range(n - 1, 0, -1):
+            self.good[parents[i]] += self.good[i]
+        # the article: the largest of those in the fewest parts that are named after talk
+        self.article = min(self.articles, key=lambda i: (talk[i], -self.points[i]), default=-1)
+        self.above = set()
+        i = self.article
+        while i > 0:
+            self.above.add(i)
+            i = parents[i]
+
+    def _junk(self, i: int) -> bool:
+        return any(w in JUNK_WORDS or w.startswith(JUNK) for w in self.named[i][1])
+
+    def _only_talk(self, i: int) -> bool:
+        words = self.named[i][1]
+        return bool(words) and all(w in TALK_WORDS for w in words)
+
+    def _most(self, i: int) -> bool:
+        return self.points[i] > self.points[0] / 2
+
+    def holds_article(self, i: int) -> bool:
+        """``i`` is or holds the article, though it is named after talk."""
+        if not self.read:
+            self._read()
+        return i in self.above and not (self._only_talk(i) and not self._most(i))
+
+    def kept(self, i: int, in_article: bool) -> bool:
+        """Words speak against ``i``, its content for it."""
+        if not self.read:
+            self._read()
+        given, words = self.named[i]
+        if in_article:
+            if self._only_talk(i) or any(w in JUNK_WORDS for w in words) or self.forms[i]:
+                return False
+            own = any(w.startswith(TALK) for w in words) or self.page.tags[i] == "article"
+            return self.prose[i] > 0 and self.linked[i] <= self.size[i] / 2 and self.talks[i] - own < 2
+        if self.article > 0 or not self._most(i):
+            return False
+        if not any(w.startswith(TALK) for w in words):
+            return True
+        # comments may be longer than what they are about, where there is such a thing
+        return self.good[0] - self.good[i] <= self.around[i] and self.outer[i] - self.points[i] < 2
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by line feeds."""
     if not source:
@@ -164,6 +270,10 @@ def main_text(source: str | None) -> str:
         article[i] |= tags[i] in ("article", "main") or named[i][0].get("role") in ("main", "article")
         article[parents[i]] |= article[i]
     in_article = [False] * n
+    link = [False] * n
+    for i in range(1, n):
+        link[i] = tags[i] == "a" or link[parents[i]]
+    told = _Told(page, named, link)
     gone, headings = [False] * n, [False] * n
     for i in range(1, n):
         p = parents[i]
@@ -173,24 +283,23 @@ def main_text(source: str | None) -> str:
             continue
         given, words = named[i]
         talk = any(w.startswith(TALK) for w in words)
+        named_head = any(w.startswith(HEAD_WORDS) for w in words) and tags[i] not in HEADINGS
         if tags[i] in DROPPED or "hidden" in given or given.get("aria-hidden", "").lower() == "true" \
                 or "display:none" in given.get("style", "").lower().replace(" ", ""):
             gone[i] = not (article[i] and tags[i] not in ("head", "nav", "footer"))
-        elif tags[i] in ("html", "body", "main") or article[i] and not talk:
+        elif tags[i] in ("html", "body", "main") or article[i] and (not talk or told.holds_article(i)):
             pass
-        elif tags[i] == "header" or any(w.startswith(HEAD_WORDS) for w in words) and tags[i] not in HEADINGS:
+        elif tags[i] == "header" or named_head and not told.kept(i, in_article[p]):
             gone[i], headings[i] = not in_article[i], True
-        elif talk or given.get("role", "").lower() in ROLES or tags[i] not in HEADINGS and any(
-                w in JUNK_WORDS or w.startswith(JUNK) for w in words) and not (
-                words[:1] in (["no"], ["has"], ["with"])):
+        elif given.get("role", "").lower() in ROLES:
+            gone[i] = True
+        elif (talk or tags[i] not in HEADINGS and any(w in JUNK_WORDS or w.startswith(JUNK) for w in words) and not (
+                words[:1] in (["no"], ["has"], ["with"]))) and not told.kept(i, in_article[p]):
             gone[i] = True
         if headings[i] and tags[i] in HEADINGS:
             headings[i] = False  # of an article's own header its headings stay
 
     # paragraphs
-    link = [False] * n
-    for i in range(1, n):
-        link[i] = tags[i] == "a" or link[parents[i]]
     blocks: list[tuple[list[int], str]] = []
     length, linked, score = [0] * n, [0] * n, [0.0] * n
     at = 0
@@ -255,9 +364,13 @@ def main_text(source: str | None) -> str:
     inside_ = [False] * n
     for i in range(n):
         inside_[i] = i in chosen or i > 0 and inside_[parents[i]]
+    items = [int(t in ("li", "dt", "dd")) for t in tags]
+    for i in range(n - 1, 0, -1):
+        items[parents[i]] += items[i]
     menus = [False] * n  # lists of links inside the article
     for i in range(1, n):
-        menus[i] = menus[parents[i]] or tags[i] in ("ul", "ol", "dl") and density[i] > 0.8
+        menus[i] = menus[parents[i]] or tags[i] in ("ul", "ol", "dl") and density[i] > 0.8 \
+            and length[i] < 40 * items[i]  # links of a line each are references
     return "\n".join(text for nodes, text in blocks if inside_[nodes[0]] and not menus[nodes[0]])
 
 

@@ -206,6 +206,36 @@ def test_pages_of_other_forms(source, want):
     assert main_text.main_text(source) == want
 
 
+_LINE = "{} is a sentence, with commas, and some length to it, as articles have."
+_COMMENTS = "".join(f"<li class=comment><article class=comment-body>{PARA.format(c)}</article></li>" for c in "UVW")
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<div class='post comments-open'><article>" + PARA.format("A") + "</article></div>", "A"),
+    ("<div class='post comments-open'><article>" + PARA.format("A") + "</article><div id=comments><ol>" + _COMMENTS
+     + "</ol></div></div>", "A"),
+    ("<article class='post reviews'>" + PARA.format("A") + "</article>", "A"),
+    ("<article>" + PARA.format("A") + "<section id='discussion'>" + PARA.format("B") + PARA.format("C") + "</section></article>",
+     "ABC"),
+    ("<article>" + PARA.format("A") + PARA.format("B").replace("<p>", "<p class='commentary'>") + "</article>", "AB"),
+    ("<article>" + PARA.format("A") + "<section id='related-work'>" + PARA.format("B") + "</section>"
+     "<div class='social-history'>" + PARA.format("C") + "</div><section class='header-files'>" + PARA.format("D")
+     + "</section></article>", "ABCD"),
+    ("<article>" + PARA.format("A") + "<div class='related-posts'><p><a href=1>" + _LINE.format("B") + "</a></p></div>"
+     "<div class='share-tools'>Share</div><ol class='comment-list'>" + _COMMENTS + "</ol></article>", "A"),
+    ("<article>" + PARA.format("A") + "<ol><li><a href=1>" + _LINE.format("B") + "</a></li></ol></article>", "AB"),
+    ("<body><div class='layout sidebar-right'><div class=col>" + PARA.format("A") + PARA.format("B") + "</div>"
+     "<div class=sidebar>" + PARA.format("S") + "</div></div></body>", "AB"),
+    ("<body><div class='container nav-open'><div class=has-header-fixed>" + PARA.format("A") + PARA.format("B")
+     + "</div></div></body>", "AB"),
+    ("<div class=content><div class='page comments-enabled'>" + PARA.format("A") + PARA.format("B") + "</div></div>", "AB"),
+    ("<div class=content>" + PARA.format("A") + "<div class=comments-area>" + PARA.format("B") * 9 + "</div></div>", "A"),
+    ("<body><div class='page comments-enabled'>" + PARA.format("A") + PARA.format("B") + "</div></body>", "AB"),
+])
+def test_words_alone_drop_no_article(source, want):
+    assert main_text.main_text(source) == "\n".join(map(_LINE.format, want))
+
+
 def test_page_edges(stored):
     df = stored([(1, None, None, "x"), (None, "u", "<p>t</p>", "y"), (None, "u", "<p>t</p>", "y")],
                 "page_id long, url string, html string, text string")
