@@ -1,9 +1,10 @@
-"""Repeated passages by a depth-limited radix sort of suffixes.
+"""Repeated passages by the groups that a depth-limited radix sort of suffixes would form.
 
 Every byte covered by a ``depth``-byte string that also starts elsewhere (in any text, the
-same one included) is removed. The suffixes are ordered by most-significant-digit
-passes through ``depth`` bytes only; a suffix alone in its group after a pass is done, and
-groups left after the last pass are exactly the repeated windows:
+same one included) is removed. A radix sort by most-significant-digit passes through ``depth`` bytes
+would leave exactly the repeated windows in its last groups. Only the groups are needed, so no suffix is
+put in order: the passes here group by 64-bit hashes of parts of a window, and what is alone in its group
+after a pass is done:
 
 1. *First digit.* Each window of ``depth`` bytes holds a minimizer, the ``KMER``-byte string of
    smallest hash in it. Neighbouring windows with one minimizer form a stretch, the
@@ -42,6 +43,9 @@ KMER = 64
 BLOCK = 16
 #: Bits for a position in the packed (hash, position) that minimizers are chosen by.
 _POS = 22
+#: Bits for the minimizer's offset and for the number of windows of a stretch, and the most that they hold.
+_SPAN = 16
+_COUNT = (1 << _SPAN) - 1
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) | 1 for b in range(256)], np.uint64)
 
 
@@ -123,7 +127,7 @@ def _scan(docs: DataFrame, depth: int) -> DataFrame:
                 joined = b"".join([s[2] for s in part])
                 begin = np.cumsum([0] + [len(s[2]) for s in part])[owner]
                 row, base = (np.array([s[i] for s in part], np.int64)[owner] for i in (0, 1))
-                span = (base + first - begin) << 16 | (at - first) << 8 | n
+                span = (base + first - begin) << 2 * _SPAN | (at - first) << _SPAN | n
                 hk = _digest([joined[a:a + kmer] for a in at.tolist()])
                 hs = _digest([joined[f:e] for f, e in zip(first.tolist(), (first + n + depth - 1).tolist())])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, span, hk, hs)],
@@ -145,7 +149,7 @@ def _blocks(rest: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
                 row, text, spans, hks = (batch.column(c)[one].as_py() for c in ("_row", "text", "span", "hk"))
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for span, hk in zip(spans, hks):
-                    first, off, n = span >> 16, span >> 8 & 255, span & 255
+                    first, off, n = span >> 2 * _SPAN, span >> _SPAN & _COUNT, span & _COUNT
                     at = first + off
                     for block in range((off - n + 1) // BLOCK, off // BLOCK + 1):
                         top, low = min(off, block * BLOCK + BLOCK - 1), max(off - n + 1, block * BLOCK)
@@ -172,6 +176,8 @@ def _repeated(df: DataFrame, *by: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(_row, lo, hi) byte ranges whose union is what to remove. ``docs``: _row, text binary."""
+    if not 0 < depth <= _COUNT + KMER - 1:
+        raise ValueError(f"depth must be 1 to {_COUNT + KMER - 1}")
     prepared(docs.sparkSession)
     scanned = materialize(_scan(docs, depth), "suffixes")
     left = materialize(scanned.join(_repeated(scanned, "hk"), "hk", "left_semi"), "suffixes")
@@ -181,9 +187,9 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                           .select("_row", "span", "hk", "hs", F.coalesce("whole", F.lit(False)).alias("whole")),
                           "suffixes")
     release(left)
-    first = F.shiftright("span", 16)
+    first = F.shiftright("span", 2 * _SPAN)
     spans = sorted_.where("whole").select(
-        "_row", first.alias("lo"), (first + F.col("span").bitwiseAND(F.lit(255)) + (depth - 1)).alias("hi"))
+        "_row", first.alias("lo"), (first + F.col("span").bitwiseAND(F.lit(_COUNT)) + (depth - 1)).alias("hi"))
     # what is left is compared among itself and with one of each group of whole stretches
     rest = sorted_.where("not whole").select("_row", "span", "hk")
     one = (sorted_.where("whole").groupBy("hk", "hs").agg(F.min(F.struct("_row", "span")).alias("one"))

@@ -313,6 +313,19 @@ def test_repeats_of_hard_texts(stored, monkeypatch):
     _compare_repeats(stored(rows, "doc_id long, text string"), rows)
 
 
+def test_repeats_of_great_depth(stored):
+    """Stretches of more than 255 windows."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abéc ") for _ in range(n))
+    a, b = word(3000), word(1500)
+    texts = [a, "1" + a[:1900] + "2" + a[1900:], b[100:1350] + a[50:1200], word(40) + b, "x" * 2500, a[700:2000] + b[:1300], ""]
+    rows = list(enumerate(texts))
+    for depth in (318, 400, 900):
+        _compare_repeats(stored(rows, "doc_id long, text string"), rows, depth=depth)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(stored(rows, "doc_id long, text string"), depth=1 << 17)
+
+
 def test_without_repeats_keeps_rows_and_characters(docs):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(DOCS)
