@@ -67,7 +67,8 @@ def fix_split(spark: SparkSession) -> None:
     least = "spark.sql.files.minPartitionNum"
     if spark.conf.get(least, None) is None:
         cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
-        spark.conf.set(least, int(cores or spark.sparkContext.defaultParallelism))
+        # few executors may have come yet
+        spark.conf.set(least, max(int(cores or spark.sparkContext.defaultParallelism), shuffle_parts(spark)))
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
