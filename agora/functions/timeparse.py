@@ -31,9 +31,18 @@ _UNIT = "(" + "|".join(w for words in _UNITS.values() for w in words) + ")"
 _REL = rf"^(\d+)\s*{_UNIT}\.?(?:,?\s+(?:and\s+)?(\d+)\s*{_UNIT}\.?)?(?:\s+ago)?$"
 _DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 _DAY = "(yesterday|today|" + "|".join(_DAYS) + ")"
-_MONTH = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-# what stands between a date and its clock
-_BEFORE_CLOCK = (" 'at' ", ", ", " ")
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september",
+           "october", "november", "december")
+# a date with a month name: day before or after it, perhaps a year, perhaps a clock
+_MONTH = "(" + "|".join(m[:3] for m in _MONTHS) + ")(?:" + "|".join(m[3:] for m in _MONTHS if m[3:]) + ")?"
+_NAMED = (rf"^(?:(\d{{1,2}}) )?{_MONTH}(?: (\d{{1,2}}))?(?:,? (\d{{4}}))?"
+          r"(?:(?: at|,)? (\d{1,2}:\d{2}(?: [ap]m)?))?$")
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once however often ``use`` names it: a column expression
+    that is reused is otherwise copied into the plan at each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _back(base: Column, n: Column, unit: Column) -> Column:
@@ -64,47 +73,72 @@ def parse_time_text(text: Column, base: Column) -> Column:
     s = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     # a weekday before a full date says nothing more
     s = F.regexp_replace(s, rf"(?i)^({'|'.join(_DAYS)}),? (?!at\b)(?=[a-z0-9])", "")
-    low = F.lower(s)
-    base_year = F.year(base).cast("string")
-    base_day = F.to_date(base)
+    return bind(F.struct(s.alias("s"), base.alias("base")),
+                lambda v: bind(F.struct(v["s"].alias("s"), F.lower(v["s"]).alias("low"), v["base"].alias("base")),
+                               lambda b: _parsed(b["s"], b["low"], b["base"])))
+
+
+def _parsed(s: Column, low: Column, base: Column) -> Column:
+    now = F.when(low.isin("just now", "now"), base)
+    return F.coalesce(now, _relative(low, base), _day_word(low, base), _iso(s), _named_date(low, base))
 
-    # ISO: with an explicit offset it is an instant -> its UTC wall clock, whatever the
-    # session time zone; without one the text already is UTC wall-clock time
+
+def _iso(s: Column) -> Column:
+    """With an explicit offset it is an instant: its UTC wall clock, whatever the session time
+    zone; without one the text already is UTC wall-clock time."""
     has_offset = s.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$") & s.rlike(r"\d[T ]\d")
     instant = _ntz(s.try_cast("timestamp"))
-    iso = F.when(has_offset, F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)) \
+    return F.when(has_offset, F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)) \
         .otherwise(s.try_cast("timestamp_ntz"))
-    # AM and PM in capitals, as the patterns want them
-    told = F.regexp_replace(F.regexp_replace(s, r"(?i)\bam$", "AM"), r"(?i)\bpm$", "PM")
-    def dated(c: Column, days: tuple[str, ...]) -> Column:
-        # only the patterns that can fit are tried: a failed one is costly
-        tried = lambda clock: F.coalesce(*[_fmt(c, d + b + clock) for d in days for b in _BEFORE_CLOCK])
-        return F.when(low.rlike(_MONTH), F.when(low.rlike(r":.*[ap]m$"), tried("h:mm a"))
-                      .when(F.contains(low, F.lit(":")), tried("H:mm"))
-                      .otherwise(F.coalesce(*[_fmt(c, d) for d in days])))
-
-    long_dt = dated(told, ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"))
-    no_year = dated(F.concat(base_year, F.lit(" "), told),
-                    ("yyyy MMMM d", "yyyy MMM d", "yyyy d MMMM", "yyyy d MMM"))
-
-    counted = F.regexp_replace(low, rf"^(an?|one) (?={_UNIT}\b)", "1 ")
-    part = lambda i: F.regexp_extract(counted, _REL, i)
-    rel = F.when(part(2) != "", _back(_back(base, part(1).try_cast("int"), part(2)), part(3).try_cast("int"), part(4)))
+
+
+def _clock(day: Column, clock: Column) -> Column:
+    """``day`` (yyyy-MM-dd) at a 12- or 24-hour clock text; midnight where it is empty."""
+    return F.when(clock == "", day.try_cast("timestamp_ntz")).otherwise(bind(
+        F.concat(day, F.lit(" "), F.upper(clock)),
+        lambda at: F.when(at.endswith("M"), _fmt(at, "yyyy-MM-dd h:mm a")).otherwise(_fmt(at, "yyyy-MM-dd H:mm"))))
+
+
+def _named_date(low: Column, base: Column) -> Column:
+    part = lambda i: F.regexp_extract(low, _NAMED, i)
+    parts = F.struct(*[part(i).alias(n) for i, n in enumerate(("before", "month", "after", "year", "clock"), 1)])
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(_MONTHS, 1) for x in (m[:3], f"{i:02d}")])
+
+    def dated(p: Column) -> Column:
+        year = F.when(p["year"] == "", F.year(base).cast("string")).otherwise(p["year"])
+        day = F.concat_ws("-", year, months[p["month"]], F.lpad(F.concat(p["before"], p["after"]), 2, "0"))
+        one_day = (p["before"] == "") != (p["after"] == "")
+        return F.when((p["month"] != "") & one_day, bind(day, lambda d: _clock(d, p["clock"])))
+
+    return F.when(low.rlike(_MONTH), bind(parts, dated))
+
+
+def _relative(low: Column, base: Column) -> Column:
+    def back(p: Column) -> Column:
+        return F.when(p["u1"] != "", bind(_back(base, p["n1"].try_cast("int"), p["u1"]),
+                                          lambda t: _back(t, p["n2"].try_cast("int"), p["u2"])))
+
+    def counted(c: Column) -> Column:
+        names = enumerate(("n1", "u1", "n2", "u2"), 1)
+        return bind(F.struct(*[F.regexp_extract(c, _REL, i).alias(n) for i, n in names]), back)
+
+    some = F.regexp_replace(low, rf"^(an?|one) (?={_UNIT}\b)", "1 ")
     last = F.regexp_extract(low, r"^last (week|month|year)$", 1)
-    rel = F.coalesce(rel, F.when(last != "", _back(base, F.lit(1), last)))
-
-    word = F.regexp_extract(low, rf"^{_DAY}(?: at .+)?$", 1)
-    clock = F.regexp_extract(s, rf"(?i)^{_DAY} at (.+)$", 2)
-    day = F.when(word == "yesterday", F.date_sub(base_day, 1)).when(word == "today", base_day)
-    for name in _DAYS:  # the last one before the base day
-        day = day.when(word == name, F.next_day(F.date_sub(base_day, 8), name[:3]))
-    at = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.upper(clock))
-    clock_ts = F.coalesce(_fmt(at, "yyyy-MM-dd h:mm a"), _fmt(at, "yyyy-MM-dd H:mm"))
-    day_rel = F.when(day.isNotNull(),
-                     F.when(clock != "", clock_ts).otherwise(_ntz(F.to_timestamp(day))))
+    return F.when(low.startswith("last "), bind(last, lambda u: F.when(u != "", _back(base, F.lit(1), u)))) \
+        .otherwise(bind(some, lambda c: F.when(c.rlike(r"^\d"), counted(c))))
 
-    now = F.when(low.isin("just now", "now"), base)
-    return F.coalesce(now, rel, day_rel, iso, long_dt, no_year)
+
+def _day_word(low: Column, base: Column) -> Column:
+    def told(p: Column) -> Column:
+        today = F.to_date(base)
+        day = F.when(p["word"] == "yesterday", F.date_sub(today, 1)).when(p["word"] == "today", today)
+        for name in _DAYS:  # the last one before the base day
+            day = day.when(p["word"] == name, F.next_day(F.date_sub(today, 8), name[:3]))
+        return bind(F.date_format(day, "yyyy-MM-dd"), lambda d: _clock(d, p["clock"]))
+
+    pattern = rf"^{_DAY}(?: at (.+))?$"
+    parts = F.struct(F.regexp_extract(low, pattern, 1).alias("word"), F.regexp_extract(low, pattern, 2).alias("clock"))
+    return bind(parts, lambda p: F.when(p["word"] != "", told(p)))
 
 
 def valid_date_arg(s: Column) -> Column:

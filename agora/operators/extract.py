@@ -181,6 +181,16 @@ def _rules_fn(rules: dict, fields: tuple):
     return fn
 
 
+def _time_of(base: Column) -> Column:
+    """The time text and its instant: the direct text, parsed or not, else the first candidate that parses."""
+    direct = F.col("time_text")
+    tried = F.transform(F.when(direct.isNotNull(), F.array(direct)).otherwise(F.col("time_candidates")),
+                        lambda c: F.struct(c.alias("text"), timeparse.parse_time_text(c, base).alias("ts")))
+    return timeparse.bind(tried, lambda a: F.coalesce(
+        F.try_element_at(F.filter(a, lambda t: t["ts"].isNotNull()), F.lit(1)),
+        F.when(direct.isNotNull(), F.try_element_at(a, F.lit(1)))))
+
+
 def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
                   fields: tuple | None = None, rules: dict | None = None,
                   cap: int | None = None, cap_group: str | None = None) -> DataFrame:
@@ -198,19 +208,19 @@ def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
     base = base_ts if base_ts is not None else F.localtimestamp()
     seen = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("author_name", "content_text", "time_text")])
     ident = urls.post_identity(F.col("url"), host, F.col("has_time_marker"), seen)
-    # E5: direct time text, else the first candidate that parses (X5, JVM-side)
-    parses = F.filter("time_candidates",
-                      lambda c: timeparse.parse_time_text(c, base).isNotNull())
-    raw = raw.withColumn("time_text", F.coalesce(F.col("time_text"),
-                                                 F.try_element_at(parses, F.lit(1))))
+    if "posted_at" in fields:
+        # E5: direct time text, else the first candidate that parses (X5, JVM-side). The parse stands once
+        # in the plan: a generator's output is not copied into the filters above it
+        raw = raw.select("*", F.explode(F.array(_time_of(base))).alias("_time"))
+    else:
+        raw = raw.withColumn("_time", F.lit(None).cast("struct<text:string,ts:timestamp_ntz>"))
     posts = raw.select(
         "page_id", ident["post_url"].alias("post_url"), ident["post_id"].alias("external_post_id"),
         F.col("author_pic").alias("post_author_profile_pic_url"),
         F.col("author_name").alias("post_author_name"),
         F.col("content_text"),
         F.col("image_url").alias("post_image_url"),
-        F.col("time_text"),
-        timeparse.parse_time_text(F.col("time_text"), base).alias("posted_at"),
+        F.col("_time.text").alias("time_text"), F.col("_time.ts").alias("posted_at"),
         F.filter("comments", lambda c: (F.coalesce(c["commenter_name"], F.lit("")) != "")
                  | (F.coalesce(c["comment_text"], F.lit("")) != "")).alias("comments"),  # F15
         base.alias("scraped_at"),

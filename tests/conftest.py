@@ -11,6 +11,7 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    from agora.plans import offline  # noqa: F401  (registers the rule-based annotator)
     from agora.session import get_session
     s = get_session("local[4]", shuffle_partitions=8, app_name="agora-tests")
     yield s
