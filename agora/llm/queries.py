@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import (bpe_chunks, chat, langid, main_text, packing, simhash, suffix_dedup, syncmers,
-                       vector_graph, warc_audit)
+from agora.llm import (bpe_chunks, chat, langid, lexical, main_text, packing, quality_rules, simhash, spelling,
+                       suffix_dedup, syncmers, vector_graph, warc_audit)
 from agora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,20 @@ def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_warc_audit", warc_audit.ORACLE)
 def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_audit.audited(spark, sf_dir)
+
+
+@query("op11_lexical", lexical.ORACLE)
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality_rules")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "failed")
