@@ -4,8 +4,8 @@ Rules, in order:
   1. the whole text is JSON: an array is the result list; an object gives the
      first of the wrapper keys holding an array, else its first array value in
      document order; anything else gives no results;
-  2. otherwise the first fenced code block (```json ... ``` or ``` ... ```)
-     if it holds a JSON array;
+  2. otherwise the first fenced part that is a JSON array (the name of a language
+     after the fence is left out; a fence that is not closed fences nothing);
   3. otherwise the span from the first '[' to the last ']' if it is an array;
   4. otherwise no results (an empty array; NULL answer -> NULL).
 
@@ -20,9 +20,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# what stands between the first two fences, without the name of a language
-_FENCED = r"(?s)`{3}(?:json)?(.*?)`{3}"
-
 
 def _bracketed(text: Column) -> Column:
     """From the first opening to the last closing bracket."""
@@ -44,6 +41,14 @@ def _array_text(text: Column) -> Column:
     return F.when(_is_json(text) & (_first_char(text) == "["), text)
 
 
+def _fenced(text: Column) -> Column:
+    """The first array among the parts between fences: every second part of the text cut at its fences."""
+    parts = F.split(text, "`{3}")
+    inside = F.filter(parts, lambda _, i: (i % 2 == 1) & (i < F.size(parts) - 1))
+    arrays = F.transform(inside, lambda p: _array_text(F.trim(F.regexp_replace(p, r"^\w+\s", ""))))
+    return F.try_element_at(F.filter(arrays, lambda a: a.isNotNull()), F.lit(1))
+
+
 def result_list_text(answer: Column, wrapper_keys: tuple[str, ...]) -> Column:
     """The JSON text of the result array an answer holds, or NULL (no results)."""
     whole_ok = _is_json(answer)
@@ -60,11 +65,10 @@ def result_list_text(answer: Column, wrapper_keys: tuple[str, ...]) -> Column:
     obj = F.coalesce(*wrapped, first_list)
     from_whole = (F.when(first == "[", answer)
                   .when(first == "{", obj))
-    fenced = _array_text(F.trim(F.regexp_extract(answer, _FENCED, 1)))
     brackets = _array_text(_bracketed(answer))
     return F.when(answer.isNull(), F.lit(None)) \
         .when(whole_ok, from_whole) \
-        .otherwise(F.coalesce(fenced, brackets))
+        .otherwise(F.coalesce(_fenced(answer), brackets))
 
 
 def parse_results(answer: Column, schema: T.StructType, wrapper_keys: tuple[str, ...]) -> Column:

@@ -1,14 +1,18 @@
 """A small HTML helper for the structural extraction rules (runs inside tasks).
 
 Builds a light element tree with the stdlib parser (void elements, implicit
-``</p>`` before a block element) and evaluates simple selectors: a tag name,
-optionally ``[attr]``, ``[attr=value]`` or ``[attr*=value]`` conditions. That
-is all the default rule set needs; rule lists are parameters of the job.
+``</p>`` before a block element). All selectors of a job are compiled once into one ``Matcher``, which finds
+the elements of every selector in a single walk over a page. It reads what rule lists are
+written in: comma lists, descendant, ``>``, ``+`` and ``~`` combinators, tag and ``.class`` and ``#id``, the attribute
+forms ``[a]`` ``[a=v]`` ``[a*=v]`` ``[a^=v]`` ``[a$=v]`` ``[a~=v]`` ``[a|=v]``, ``:first-child``, ``:last-child``, ``:not(...)``, and
+``:has(...)`` on the element that is selected. Anything else raises when it is compiled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
@@ -20,10 +24,11 @@ SKIP_TEXT = {"script", "style", "template", "noscript"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "start", "end")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.start = self.end = 0  # set by the walk: elements of the subtree are start <= n < end
 
     def elements(self):
         return [c for c in self.children if isinstance(c, Node)]
@@ -103,71 +108,218 @@ def parse(html: str) -> Node:
     return b.root
 
 
-_SEL = re.compile(r"^([a-zA-Z0-9*]+)?((?:\[[^\]]+\])*)$")
-_COND = re.compile(r"\[([a-zA-Z_:-]+)(?:(\*?=)\"?([^\"\]]*)\"?)?\]")
-
-
-def _matcher(selector: str):
-    """Compound selector, or a descendant chain of them (``h2 strong``)."""
-    parts = selector.split()
-    if len(parts) > 1:
-        chain = [_simple(p) for p in parts]
-
-        def ok_chain(n: Node) -> bool:
-            if not chain[-1](n):
-                return False
-            i, a = len(chain) - 2, n.parent
-            while i >= 0 and a is not None:
-                if chain[i](a):
-                    i -= 1
-                a = a.parent
-            return i < 0
-        return ok_chain
-    return _simple(selector)
-
-
-def _simple(selector: str):
-    m = _SEL.match(selector.strip())
-    if not m:
-        raise ValueError(f"unsupported selector {selector!r}")
-    tag = m.group(1)
-    conds = _COND.findall(m.group(2) or "")
-
-    def ok(n: Node) -> bool:
-        if tag and tag != "*" and n.tag != tag:
-            return False
-        for attr, op, val in conds:
-            if attr not in n.attrs:
-                return False
-            if op == "=" and n.attrs[attr] != val:
-                return False
-            if op == "*=" and val not in n.attrs[attr]:
-                return False
-        return True
-    return ok
-
-
-def select_one(root: Node, selectors) -> Node | None:
-    """First element (document order) matching any selector of the list."""
-    ms = [_matcher(s) for s in selectors]
-    for n in root.iter():
-        if any(m(n) for m in ms):
-            return n
-    return None
-
-
-def first_match(root: Node, selectors) -> Node | None:
-    """Rule cascade: the first element matching the first selector that matches."""
-    for sel in selectors:
-        n = select_one(root, [sel])
-        if n is not None:
-            return n
-    return None
-
-
-def select_all(root: Node, selectors) -> list[Node]:
-    ms = [_matcher(s) for s in selectors]
-    return [n for n in root.iter() if any(m(n) for m in ms)]
+# ---------------------------------------------------------------- selectors
+_TOKEN = re.compile(r"""\s*(?P<comma>,)\s* | \s*(?P<combinator>[>+~])\s* | (?P<descend>\s+)
+    | (?P<tag>\*|[A-Za-z][A-Za-z0-9-]*) | \.(?P<class>[\w-]+) | \#(?P<id>[\w-]+)
+    | \[\s*(?P<attr>[\w:.-]+)\s*(?:(?P<op>[*^$~|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\s"'\]]+))\s*)?\]
+    | :(?P<pseudo>[a-z-]+)(?P<open>\()?""", re.X)
+
+
+@dataclass
+class Compound:
+    """Conditions on one element. ``has`` holds numbers of selectors of which some element must (not) lie inside."""
+    tag: str | None = None
+    tests: list = field(default_factory=list)
+    has: list[tuple[int, bool]] = field(default_factory=list)
+    combinator: str = ""
+
+    def holds(self, node: Node, first: bool, last: bool) -> bool:
+        return all(t(node, first, last) for t in self.tests)
+
+
+def _attribute(name: str, op: str | None, value: str):
+    name = name.lower()
+    if op is None:
+        return lambda n, *_: name in n.attrs
+    got = lambda n: n.attrs.get(name)
+    if op == "=":
+        return lambda n, *_: got(n) == value
+    if not value:
+        return lambda n, *_: False  # an empty part matches nothing
+    return {"*=": lambda n, *_: value in (got(n) or ""), "^=": lambda n, *_: (got(n) or "").startswith(value),
+            "$=": lambda n, *_: (got(n) or "").endswith(value), "~=": lambda n, *_: value in (got(n) or "").split(),
+            "|=": lambda n, *_: got(n) == value or (got(n) or "").startswith(value + "-")}[op]
+
+
+class Matcher:
+    """Selectors compiled together. Each selector is a chain of steps; a step's bit is set for an element
+    that fits the chain so far, so the bits of ancestors and siblings tell which steps may come next."""
+
+    def __init__(self):
+        self.steps: list[Compound] = []
+        self.finals: list[tuple[int, list[tuple[int, bool]]]] = []  # (bit, has) of every selector
+        self.known: dict[str, list[int]] = {}
+        self.starts = self.descend = self.child = self.adjacent = self.sibling = 0
+        self.by_tag: dict[str, int] = {}
+        self.any_tag = 0
+
+    def add(self, text: str) -> list[int]:
+        """Numbers of the selectors of a comma list."""
+        if text not in self.known:
+            chains, end = self._parse(text, 0, False)
+            if end != len(text):
+                raise ValueError(f"unsupported selector {text!r}")
+            self.known[text] = [self._chain(c, text) for c in chains]
+        return self.known[text]
+
+    def _chain(self, chain: list[Compound], text: str) -> int:
+        for i, compound in enumerate(chain):
+            if compound.has and i < len(chain) - 1:
+                raise ValueError(f"unsupported selector {text!r}: :has() before the element selected")
+            bit = 1 << len(self.steps)
+            self.steps.append(compound)
+            if not i:
+                self.starts |= bit
+            else:
+                name = {" ": "descend", ">": "child", "+": "adjacent", "~": "sibling"}[compound.combinator]
+                setattr(self, name, getattr(self, name) | bit)
+            if compound.tag is None:
+                self.any_tag |= bit
+            else:
+                self.by_tag[compound.tag] = self.by_tag.get(compound.tag, 0) | bit
+        self.finals.append((bit, chain[-1].has))
+        return len(self.finals) - 1
+
+    def _parse(self, text: str, at: int, inner: bool) -> tuple[list[list[Compound]], int]:
+        """Chains of a comma list from ``at``, up to the end or (``inner``) a closing bracket."""
+        bad = ValueError(f"unsupported selector {text!r}")
+        chains: list[list[Compound]] = [[]]
+        now, combinator = None, ""
+        while at < len(text) and not (inner and text[at] == ")"):
+            m = _TOKEN.match(text, at)
+            if not m:
+                raise bad
+            at = m.end()
+            if m["comma"] or m["combinator"] or m["descend"]:
+                rest = text[at:at + 1]
+                if m["descend"] and (now is None or not rest or rest == ")"):
+                    continue  # space around a selector
+                if now is None:
+                    raise bad
+                chains[-1].append(now)
+                now, combinator = None, m["combinator"] or " "
+                if m["comma"]:
+                    chains.append([])
+                    combinator = ""
+                continue
+            if now is None:
+                now = Compound(combinator=combinator)
+            elif m["tag"]:
+                raise bad
+            if m["tag"]:
+                now.tag = None if m["tag"] == "*" else m["tag"].lower()
+            elif m["class"]:
+                now.tests.append(_attribute("class", "~=", m["class"]))
+            elif m["id"]:
+                now.tests.append(_attribute("id", "=", m["id"]))
+            elif m["attr"]:
+                now.tests.append(_attribute(m["attr"], m["op"], next((v for v in (m["dq"], m["sq"], m["bare"]) if v is not None), "")))
+            else:
+                at = self._pseudo(m, text, at, now, bad)
+        if now is None:
+            raise bad
+        chains[-1].append(now)
+        return chains, at
+
+    def _pseudo(self, m: re.Match, text: str, at: int, now: Compound, bad: ValueError) -> int:
+        name = m["pseudo"]
+        if not m["open"]:
+            if name not in ("first-child", "last-child"):
+                raise bad
+            now.tests.append((lambda n, first, last: first) if name == "first-child" else (lambda n, first, last: last))
+            return at
+        if name not in ("not", "has"):
+            raise bad
+        chains, at = self._parse(text, at, True)
+        if text[at:at + 1] != ")":
+            raise bad
+        if name == "has":
+            if [len(c) for c in chains] != [1]:
+                raise bad
+            now.has.append((self._chain(chains[0], text), True))
+            return at + 1
+        for chain in chains:  # not(a, b) is not(a) and not(b)
+            if len(chain) > 1:
+                raise bad
+            inside, = chain
+            if inside.has:
+                if inside.tag or inside.tests or len(inside.has) > 1:
+                    raise bad
+                now.has.append((inside.has[0][0], not inside.has[0][1]))
+            else:
+                now.tests.append(lambda n, first, last, c=inside: not (
+                    (c.tag is None or n.tag == c.tag) and c.holds(n, first, last)))
+        return at + 1
+
+    def walk(self, root: Node) -> "Found":
+        """One walk over a page: the elements that each selector matches, in document order."""
+        hits: list[list[Node]] = [[] for _ in self.finals]
+        last_bit = {bit: i for i, (bit, _) in enumerate(self.finals)}
+        finals = sum(last_bit)
+        count = 0
+        # (node, its elements, place of the next, its steps, steps of its ancestors, of the sibling before, of all before)
+        stack = [[root, root.elements(), 0, 0, 0, 0, 0]]
+        while stack:
+            frame = stack[-1]
+            node, children, i, own, above, before, earlier = frame
+            if i == len(children):
+                node.end = count
+                stack.pop()
+                continue
+            child = children[i]
+            child.start = count
+            count += 1
+            inside = above | own
+            may = (self.starts | ((inside << 1) & self.descend) | ((own << 1) & self.child)
+                   | ((before << 1) & self.adjacent) | ((earlier << 1) & self.sibling))
+            may &= self.any_tag | self.by_tag.get(child.tag, 0)
+            steps = 0
+            while may:
+                bit = may & -may
+                may ^= bit
+                if self.steps[bit.bit_length() - 1].holds(child, i == 0, i == len(children) - 1):
+                    steps |= bit
+            done = steps & finals
+            while done:
+                bit = done & -done
+                done ^= bit
+                hits[last_bit[bit]].append(child)
+            frame[2], frame[5], frame[6] = i + 1, steps, earlier | steps
+            stack.append([child, child.elements(), 0, steps, inside, 0, 0])
+        root.start, root.end = -1, count
+        found = Found(hits)
+        for i, (_, has) in enumerate(self.finals):  # inner selectors stand before the ones they are part of
+            if has:
+                found.set(i, [n for n in hits[i] if all((found.first([k], n) is not None) == wanted for k, wanted in has)])
+        return found
+
+
+class Found:
+    """Elements by selector, of a page or of the part inside an element."""
+
+    def __init__(self, hits: list[list[Node]]):
+        self.hits = hits
+        self.at = [[n.start for n in h] for h in hits]
+
+    def set(self, i: int, nodes: list[Node]) -> None:
+        self.hits[i], self.at[i] = nodes, [n.start for n in nodes]
+
+    def first(self, selectors: list[int], inside: Node) -> Node | None:
+        """The first element in ``inside`` (itself left out) that one of the selectors matches."""
+        best = None
+        for s in selectors:
+            i = bisect_left(self.at[s], inside.start + 1)
+            if i < len(self.at[s]) and self.at[s][i] < inside.end and (best is None or self.at[s][i] < best.start):
+                best = self.hits[s][i]
+        return best
+
+    def every(self, selectors: list[int], inside: Node) -> list[Node]:
+        """All of them, once each, in document order."""
+        out = {}
+        for s in selectors:
+            for n in self.hits[s][bisect_left(self.at[s], inside.start + 1):bisect_left(self.at[s], inside.end)]:
+                out[n.start] = n
+        return [out[k] for k in sorted(out)]
 
 
 def has_button(n: Node) -> bool:

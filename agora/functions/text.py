@@ -23,6 +23,11 @@ def ilike_contains(col: Column | str, value: str) -> Column:
     return c.ilike(contains_pattern(value))
 
 
+def has_wildcard(value: str) -> bool:
+    """Whether ``contains_pattern`` leaves a live wildcard in the value."""
+    return "%" in value or "_" in value
+
+
 def token_estimate(text: Column) -> Column:
     """``len(text) // 4 + 100`` with ``len`` in code points; NULL text counts as ''."""
     n = F.coalesce(F.char_length(text), F.lit(0)).cast("bigint")

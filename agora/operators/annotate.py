@@ -93,37 +93,84 @@ def _block_map(block_rows: int, reach: int, max_tokens: int):
         pdf = pdf.sort_values("_pos")
         begin = int(key[1]) * block_rows
         own = int((pdf["_pos"] < begin + block_rows).sum())
-        starts = _next_starts(pdf["tokens"].to_numpy(), max_tokens)
-        leave, count = np.zeros(own, np.int64), np.ones(own, np.int64)
-        for i in range(own - 1, -1, -1):
-            n = starts[i]
-            if n < own:
-                leave[i], count[i] = leave[n], count[n] + 1
-            else:
-                leave[i] = n - block_rows
+        at = _next_starts(pdf["tokens"].to_numpy(), max_tokens)[:own]
+        count = np.ones(own, np.int64)
+        while len(inside := np.flatnonzero(at < own)):  # each step doubles the batches looked ahead
+            count[inside], at[inside] = count[inside] + count[at[inside]], at[at[inside]]
         entry = np.arange(reach)
-        inside = entry < own
-        leave = np.where(inside, leave[np.minimum(entry, own - 1)], entry - block_rows)
-        count = np.where(inside, count[np.minimum(entry, own - 1)], 0)
-        # beyond the block's rows a batch passes it by: one run
-        new = np.flatnonzero(np.append(True, np.where(
-            inside[1:], (np.diff(leave) != 0) | (np.diff(count) != 0), inside[:-1])))
-        return pd.DataFrame({"_shard": key[0], "_block": key[1], "entry": [new.tolist()],
-                             "leave": [leave[new].tolist()], "count": [count[new].tolist()]})
+        passed = entry >= own
+        enter = np.minimum(entry, own - 1)
+        return _as_runs(key[0], key[1], np.where(passed, entry, at[enter]) - block_rows,
+                        np.where(passed, 0, count[enter]))
+    return fn
+
+
+def _as_runs(shard: int, block: int, leave: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+    """A map from entries to (leave, count) as runs of entries: of one value, or (count 0) of entries that the
+    batch passes by, whose leaves rise with the entry."""
+    same = (np.diff(count) == 0) & (np.diff(leave) == (count[1:] == 0))
+    new = np.flatnonzero(np.append(True, ~same))
+    return pd.DataFrame({"_shard": shard, "_block": block, "entry": [new.tolist()],
+                         "leave": [leave[new].tolist()], "count": [count[new].tolist()]})
+
+
+def _from_runs(start, leave, count, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    start, leave, count = (np.asarray(x, np.int64) for x in (start, leave, count))
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, reach)))
+    return np.where(count[run] == 0, leave[run] + np.arange(reach) - start[run], leave[run]), count[run]
+
+
+def _composed(reach: int):
+    """One map for consecutive blocks: composition is associative, so blocks may be joined as a tree."""
+    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        leave, count = np.arange(reach), np.zeros(reach, np.int64)
+        pdf = pdf.sort_values("_block")
+        for runs in zip(pdf["entry"], pdf["leave"], pdf["count"]):
+            to, more = _from_runs(*runs, reach)
+            leave, count = to[leave], count + more[leave]
+        return _as_runs(key[0], key[1], leave, count)
     return fn
 
 
 def _entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow the blocks of a shard: where the batches enter each, and how many began before."""
-    entry, seq, out = 0, 0, []
-    for r in pdf.sort_values("_block").itertuples(index=False):
-        out.append((key[0], r[1], entry, seq))
-        run = int(np.searchsorted(r[2], entry, side="right")) - 1
-        seq += int(r[4][run])
-        entry = int(r[3][run]) + (entry - int(r[2][run]) if r[4][run] == 0 else 0)
+    """Follow at most ``FAN`` blocks: where the batches enter each, and how many began before."""
+    pdf, out = pdf.sort_values("_block"), []
+    entry, seq = int(pdf["_entry"].iloc[0]), int(pdf["_seq"].iloc[0])
+    for block, start, leave, count in zip(pdf["_block"], pdf["entry"], pdf["leave"], pdf["count"]):
+        out.append((key[0], block, entry, seq))
+        run = int(np.searchsorted(start, entry, side="right")) - 1
+        seq += int(count[run])
+        entry = int(leave[run]) + (entry - int(start[run]) if count[run] == 0 else 0)
     return pd.DataFrame(out, columns=["_shard", "_block", "_entry", "_seq"])
 
 
+#: Blocks (and maps of blocks) that are joined into one.
+FAN = 16
+_MAP = "_shard long, _block long, entry array<long>, leave array<long>, count array<long>"
+
+
+def _entered(maps: DataFrame, reach: int, fan: int) -> DataFrame:
+    """Where the batches enter every block. Maps of ``fan`` blocks are composed into one, level by level, until
+    a shard has at most ``fan`` of them; the entries then follow level by level back to the blocks. No task holds
+    more than ``fan`` maps, however many blocks a shard has."""
+    levels = [cut_lineage(maps)]
+    last = levels[0].agg(F.max("_block")).first()[0] or 0
+    above = F.floor(F.col("_block") / fan).cast("long").alias("_above")
+    while last >= fan:
+        levels.append(cut_lineage(levels[-1].groupBy("_shard", above).applyInPandas(_composed(reach), _MAP)))
+        last //= fan
+    entries = None
+    for level in reversed(levels):
+        rows = level.select("*", above)
+        if entries is None:
+            rows = rows.withColumns({"_entry": F.lit(0).cast("long"), "_seq": F.lit(0).cast("long")})
+        else:
+            rows = rows.join(entries.withColumnRenamed("_block", "_above"), ["_shard", "_above"])
+        entries = cut_lineage(rows.groupBy("_shard", "_above").applyInPandas(
+            _entries, "_shard long, _block long, _entry long, _seq long"))
+    return entries
+
+
 def _numbered(block_rows: int, max_tokens: int):
     """Batch numbers of a block's rows, given where the batches enter it."""
     def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +186,7 @@ def _numbered(block_rows: int, max_tokens: int):
 
 def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
                  max_tokens: int = schemas.POST_BATCH_MAX_TOKENS,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Next-fit packing by token budget, in id order, within each shard.
 
     A batch closes when adding the next row would pass ``max_tokens``; a row
@@ -147,9 +194,9 @@ def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
     does not depend on ``block_rows``, the consecutive rows of a shard that one task
     packs: a row costs ``TOKEN_OVERHEAD`` at least, so a batch reaches only so many
     rows into the next block. For each row that a batch can enter a block by, a
-    task finds where the batches leave it; the blocks of a shard are then
-    followed from entry to entry (a few numbers each), and every block is numbered
-    with its own entry. Only (position, tokens) go through Python.
+    task finds where the batches leave it; these maps are composed as a tree of ``fan``
+    (``_entered``), and every block is numbered with its own entry. Only (position, tokens) go
+    through Python.
 
     Returns rows + ``tokens``, ``shard``, ``batch_seq`` and ``batch_id`` =
     "<shard>/0/<seq>".
@@ -170,10 +217,8 @@ def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
     back = F.greatest(F.lit(0), F.floor((F.col("_pos") - reach) / block_rows))
     maps = (narrow.withColumn("_block", F.explode(F.sequence(back.cast("long"), block.cast("long"))))
             .groupBy("_shard", "_block").applyInPandas(
-                _block_map(block_rows, reach, max_tokens),
-                "_shard long, _block long, entry array<long>, leave array<long>, count array<long>"))
-    entries = cut_lineage(maps.groupBy("_shard").applyInPandas(
-        _entries, "_shard long, _block long, _entry long, _seq long"))
+                _block_map(block_rows, reach, max_tokens), _MAP))
+    entries = _entered(maps, reach, fan)
     packed = (narrow.withColumn("_block", block.cast("long")).join(entries, ["_shard", "_block"])
               .groupBy("_shard", "_block").applyInPandas(
                   _numbered(block_rows, max_tokens), "_g long, batch_seq long"))
@@ -317,58 +362,40 @@ def valid_result(kind: str) -> Column:
     return ok
 
 
-def _first_containing(posts_pdf: pd.DataFrame, summ_pdf: pd.DataFrame) -> pd.DataFrame:
-    """One batch: for each summary, the first post (batch order) whose text contains it.
-
-    One Aho-Corasick automaton over the summaries, one pass over the post texts:
-    linear in text size, never summary x post pairs.
-    """
-    out_cols = ["batch_id", "rpos", "fb_pid"]
-    if posts_pdf.empty or summ_pdf.empty:
-        return pd.DataFrame(columns=out_cols)
-    by_text: dict[str, list[int]] = {}
-    for rpos, summ in zip(summ_pdf["rpos"], summ_pdf["summary"]):
-        by_text.setdefault(summ, []).append(int(rpos))
-    found: dict[str, int] = {}
-    posts_pdf = posts_pdf.sort_values("ordinal", kind="stable")
-    try:
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for summ in by_text:
-            auto.add_word(summ, summ)
-        auto.make_automaton()
-        for pid, text in zip(posts_pdf["pid"], posts_pdf["content"]):
-            if text:
-                for _, summ in auto.iter(text):
-                    found.setdefault(summ, int(pid))
-            if len(found) == len(by_text):
-                break
-    except ImportError:                                   # plain scan, same answer
-        for pid, text in zip(posts_pdf["pid"], posts_pdf["content"]):
-            for summ in by_text:
-                if summ not in found and text and summ in text:
-                    found[summ] = int(pid)
-    batch = summ_pdf["batch_id"].iloc[0]
-    rows = [(batch, rpos, pid) for summ, pid in found.items() for rpos in by_text[summ]]
-    return pd.DataFrame(rows, columns=out_cols)
+#: Letters of a summary that its post is looked for by.
+GRAM = 12
 
 
 def containment_fallback(unmatched: DataFrame, posts: DataFrame) -> DataFrame:
     """(batch_id, rpos, fb_pid) for results whose non-blank summary occurs in a
     post of the same batch — the first such post in batch order.
 
-    Only batches with unmatched results take part; each is one cogroup (bounded
-    by the token budget) scanned once by an automaton of its summaries.
+    A post that holds a summary holds its first ``GRAM`` letters (all, if it is shorter). Only batches
+    with unmatched results take part: the different strings of that length in their posts are joined
+    with the summaries' beginnings, and the posts found that way are tested. No group of a batch is
+    gathered and no summary meets a post without cause.
     """
-    ship_package(unmatched.sparkSession)
-    summ = (unmatched.filter(F.col("r.summary").isNotNull() & (F.col("r.summary") != ""))
-            .select("batch_id", "rpos", F.col("r.summary").alias("summary")))
-    wanted = summ.select(F.col("batch_id").alias("_wb")).distinct()
-    batch_posts = posts.join(wanted, F.col("batch_id") == F.col("_wb"), "left_semi") \
-        .withColumnRenamed("batch_id", "_pb")
-    return (batch_posts.groupBy("_pb")
-            .cogroup(summ.groupBy("batch_id"))
-            .applyInPandas(_first_containing, "batch_id string, rpos int, fb_pid long"))
+    summ = unmatched.filter(F.col("r.summary").isNotNull() & (F.col("r.summary") != "")).select(
+        "batch_id", "rpos", F.col("r.summary").alias("summary"))
+    some = summ.select("batch_id", "summary", F.least(F.lit(GRAM), F.length("summary")).alias("q")).distinct()
+    some = some.withColumn("gram", F.substring(F.col("summary"), F.lit(1), F.col("q")))
+    sizes = some.select("batch_id", "q").distinct()   # GRAM rows a batch at most
+    texts = (posts.join(sizes, "batch_id").where(F.length("content") >= F.col("q"))
+             .select("batch_id", "pid", "ordinal", "content", "q"))
+    # a substring is counted from the start of its text: pieces of about the root of the length keep that short
+    step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.length("content")))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), F.length("content"), step),
+                         lambda i: F.substring(F.col("content"), i, step + F.col("q") - 1))
+    own = texts.select("batch_id", "pid", "ordinal", "q", F.explode(pieces).alias("piece")).where(
+        F.length("piece") >= F.col("q"))
+    grams = own.select("batch_id", "pid", "ordinal", "q", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("piece") - F.col("q") + 1),
+        lambda i: F.substring(F.col("piece"), i, F.col("q"))))).alias("gram"))
+    hits = some.join(grams, ["batch_id", "q", "gram"]).select("batch_id", "summary", "pid", "ordinal").distinct()
+    held = (hits.join(posts.select("batch_id", "pid", "content"), ["batch_id", "pid"])
+            .where(F.contains("content", "summary")).groupBy("batch_id", "summary")
+            .agg(F.min_by("pid", "ordinal").alias("fb_pid")))
+    return summ.join(held, ["batch_id", "summary"]).select("batch_id", "rpos", "fb_pid")
 
 
 def map_post_results(results: DataFrame, batched: DataFrame, validate: bool = False) -> dict:
@@ -376,7 +403,7 @@ def map_post_results(results: DataFrame, batched: DataFrame, validate: bool = Fa
 
     J4: the parsed id is a post of the same batch. J5 (only for results J4 left
     unmatched): the first post of the batch, in batch order, whose text contains
-    the non-blank summary (``containment_fallback``: one automaton pass per batch).
+    the non-blank summary (``containment_fallback``).
     W4: per post the last result (batch, result position) wins.
     """
     r = results.filter(valid_result("posts")) if validate else results
@@ -417,46 +444,60 @@ def map_comment_results(results: DataFrame, batched: DataFrame, validate: bool =
 
 
 # ---------------------------------------------------------------- M3 / M4
+def _post_values(r: str, run_ts: Column) -> dict[str, Column]:
+    """The columns that a result (struct column ``r``) gives a post; X16 the stamp of the run."""
+    return {
+        "ai_category": F.col(f"{r}.category"),
+        "ai_sub_category": F.col(f"{r}.subCategory"),
+        "ai_keywords": F.coalesce(F.col(f"{r}.keywords"), F.array().cast("array<string>")),
+        "ai_summary": F.col(f"{r}.summary"),
+        "ai_is_potential_idea": F.coalesce(F.col(f"{r}.isPotentialIdea"), F.lit(False)),
+        "ai_reasoning": F.col(f"{r}.reasoning"),
+        "ai_raw_response": F.to_json(F.col(r)),
+        "is_processed_by_ai": F.lit(True),
+        "last_ai_processing_at": run_ts.cast("timestamp_ntz"),
+    }
+
+
+def _comment_values(r: str, run_ts: Column) -> dict[str, Column]:
+    return {
+        "ai_comment_category": F.col(f"{r}.category"),
+        "ai_comment_sentiment": F.col(f"{r}.sentiment"),
+        "ai_comment_keywords": F.coalesce(F.col(f"{r}.keywords"), F.array().cast("array<string>")),
+        "ai_comment_raw_response": F.to_json(F.col(r)),
+        "is_processed_by_ai_comment": F.lit(True),
+        "last_ai_processing_at_comment": run_ts.cast("timestamp_ntz"),
+    }
+
+
+def post_changes(matched: DataFrame, run_ts: Column) -> DataFrame:
+    """M3 as changed columns by id, for ``parts.IdTable.update``: only the parts that hold them are rewritten."""
+    return matched.select("internal_post_id", *[v.alias(c) for c, v in _post_values("r", run_ts).items()])
+
+
+def comment_changes(matched: DataFrame, run_ts: Column) -> DataFrame:
+    """M4, as ``post_changes``."""
+    return matched.select("comment_id", *[v.alias(c) for c, v in _comment_values("r", run_ts).items()])
+
+
+def _applied(rows: DataFrame, matched: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    j = rows.join(matched.select(key, F.col("r").alias("_r"), F.lit(True).alias("_hit")), key, "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    return j.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+                      for c in rows.columns])
+
+
 def apply_post_results(posts: DataFrame, matched: DataFrame, run_ts: Column) -> DataFrame:
     """M3: annotated posts get the result, the processed flag and the run stamp.
 
     Produces a new snapshot of the table (join + when), never an in-place update.
     """
-    m = matched.select("internal_post_id", F.col("r").alias("_r"), F.lit(True).alias("_hit"))
-    j = posts.join(m, "internal_post_id", "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    upd = {
-        "ai_category": F.col("_r.category"),
-        "ai_sub_category": F.col("_r.subCategory"),
-        "ai_keywords": F.coalesce(F.col("_r.keywords"), F.array().cast("array<string>")),
-        "ai_summary": F.col("_r.summary"),
-        "ai_is_potential_idea": F.coalesce(F.col("_r.isPotentialIdea"), F.lit(False)),
-        "ai_reasoning": F.col("_r.reasoning"),
-        "ai_raw_response": F.to_json(F.col("_r")),
-        "is_processed_by_ai": F.lit(True),
-        "last_ai_processing_at": run_ts.cast("timestamp_ntz"),
-    }
-    cols = [F.when(hit, upd[c]).otherwise(F.col(c)).alias(c) if c in upd else F.col(c)
-            for c in posts.columns]
-    return j.select(*cols)
+    return _applied(posts, matched, "internal_post_id", _post_values("_r", run_ts))
 
 
 def apply_comment_results(comments: DataFrame, matched: DataFrame, run_ts: Column) -> DataFrame:
     """M4: as M3 for comments."""
-    m = matched.select("comment_id", F.col("r").alias("_r"), F.lit(True).alias("_hit"))
-    j = comments.join(m, "comment_id", "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    upd = {
-        "ai_comment_category": F.col("_r.category"),
-        "ai_comment_sentiment": F.col("_r.sentiment"),
-        "ai_comment_keywords": F.coalesce(F.col("_r.keywords"), F.array().cast("array<string>")),
-        "ai_comment_raw_response": F.to_json(F.col("_r")),
-        "is_processed_by_ai_comment": F.lit(True),
-        "last_ai_processing_at_comment": run_ts.cast("timestamp_ntz"),
-    }
-    cols = [F.when(hit, upd[c]).otherwise(F.col(c)).alias(c) if c in upd else F.col(c)
-            for c in comments.columns]
-    return j.select(*cols)
+    return _applied(comments, matched, "comment_id", _comment_values("_r", run_ts))
 
 
 # ---------------------------------------------------------------- end to end

@@ -7,41 +7,25 @@ a column formula stays JVM-side: permalink identity (E9), time parsing (X5),
 validity (F14/F15), comment ids (X4), field selection (P2), the per-run cap
 (S6) and the flattening into the comment table (E8).
 
-Each field is an ordered list of selectors; the first element that yields a
-non-empty value wins. The defaults target generic article pages; the lists
-are parameters.
+Each field is an ordered list of selectors (comma lists allowed); the first element that yields a
+non-empty value wins. The lists are parameters: ``schemas.ARTICLE_RULES`` for generic article pages,
+``schemas.FEED_RULES`` for feed elements. They are compiled on the driver first, so a selector
+that is not understood fails before the job runs, and all of them are found in one walk over a page.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions import timeparse, urls
+from agora import schemas
+from agora.functions import html, timeparse, urls
 from agora.operators.ingest import cap_per_group
 from agora.session import ship_package
 
-DEFAULT_RULES = {
-    "author_pic": ["image[href]", "image[xlink:href]", "img[alt*=profile]"],
-    "author_name": ["h1", "h2 strong", "h2", "title"],
-    "text_container": ["article", "div[role=article]", "div[data-ad-preview=message]"],
-    "generic_text": ["div[dir=auto]"],
-    "image": ["img[src]", "div[style*=background-image]"],
-    "time": ["abbr[title]", "time[datetime]"],
-    "time_link_text": ["a[href*=/posts/] span[data-lexical-text=true]",
-                       "a[href*=/videos/] span[data-lexical-text=true]",
-                       "a[href*=/photos/] span[data-lexical-text=true]"],
-    # links whose title / aria-label / short text may hold the time, in page order
-    "time_candidates": ["div[role=article] a[href*=/posts/]", "div[role=article] a[href*=/videos/]",
-                        "div[role=article] a[href*=/photos/]", "div[role=article] a[aria-label]"],
-    "time_marker": ["abbr", "a span[data-lexical-text=true]"],
-    "comment": ["li"],
-    "comment_pic": ["image[href]", "img[src]"],
-    "comment_name": ["a"],
-    "comment_text": ["span[dir=auto]", "p"],
-    "comment_id_link": ["a[href*=comment_id=]"],
-    "comment_time": ["abbr[title]", "time[datetime]"],
-}
+DEFAULT_RULES = schemas.ARTICLE_RULES
 
 ALL_FIELDS = ("post_author_profile_pic_url", "post_author_name", "content_text",
               "post_image_url", "posted_at", "comments")
@@ -52,7 +36,7 @@ RAW_SCHEMA = ("page_id bigint, url string, author_pic string, author_name string
               "content_text string, image_url string, time_text string, "
               "time_candidates array<string>, has_time_marker boolean, comments " + COMMENT_STRUCT)
 
-_BG_URL = r'background-image:\s*url\("?([^")]*)"?\)'
+_BG_URL = re.compile(r'background-image:\s*url\("?([^")]*)"?\)')
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -67,25 +51,38 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def _rules_fn(rules: dict, fields: tuple):
-    import re
+def compiled(rules: dict[str, list[str]]) -> tuple[html.Matcher, dict[str, list[list[int]]]]:
+    """One matcher of all rules, and the numbers of each rule's selectors. Raises for one it can't read."""
+    matcher = html.Matcher()
+    return matcher, {name: [matcher.add(s) for s in sels] for name, sels in rules.items() if isinstance(sels, list)}
 
-    import pandas as pd
 
-    from agora.functions import html as H
+class _Reader:
+    """Reads the fields of one page after another; made in the task, where the selectors are compiled once."""
 
-    want = set(fields)
-    bg = re.compile(_BG_URL)
+    def __init__(self, rules: dict, fields: tuple):
+        self.rules, self.want = rules, set(fields)
+        self.matcher, self.numbers = compiled(rules)
+        self.found = None
+
+    def first_match(self, node, rule):
+        # rule cascade: the first element matching the first selector that matches
+        for sels in self.numbers[rule]:
+            n = self.found.first(sels, node)
+            if n is not None:
+                return n
+        return None
 
-    def first_text(node, sels, sep=" "):
-        # the first rule giving a non-empty text wins
-        for sel in sels:
-            n = H.select_one(node, [sel])
+    def first_text(self, node, rule, sep=" "):
+        # the first selector giving a non-empty text wins
+        for sels in self.numbers[rule]:
+            n = self.found.first(sels, node)
             t = n.text(sep) if n is not None else ""
             if t:
                 return t
         return None
 
+    @staticmethod
     def image_of(n):
         if n is None:
             return None
@@ -93,36 +90,36 @@ def _rules_fn(rules: dict, fields: tuple):
             return n.attrs.get("href") or n.attrs.get("xlink:href")
         if n.tag == "img":
             return n.attrs.get("src")
-        m = bg.search(n.attrs.get("style", ""))
+        m = _BG_URL.search(n.attrs.get("style", ""))
         return m.group(1) if m else None
 
-    def body(root):
-        cont = H.first_match(root, rules["text_container"])
+    def body(self, root):
+        cont = self.first_match(root, "text_container")
         text = None
         if cont is not None:
-            parts = [e.text(" ") for e in cont.elements() if not H.has_button(e)]
+            parts = [e.text(" ") for e in cont.elements() if not html.has_button(e)]
             parts = [p for p in parts if p]
             text = "\n".join(parts) if parts else (cont.text(" ") or None)
         if not text:
-            text = first_text(root, rules["generic_text"])
+            text = self.first_text(root, "generic_text")
         return text
 
-    def time_of(node, sels):
-        n = H.first_match(node, sels)
+    def time_of(self, node, rule):
+        n = self.first_match(node, rule)
         if n is None:
             return None
         v = n.attrs.get("title") or n.attrs.get("datetime") or n.text(" ")
         return v or None
 
-    def post_time(root):
+    def post_time(self, root):
         """E5 steps 1-2: attribute time, then the permalink's time text."""
-        return time_of(root, rules["time"]) or first_text(root, rules["time_link_text"], "")
+        return self.time_of(root, "time") or self.first_text(root, "time_link_text", "")
 
-    def time_candidates(root, author):
+    def time_candidates(self, root, author):
         """E5 step 3: title / aria-label (> 5 chars) / short text of candidate links,
         in page order; Spark keeps the first that parses."""
         out = []
-        for a in H.select_all(root, rules["time_candidates"]):
+        for a in self.found.every(sum(self.numbers["time_candidates"], []), root):
             for attr in ("title", "aria-label"):
                 v = a.attrs.get(attr)
                 if v and len(v) > 5:
@@ -133,45 +130,60 @@ def _rules_fn(rules: dict, fields: tuple):
                 out.append(t)
         return out
 
-    def comments(root):
+    def comment_time(self, c):
+        """The time element's, else the label or text of the comment's own link."""
+        n = self.first_match(c, "comment_time_link")
+        return self.time_of(c, "comment_time") or (n.attrs.get("aria-label") or n.text("") or None if n is not None else None)
+
+    def comment_text(self, c):
+        """The text element's, else of the container that stands in for it, else (where asked) all of the comment."""
+        text = self.first_text(c, "comment_text")
+        box = self.first_match(c, "comment_text_container") if text is None else None
+        if box is not None:
+            text = self.first_text(box, "comment_text_inside") or box.text(" ") or None
+        return text or (c.text(" ") or None if self.rules["comment_text_whole"] else None)
+
+    def comments(self, root):
         out = []
-        for i, c in enumerate(H.select_all(root, rules["comment"])):
-            name = first_text(c, rules["comment_name"]) if "comments" in want else None
-            txt = first_text(c, rules["comment_text"]) or c.text(" ") or None
-            link = H.first_match(c, rules["comment_id_link"])
-            anyl = H.first_match(c, ["a[href]"])
+        for i, c in enumerate(self.found.every(sum(self.numbers["comment"], []), root)):
+            link = self.first_match(c, "comment_id_link") or self.first_match(c, "comment_any_link")
             out.append({
                 "pos": i,
-                "commenter_profile_pic_url": image_of(H.first_match(c, rules["comment_pic"])),
-                "commenter_name": name,
-                "comment_text": txt,
-                "href": (link or anyl).attrs.get("href") if (link or anyl) is not None else None,
+                "commenter_profile_pic_url": self.image_of(self.first_match(c, "comment_pic")),
+                "commenter_name": self.first_text(c, "comment_name"),
+                "comment_text": self.comment_text(c),
+                "href": link.attrs.get("href") if link is not None else None,
                 "data_comment_id": c.attrs.get("data-commentid"),
-                "time_text": time_of(c, rules["comment_time"]),
+                "time_text": self.comment_time(c),
             })
         return out
 
-    def one(html):
-        root = H.parse(html)
-        author = first_text(root, rules["author_name"])
-        tt = post_time(root) if "posted_at" in want else None
+    def one(self, page):
+        root = html.parse(page)
+        self.found = self.matcher.walk(root)
+        author = self.first_text(root, "author_name")
+        tt = self.post_time(root) if "posted_at" in self.want else None
         return {
-            "author_pic": image_of(H.first_match(root, rules["author_pic"]))
-            if "post_author_profile_pic_url" in want else None,
-            "author_name": author if "post_author_name" in want else None,
-            "content_text": body(root) if "content_text" in want else None,
-            "image_url": image_of(H.first_match(root, rules["image"]))
-            if "post_image_url" in want else None,
+            "author_pic": self.image_of(self.first_match(root, "author_pic"))
+            if "post_author_profile_pic_url" in self.want else None,
+            "author_name": author if "post_author_name" in self.want else None,
+            "content_text": self.body(root) if "content_text" in self.want else None,
+            "image_url": self.image_of(self.first_match(root, "image"))
+            if "post_image_url" in self.want else None,
             "time_text": tt,
-            "time_candidates": time_candidates(root, author)
-            if "posted_at" in want and tt is None else [],
-            "has_time_marker": H.first_match(root, rules["time_marker"]) is not None,
-            "comments": comments(root) if "comments" in want else [],
+            "time_candidates": self.time_candidates(root, author)
+            if "posted_at" in self.want and tt is None else [],
+            "has_time_marker": self.first_match(root, "time_marker") is not None,
+            "comments": self.comments(root) if "comments" in self.want else [],
         }
 
+
+def _rules_fn(rules: dict, fields: tuple):
     def fn(batches):
+        import pandas as pd
+        reader = _Reader(rules, fields)
         for pdf in batches:
-            rows = [one(h) for h in pdf["html"]]
+            rows = [reader.one(h) for h in pdf["html"]]
             out = pd.DataFrame(rows, columns=["author_pic", "author_name", "content_text",
                                               "image_url", "time_text", "time_candidates",
                                               "has_time_marker", "comments"])
@@ -202,6 +214,7 @@ def extract_pages(pages: DataFrame, host: str, base_ts: Column | None = None,
     """
     ship_package(pages.sparkSession)
     rules = {**DEFAULT_RULES, **(rules or {})}
+    compiled(rules)  # fails here, not in a task
     fields = tuple(fields) if fields else ALL_FIELDS
     src = spread(pages.select("page_id", "url", "html"))
     raw = src.mapInPandas(_rules_fn(rules, fields), RAW_SCHEMA)

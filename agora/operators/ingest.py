@@ -9,7 +9,8 @@ wins), re-expressed as set operations:
   that is the earliest undecided row of BOTH its key groups is kept; rows sharing
   a key with a kept row are rejected; repeat. Each round is two partial
   aggregations plus joins over the still-undecided rows only, and is
-  checkpointed to the shared checkpoint folder.
+  checkpointed to the shared checkpoint folder. Where a round decides fewer than half of its
+  rows, the chains they form are followed by pointer jumping (``_followed``).
 
 NULL keys never collide. Ingest order is an explicit ordinal; rows that share one are
 taken in the order of their content, so none is lost and replays agree.
@@ -122,51 +123,110 @@ def insert_one_key(stored: DataFrame | None, incoming: DataFrame, key_cols: list
 
 
 # ---------------------------------------------------------------- M1 / M5
+def _placed(df: DataFrame, ordinal: str, key1: Column, key2: Column) -> tuple[DataFrame, DataFrame]:
+    """(``df`` checkpointed with its row number ``_place``; ``_place``, both keys and a dense order ``_o``).
+    Rows that share an ordinal are ordered by a hash of the row, then by place (repeated rows)."""
+    rows = cut_lineage(df).withColumn("_place", F.monotonically_increasing_id())
+    keys = rows.select(F.col(ordinal).alias("_a"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_b"),
+                       "_place", key1.alias("_k1"), key2.alias("_k2"))
+    return rows, with_ordinal(keys, ["_a", "_b", "_place"], "_o").select("_o", "_place", "_k1", "_k2")
+
+
+def _firsts(work: DataFrame, key: str) -> DataFrame:
+    """_g, _m: the earliest row of each group of a key."""
+    return work.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_g")).agg(F.min("_o").alias("_m"))
+
+
+def _first_of_both(work: DataFrame) -> DataFrame:
+    """Rows that are the earliest of both their groups: a semi-join for each key that is set."""
+    out = work
+    for key in ("_k1", "_k2"):
+        out = _where_set(out, key, lambda d, k=key, m=_firsts(work, key): d.join(
+            m, (F.col(k) == F.col("_g")) & (F.col("_o") == F.col("_m")), "left_semi"))
+    return out
+
+
+def _predecessors(work: DataFrame) -> DataFrame:
+    """_o, at, odd, known, end: the link of every undecided row. A row with exactly one earlier row in its two
+    groups is kept if and only if that row is not: it links there, with odd distance. A row with none is
+    kept (``known``); one with several ends its chain without an answer."""
+    ranked = work
+    for n in ("1", "2"):
+        firsts = _firsts(work, f"_k{n}").withColumnRenamed("_m", f"_m{n}")
+        ranked = _where_set(ranked, f"_k{n}", lambda d, k=f"_k{n}", m=firsts: d.join(
+            m, F.col(k) == F.col("_g"), "left").drop("_g"))
+    ranked = cut_lineage(ranked.select("_o", "_k1", "_k2", "_m1", "_m2"))
+    for n in ("1", "2"):  # the second of each group follows its first
+        second = (ranked.filter(F.col("_o") > F.col(f"_m{n}")).groupBy(f"_k{n}", F.col(f"_m{n}").alias(f"_p{n}"))
+                  .agg(F.min("_o").alias("_o")).select("_o", f"_p{n}"))
+        ranked = ranked.join(second, "_o", "left")
+    first = [F.col(f"_m{n}").isNull() | (F.col(f"_m{n}") == F.col("_o")) for n in "12"]
+    at = (F.when(first[0] & first[1], F.col("_o")).when(first[0], F.col("_p2")).when(first[1], F.col("_p1"))
+          .when(F.col("_p1") == F.col("_p2"), F.col("_p1")))
+    linked = at.isNotNull() & (at != F.col("_o"))
+    return ranked.select("_o", F.coalesce(at, F.col("_o")).alias("at"), linked.alias("odd"),
+                         (first[0] & first[1]).alias("known"), (~linked).alias("end"))
+
+
+def _followed(work: DataFrame) -> tuple[DataFrame, int]:
+    """(undecided rows that are kept as far as their chains tell, jumps): every link is replaced by its
+    link's link until all have reached the end of their chain, so a chain of n rows takes log2(n) jumps."""
+    links, jumps = cut_lineage(_predecessors(work)), 0
+    while not links.filter(~F.col("end")).isEmpty():
+        jumps += 1
+        target = links.select(F.col("_o").alias("at"), F.col("at").alias("_at"), F.col("odd").alias("_odd"),
+                              F.col("known").alias("_known"), F.col("end").alias("_end"))
+        moved = links.filter(~F.col("end")).join(target, "at").select(
+            "_o", F.col("_at").alias("at"), (F.col("odd") != F.col("_odd")).alias("odd"),
+            F.col("_known").alias("known"), F.col("_end").alias("end"))
+        links = cut_lineage(links.filter("end").unionByName(moved))
+    kept = links.filter(F.col("known") & ~F.col("odd")).select("_o")
+    return work.join(kept, "_o", "left_semi"), jumps
+
+
 def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: list[str],
                     key2_cols: list[str], ordinal: str, max_rounds: int | None = None,
-                    ) -> tuple[DataFrame, DataFrame, int]:
+                    taken: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """M1 / M5: (inserted, ignored, rounds) for a table with two unique keys.
 
     Exactly equal to inserting the rows one by one in ``ordinal`` order with
-    INSERT OR IGNORE against both keys. ``max_rounds`` is only a safety valve
-    for tests; ``None`` runs to completion.
+    INSERT OR IGNORE against both keys. ``taken`` gives the stored keys (``_k1``; ``_k2``) in place of
+    ``stored``. ``max_rounds`` is only a safety valve for tests; ``None`` runs to completion; a pointer
+    jump counts as a round.
     """
     k1, k2 = key_col(*key1_cols), key_col(*key2_cols)
-    incoming = unique_ordinal(incoming, ordinal)
-    work = incoming.select("_o", k1.alias("_k1"), k2.alias("_k2"))
-    anti = lambda d, key, taken: _where_set(d, key, lambda x: x.join(taken, key, "left_anti"))
-    if stored is not None:
-        s1 = stored.select(k1.alias("_k1")).filter(F.col("_k1").isNotNull()).distinct()
-        s2 = stored.select(k2.alias("_k2")).filter(F.col("_k2").isNotNull()).distinct()
-        work = anti(anti(work, "_k1", s1), "_k2", s2)
+    rows, work = _placed(incoming, ordinal, k1, k2)
+    anti = lambda d, key, gone: _where_set(d, key, lambda x: x.join(gone, key, "left_anti"))
+    if taken is None and stored is not None:
+        taken = stored.select(k1.alias("_k1")), stored.select(k2.alias("_k2"))
+    if taken is not None:
+        for key, gone in zip(("_k1", "_k2"), taken):
+            work = anti(work, key, gone.filter(F.col(key).isNotNull()).distinct())
     work = cut_lineage(work)
     # rows with both keys NULL never collide: kept now; every later kept row has a
     # non-NULL key, so the anti-joins on the taken keys also drop it from ``work``
     both_null = F.col("_k1").isNull() & F.col("_k2").isNull()
-    kept_parts: list[DataFrame] = [work.filter(both_null).select("_o")]
+    kept_parts: list[DataFrame] = [work.filter(both_null).select("_place")]
     work = work.filter(~both_null)
-    rounds = 0
-    while not work.isEmpty():
-        rounds += 1
+    rounds, before, slow = 0, work.count(), False
+    while before:
+        found, jumps = _followed(work) if slow else (_first_of_both(work), 0)
+        rounds += 1 + max(0, jumps - 1)
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("two-key insert did not converge within max_rounds")
-        firsts = lambda key: (work.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_g"))
-                              .agg(F.min("_o").alias("_m")))
-        m1, m2 = firsts("_k1"), firsts("_k2")
-        # the earliest of both its groups is kept: a semi-join for each key that is set
-        first = lambda d, key, m: _where_set(d, key, lambda x: x.join(
-            m, (F.col(key) == F.col("_g")) & (F.col("_o") == F.col("_m")), "left_semi"))
-        kept = cut_lineage(first(first(work, "_k1", m1), "_k2", m2))
-        kept_parts.append(kept.select("_o"))
-        taken1 = kept.select("_k1").filter(F.col("_k1").isNotNull())
-        taken2 = kept.select("_k2").filter(F.col("_k2").isNotNull())
-        work = cut_lineage(anti(anti(work, "_k1", taken1), "_k2", taken2))
+        kept = cut_lineage(found)
+        kept_parts.append(kept.select("_place"))
+        for key in ("_k1", "_k2"):
+            work = anti(work, key, kept.select(key).filter(F.col(key).isNotNull()))
+        work = cut_lineage(work)
+        left = work.count()
+        slow, before = 2 * left > before, left
     kept_all = kept_parts[0]
     for p in kept_parts[1:]:
         kept_all = kept_all.unionByName(p)
     kept_all = cut_lineage(kept_all)
-    inserted = incoming.join(kept_all, "_o", "left_semi").drop("_o")
-    ignored = incoming.join(kept_all, "_o", "left_anti").drop("_o")
+    inserted = rows.join(kept_all, "_place", "left_semi").drop("_place")
+    ignored = rows.join(kept_all, "_place", "left_anti").drop("_place")
     log.info("two-key insert converged in %d rounds", rounds)
     return inserted, ignored, rounds
 

@@ -120,20 +120,31 @@ def q_ingest_shared_ordinals(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@register("batch_blocks", """
+_NEXT_FIT = """
 WITH RECURSIVE todo AS (
-  SELECT doc_id, CASE WHEN source = 'src0' THEN '' ELSE source END AS shard, length(text) // 4 + 100 AS tokens,
-         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+  SELECT doc_id, {shard} AS shard, length(text) // 4 + 100 AS tokens,
+         row_number() OVER (PARTITION BY {shard} ORDER BY doc_id) AS rn FROM documents),
 packed(shard, rn, doc_id, cur, batch_seq) AS (
   SELECT shard, rn, doc_id, tokens, CAST(0 AS BIGINT) FROM todo WHERE rn = 1
   UNION ALL
   SELECT t.shard, t.rn, t.doc_id, CASE WHEN p.cur + t.tokens > 3000 THEN t.tokens ELSE p.cur + t.tokens END,
          CASE WHEN p.cur + t.tokens > 3000 THEN p.batch_seq + 1 ELSE p.batch_seq END
   FROM packed p JOIN todo t ON t.shard = p.shard AND t.rn = p.rn + 1)
-SELECT doc_id, nullif(shard, '') AS shard, batch_seq FROM packed""")
+SELECT doc_id, nullif(shard, '') AS shard, batch_seq FROM packed"""
+
+
+@register("batch_blocks", _NEXT_FIT.format(shard="CASE WHEN source = 'src0' THEN '' ELSE source END"))
 def q_batch_blocks(spark, sf_dir):
     """A NULL shard is a shard, and small blocks give the batches of whole shards."""
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     shard = F.when(F.col("source") != "src0", F.col("source"))
     out = AN.pack_batches(docs, "doc_id", "text", shard, 3000, block_rows=8)
     return out.select("doc_id", "shard", "batch_seq")
+
+
+@register("batch_block_tree", _NEXT_FIT.format(shard="'all'"))
+def q_batch_block_tree(spark, sf_dir):
+    """One shard of all documents in blocks of one row, whose maps are composed as a tree of four."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = AN.pack_batches(docs, "doc_id", "text", F.lit("all"), 3000, block_rows=1, fan=4)
+    return out.select("doc_id", "shard", "batch_seq")

@@ -84,3 +84,18 @@ class OfflineAnnotator:
 
 
 annotate.register_annotator("offline", OfflineAnnotator)
+
+
+class FailingAnnotator(OfflineAnnotator):
+    """The same, but every prompt whose length is a multiple of three fails for good while ``failing``."""
+
+    def __init__(self, failing: bool = True):
+        self.failing = failing
+
+    def __call__(self, system: str, user: str) -> str:
+        if self.failing and len(user) % 3 == 0:
+            raise ValueError("no answer for this prompt")
+        return super().__call__(system, user)
+
+
+annotate.register_annotator("offline_failing", FailingAnnotator)

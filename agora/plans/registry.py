@@ -20,6 +20,8 @@ PLAN_MODULES = (
     "agora.plans.catalog_annotate",
     "agora.plans.catalog_stream",
     "agora.plans.catalog_more",
+    "agora.plans.catalog_feed",
+    "agora.plans.catalog_store",
 )
 
 

@@ -102,7 +102,7 @@ def bootstrap(spark: SparkSession, root: str) -> dict[str, str]:
     out = {}
     for name, schema in schemas.TABLES.items():
         path = f"{root.rstrip('/')}/{name}"
-        if not _exists(spark, path):
+        if not exists(spark, path):
             spark.createDataFrame([], schema).write.parquet(path)
         out[name] = path
     return out
@@ -110,7 +110,7 @@ def bootstrap(spark: SparkSession, root: str) -> dict[str, str]:
 
 def tables_present(spark: SparkSession, root: str) -> bool:
     """SRC1 start-up check: every table exists."""
-    return all(_exists(spark, f"{root.rstrip('/')}/{n}") for n in schemas.TABLES)
+    return all(exists(spark, f"{root.rstrip('/')}/{n}") for n in schemas.TABLES)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -156,6 +156,14 @@ def write_snapshot(df: DataFrame, root: str, table: str) -> str:
     base = f"{root.rstrip('/')}/{table}"
     path = f"{base}/snap-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    switch_pointer(spark, base, path)
+    return path
+
+
+def switch_pointer(spark: SparkSession, base: str, path: str) -> None:
+    """Make ``path`` the current state of the table in ``base``: one step that replaces the pointer, or
+    fails and leaves the old one."""
+    import uuid
     fs, tmp = _fs(spark, f"{base}/{POINTER}.{uuid.uuid4().hex}.tmp")
     out = fs.create(tmp, True)
     out.writeUTF(path)
@@ -165,18 +173,13 @@ def write_snapshot(df: DataFrame, root: str, table: str) -> str:
     overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(overwrite, 1)
     options[0] = overwrite.OVERWRITE
-    # one step that replaces the pointer, or fails and leaves the old one
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, final, options)
-    return path
 
 
-def current_snapshot(spark: SparkSession, root: str, table: str) -> str | None:
-    fs, ptr = _fs(spark, f"{root.rstrip('/')}/{table}/{POINTER}")
+def read_pointer(spark: SparkSession, base: str) -> str | None:
+    fs, ptr = _fs(spark, f"{base}/{POINTER}")
     if not fs.exists(ptr):
-        if fs.exists(ptr.getParent()) and any(
-                f.getPath().getName().startswith("snap-") for f in fs.listStatus(ptr.getParent())):
-            raise RuntimeError(f"table {table} has snapshots but no pointer to the current one")
         return None
     inp = fs.open(ptr)
     try:
@@ -185,6 +188,39 @@ def current_snapshot(spark: SparkSession, root: str, table: str) -> str | None:
         inp.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    inp = fs.open(p)
+    try:
+        return bytes(inp.readAllBytes()).decode()
+    finally:
+        inp.close()
+
+
+def folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes of its files) of the folders in a folder."""
+    fs, p = _fs(spark, path)
+    return [(f.getPath().getName(), fs.getContentSummary(f.getPath()).getLength())
+            for f in fs.listStatus(p) if f.isDirectory()]
+
+
+def current_snapshot(spark: SparkSession, root: str, table: str) -> str | None:
+    base = f"{root.rstrip('/')}/{table}"
+    path = read_pointer(spark, base)
+    if path is None:
+        fs, parent = _fs(spark, base)
+        if fs.exists(parent) and any(f.getPath().getName().startswith("snap-") for f in fs.listStatus(parent)):
+            raise RuntimeError(f"table {table} has snapshots but no pointer to the current one")
+    return path
+
+
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The table as of its current snapshot (empty with the declared schema if none)."""
     path = current_snapshot(spark, root, table)
@@ -193,7 +229,7 @@ def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[table]).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

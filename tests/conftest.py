@@ -13,7 +13,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     from agora.plans import offline  # noqa: F401  (registers the rule-based annotator)
     from agora.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8, app_name="agora-tests")
+    s = get_session("local[4]", shuffle_partitions=4, app_name="agora-tests")
     yield s
     s.stop()
 

@@ -69,8 +69,8 @@ def test_any_block_size_gives_the_same_batches(spark, budget):
         own = [r for r in rows if r[2] == name]
         for r, seq in zip(own, next_fit_model([len(r[1]) // 4 + 100 for r in own], budget)):
             want[r[0]] = (name, seq)
-    for block in (1, 3, 7, 50, 100_000):
-        out = AN.pack_batches(df, "id", "text", F.col("shard"), budget, block_rows=block).collect()
+    for block, fan in ((1, 2), (1, 7), (3, 3), (7, 16), (50, 2), (100_000, 16)):
+        out = AN.pack_batches(df, "id", "text", F.col("shard"), budget, block_rows=block, fan=fan).collect()
         assert {r["id"]: (r["shard"], r["batch_seq"]) for r in out} == want and len(out) == len(rows)
 
 

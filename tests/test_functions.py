@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from agora.functions import text, timeparse, urls
@@ -143,3 +145,97 @@ def test_more_time_forms(spark):
     df = spark.createDataFrame([(k, base) for k in want], "t string, b timestamp_ntz")
     got = {r["t"]: r["p"] for r in df.select("t", timeparse.parse_time_text(F.col("t"), F.col("b")).alias("p")).collect()}
     assert got == want
+
+
+# ---------------------------------------------------------------- selectors
+def _select(page, text):
+    from agora.functions import html as H
+    m = H.Matcher()
+    numbers = m.add(text)
+    root = H.parse(page)
+    return [n.attrs.get("id") for n in m.walk(root).every(numbers, root)]
+
+
+SELECTED = """<div id=a class="x y"><p id=b>t</p><p id=c dir=auto>u<b id=d>v</b></p><ul id=e><li id=f><div id=g role=article
+ href="/posts/1">w</div></li><li id=h class="y  z"><a id=i href="/user/2/x"><span id=j>k</span></a></li></ul></div>
+<div id=k aria-label="Comment by X"><button id=l>m</button></div>"""
+
+
+@pytest.mark.parametrize("selector, ids", [
+    ("div", "agk"), ("DIV", "agk"), ("*", "abcdefghijkl"), ("div p", "bc"), ("div > p", "bc"), ("div > b", ""), ("div b", "d"),
+    ("p + p", "c"), ("p + ul", "e"), ("p ~ ul", "e"), ("b ~ ul", ""), ("ul > li div[role='article']", "g"),
+    (".y", "ah"), ("div.x.y", "a"), (".z.y", "h"), ("li.x", ""), ("#d", "d"), ("[href*='/user/'] span", "j"),
+    ("[href^='/posts']", "g"), ('[href$="/x"]', "i"), ("[class~=z]", "h"), ("[dir|=auto]", "c"), ("[href*='']", ""),
+    ("li:first-child", "f"), ("div:first-child p", "bc"), ("p:last-child", ""), ("li:last-child a", "i"),
+    ('div:not([class*=" "])', "gk"), ("div:not(:has(button))", "ag"), ("div:has(button)", "k"), ("div:not(.x, [role])", "k"),
+    ("div:not(.x):not([role=article])", "k"), ("p, li , a", "bcfhi"), (" p ,  b ", "bcd"), ("ul>li>a > span", "j"),
+    ('div[aria-label*="Comment by"], ul > li div[role="article"]', "gk"), ("div ul li a span", "j"), ("li + li a", "i"),
+    ("div div", "g"), ("ul li ~ li", "h"),
+])
+def test_selectors(selector, ids):
+    assert "".join(_select(SELECTED, selector)) == ids
+
+
+@pytest.mark.parametrize("selector", ["", "div >", "> div", "div:nth-child(2)", "div[", "a:hover", "div:has(a b)", "div:has(a) p",
+                                      "p:not(a b)", "a,,b", "div::before", "p!", "div:not(", "a b,"])
+def test_selectors_that_are_not_understood_raise(selector):
+    with pytest.raises(ValueError):
+        _select(SELECTED, selector)
+
+
+def test_selectors_inside_an_element_may_look_outside():
+    from agora.functions import html as H
+    m = H.Matcher()
+    numbers, items = m.add("div li span, div a"), m.add("li")
+    root = H.parse(SELECTED)
+    found = m.walk(root)
+    first, second = found.every(items, root)
+    assert found.first(numbers, first) is None and found.first(numbers, second).attrs["id"] == "i"
+    assert [n.attrs["id"] for n in found.every(numbers, second)] == ["i", "j"]
+
+
+def test_rules_of_both_formats_load_and_bad_ones_fail_early(spark):
+    from agora import schemas
+    from agora.operators import extract
+    for rules in (schemas.ARTICLE_RULES, schemas.FEED_RULES):
+        extract.compiled(rules)
+    pages = spark.createDataFrame([(1, "https://a/", "<p>x</p>")], "page_id long, url string, html string")
+    with pytest.raises(ValueError):
+        extract.extract_pages(pages, "a", rules={"author_name": ["h1:nth-of-type(2)"]})
+
+
+def test_deep_pages_are_walked_without_recursion():
+    page = "<div>" * 5000 + "<b id=z>x</b>"
+    assert _select(page, "div div b") == ["z"]
+
+
+# ---------------------------------------------------------------- size of plans
+def test_time_parsing_keeps_plans_small(spark):
+    from pyspark.sql import functions as F
+
+    from agora.functions.timeparse import parse_time_text
+    df = spark.createDataFrame([("2 hrs ago",)], "t string")
+    plan = df.select(parse_time_text(F.col("t"), F.localtimestamp()).alias("ts"))._jdf.queryExecution().optimizedPlan()
+    assert len(plan.toString()) < 20_000
+
+
+def test_page_extraction_keeps_plans_small(spark):
+    from __spark_entry__ import queries
+    from tests.conftest import SMALL
+    for name in ("extract_pages", "extract_feed_pages", "extract_comments"):
+        plan = queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan()
+        assert len(plan.toString()) < 100_000, name
+
+
+def test_first_fenced_array_counts(spark):
+    from pyspark.sql import functions as F
+
+    from agora import schemas
+    from agora.functions import answers
+    array = '[{"postId": "POST_ID_1"}]'
+    texts = [f"see\n```json\n{array}\n```", f"```\n{array}```", f"```python\nprint(1)\n```\nthen\n```json\n{array}\n```",
+             "```json\n{}\n```", f"```JSON {array}\n```", "```json\n[1,"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", answers.parse_results(
+        F.col("t"), schemas.POST_RESULT, schemas.POST_WRAPPER_KEYS).alias("r")).collect()}
+    assert [len(got[i]) for i in range(6)] == [1, 1, 1, 0, 1, 0]

@@ -54,6 +54,31 @@ def test_two_key_equals_sequential(spark, pairs, rnd):
     assert kept(spark, rows) == exp
 
 
+@pytest.mark.parametrize("shape", ["chain", "two_chains", "tree", "reversed"])
+def test_long_chains_take_few_rounds(spark, shape):
+    """1,024 rows of which each shares one key with the row before: pointer jumping, not a round for two rows."""
+    n = 1024
+    if shape == "tree":    # every group is a first row and two followers
+        rows = [(i, f"a{i}", f"b{(i - 1) // 2}") if i % 2 else (i, f"a{(i - 1) // 2}", f"b{i}") for i in range(1, n + 1)]
+    else:
+        step = 2 if shape == "two_chains" else 1
+        link = lambda i: (f"a{i // (2 * step)}.{i % step}", f"b{(i + step) // (2 * step)}.{i % step}")
+        rows = [(i if shape != "reversed" else n - i, *link(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, ROW).repartition(4)
+    ins, _, rounds = ingest.insert_two_keys(None, df, ["k1"], ["k2"], "ordinal")
+    assert sorted(r[0] for r in ins.select("ordinal").collect()) == sorted(models.sequential_two_key(rows))
+    assert rounds <= 12
+
+
+def test_chains_that_end_undecided(spark):
+    """Rows with several earlier neighbours end a chain without an answer and are decided later."""
+    rnd = random.Random(4)
+    rows = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(200)]
+    rows += [(200 + i, f"a{rnd.randrange(120)}", f"b{rnd.randrange(120)}") for i in range(60)]
+    rows += [(300 + i, None if i % 3 else f"a{i}", f"b{90 + i}") for i in range(60)]
+    assert kept(spark, rows) == sorted(models.sequential_two_key(rows))
+
+
 def test_two_key_on_lineitem_sample(spark):
     from tests.conftest import SMALL
     from agora.plans.catalog_ingest import lineitem_with_ordinal
