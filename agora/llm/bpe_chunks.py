@@ -1,10 +1,11 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over characters cuts texts into chunks, so equal passages of different texts
-give equal chunks wherever they stand. Chunks are counted by a 128-bit digest; one that
-occurs again is encoded once, by the text where it stands first, and its ids are sent to
-all others (joined by digest; a chunk of very many texts splits as a skewed join side). All
-other chunks are encoded where they are. A cut may run through a token, so the ids on both
+give equal chunks wherever they stand. Chunks are counted by a 128-bit digest. The texts of chunks that
+occur again are sent on once a task (a Bloom filter of their digests tells most of them) and encoded once each;
+their ids are joined to all places of the chunk (a chunk of very many texts splits as a skewed
+join side), and whole texts travel once, to the ids of their shared chunks. All other chunks
+are encoded where they are. A cut may run through a token, so the ids on both
 sides of every joint are encoded anew between two places where a text can always be cut (see
 ``tokens.safe_cut``), and what they replace must agree with the chunks' own ids; where it
 doesn't, the chunk is encoded again. The ids are therefore those of the whole text.
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm import tokens
+from agora.llm import bloom, tokens
 from agora.llm.common import keyed, materialize, prepared, release
 
 #: Characters that a cut is decided by; a cut falls after one place in so many, about.
 WINDOW = 16
 MEAN = 1024
 LEAST, MOST = 64, 1 << 14
+#: Digests that a task remembers to have sent.
+SENT = 1 << 18
 
 
 def cuts(text: str) -> list[int]:
@@ -130,31 +133,41 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = tokens.share(spark, path)
     rows = keyed(docs, "doc_id", "text").select("_row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chunks = materialize(_chunks(rows), "chunks")
-    again = (chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("_row", "nth")).alias("home"))
-             .where("n > 1"))
-    again = materialize(again.select("d1", "d2", "home"), "chunks")
-    shared_chunks = materialize(chunks.join(again.select("d1", "d2"), ["d1", "d2"], "left_semi"), "chunks")
+    again = materialize(chunks.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2"), "chunks")
+    # the same joins at every size: what is small on a small table is not on a large one
+    shared_chunks = materialize(chunks.join(again.hint("merge"), ["d1", "d2"], "left_semi"), "chunks")
     release(chunks)
+    known = bloom.build(again.select("d1"))
 
     def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = tokens.codec(shared)
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [])
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 edges = cuts(text)
-                for w in wanted:
-                    ids = codec.encode(text[edges[w["nth"]]:edges[w["nth"] + 1]])
-                    for column, value in zip(out, (w["d1"], w["d2"], np.array(ids, codec.dtype).tobytes())):
-                        column.append(value)
+                own = [digest(text[a:b]) for a, b in zip(edges, edges[1:])]
+                for i in np.flatnonzero(bloom.passes(known.value, np.array([d for d, _ in own], np.int64))).tolist():
+                    if own[i] not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()  # some go again, which the next step does not mind
+                        sent.add(own[i])
+                        for column, value in zip(out, (*own[i], text[edges[i]:edges[i + 1]])):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                                              pa.array(out[2], pa.binary())], ["d1", "d2", "ids"])
+                                              pa.array(out[2], pa.string())], ["d1", "d2", "text"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = tokens.codec(shared)
+        for batch in batches:
+            ids = [np.array(codec.encode(t), codec.dtype).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("d1"), batch.column("d2"), pa.array(ids, pa.binary())],
+                                             ["d1", "d2", "ids"])
 
-    wanted = (again.select("home._row", F.struct("home.nth", "d1", "d2").alias("w"))
-              .groupBy("_row").agg(F.collect_list("w").alias("wanted")))
-    exported = materialize(rows.join(wanted, "_row").select("text", "wanted").mapInArrow(
-        export, "d1 long, d2 long, ids binary"), "chunks")
+    texts = (rows.select("text").mapInArrow(export, "d1 long, d2 long, text string")
+             .groupBy("d1", "d2").agg(F.first("text").alias("text")).join(again.hint("merge"), ["d1", "d2"], "left_semi"))
+    exported = materialize(texts.mapInArrow(encode, "d1 long, d2 long, ids binary"), "chunks")
     release(again)
-    taken = (shared_chunks.join(exported, ["d1", "d2"]).groupBy("_row")
+    taken = (shared_chunks.join(exported.hint("merge"), ["d1", "d2"]).groupBy("_row")
              .agg(F.collect_list(F.struct("nth", "ids")).alias("known")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +183,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [batch.column("_row"), batch.column("doc_id"), pa.array(lists, pa.binary()),
                  pa.array(decoded, pa.string())], ["_row", "doc_id", "ids", "decoded"])
 
-    return rows.join(taken, "_row", "left").mapInArrow(
+    return rows.join(taken.hint("merge"), "_row", "left").mapInArrow(
         finish, "_row long, doc_id long, ids binary, decoded string")
 
 
