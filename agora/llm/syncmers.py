@@ -6,8 +6,7 @@ depends on nothing outside it, so an edit moves anchors but changes only those i
 ``K - S + 1`` neighbouring strings hold one. The fingerprint is the anchors' 24-bit hashes in text
 order, each as four characters. Two fingerprints are compared by position: equal anchors are
 paired in order of occurrence, the longest chain that rises in both texts is kept, and the
-likeness is the share of anchors in it (Dice). Texts of fewer than ``SHORT`` characters take
-every string of ``TINY`` characters for an anchor (``K`` = ``S`` = ``TINY``).
+likeness is the share of anchors in it (Dice). All texts take the same strings, short ones too.
 
 Results: one row per input row. A null text is empty and has an empty fingerprint; another text
 without anchors has one, the hash of all of it. Two empty fingerprints are
@@ -31,21 +30,21 @@ from pyspark.sql import functions as F
 
 from agora.llm.common import BATCH_CHARS, chunked, keyed, prepared, shuffle_parts
 
-K = 24
-S = 8
-SHORT, TINY = 96, 6
+K = 16
+S = 9
 _SECRET = 42
 
 
 def _joined_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every 8- and every 24-character string, from those of their halves."""
+    """Hashes of every ``S``- and every ``K``-character string, from those of their parts."""
     h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
+    one = h
     join = lambda a, b, by: a[:len(b) - by] * np.uint64(0xD6E8FEB86659FD93 + 2 * by) + b[by:]
     for have in (1, 2, 4):
         h = join(h, h, have)
-    big = join(join(h, h, 8), h, 16)
-    small = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    small, big = join(h, one, 8), join(h, h, 8)
+    small = (small ^ (small >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
     big = (big ^ (big >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
     return small, big >> np.uint64(40)
 
@@ -80,8 +79,7 @@ def anchors(texts: list[str]) -> list[np.ndarray]:
     one = lambda t: xxhash.xxh64_intdigest(t.encode(), _SECRET) >> 40
     out = []
     for text, parts in zip(texts, found):
-        a = np.concatenate(parts) if len(text) >= SHORT else np.array(
-            [one(text[i:i + TINY]) for i in range(len(text) - TINY + 1)], np.uint32)
+        a = np.concatenate(parts)
         out.append(a if len(a) or not text else np.array([one(text)], np.uint32))
     return out
 
@@ -124,23 +122,24 @@ def _ordered(docs: DataFrame) -> DataFrame:
             .withColumn("text", F.coalesce("text", F.lit("")))
             .withColumn("at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
     parts = shuffle_parts(spark) * 4
-    side = max(2, int(parts ** 0.5))
-    cuts = rows.approxQuantile("at", [i / (side * side) for i in range(1, side * side)], 0.1 / (side * side))
-    cuts = sorted({int(c) for c in cuts}, reverse=True)  # as many as there are buckets
-    coarse = F.array(*[F.lit(c) for c in cuts[side - 1::side]]).cast("array<long>")
-    fine = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
-    above = F.size(F.filter(coarse, lambda c: c > F.col("at"))) * side
-    bucket = above + F.size(F.filter(F.slice(fine, above + 1, side), lambda c: c > F.col("at")))
+    # buckets are ranges of (falling doc_id, row): rows of one id are cut too
+    rows = rows.withColumn("place", F.struct(F.bitwise_not("at").alias("at"), "_row"))
+    heads = sorted(tuple(r["head"]) for r in rows.select("place").repartitionByRange(parts, "place")
+                   .groupBy(F.spark_partition_id()).agg(F.min("place").alias("head")).collect())  # one a bucket
+    side = max(1, int(len(heads) ** 0.5))
+    heads_of = lambda some: F.array(*[F.struct(F.lit(a).cast("long").alias("at"), F.lit(r).cast("long").alias("_row"))
+                                      for a, r in some]).cast("array<struct<at:long,_row:long>>")
+    upto = lambda some: F.size(F.filter(some, lambda head: head <= F.col("place")))
+    above = F.greatest(F.lit(0), upto(heads_of(heads[::side])) - 1) * side
+    bucket = above + upto(F.slice(heads_of(heads), above + 1, side)) - 1
     rows = rows.withColumn("bucket", bucket)
-    heads = sorted(rows.groupBy("bucket").agg(
-        F.min_by("_row", F.struct(F.bitwise_not("at").alias("a"), "_row")).alias("_row")).collect())
-    before = [(h["_row"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]  # the first follows the last
+    before = [(r, (i or len(heads)) - 1) for i, (_, r) in enumerate(heads)]  # the first follows the last
     ends = F.broadcast(spark.createDataFrame(before, "_row long, before int"))  # a row for each bucket
     own = F.struct(F.col("bucket"), F.lit(False).alias("extra"))
     copy = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"))
     placed = rows.join(ends, "_row", "left").withColumn(
-        "place", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    return (placed.select("_row", "doc_id", "text", "at", "place.bucket", "place.extra")
+        "to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))))
+    return (placed.select("_row", "doc_id", "text", "at", "to.bucket", "to.extra")
             .repartition(shuffle_parts(spark), "bucket")
             .sortWithinPartitions("bucket", "extra", F.desc("at"), "_row")
             .select("_row", "doc_id", "text", "bucket", "extra"))
