@@ -2,8 +2,8 @@
 
 A text's vector holds hashed counts of its letter 1- to 3-grams (lower case, other
 characters as one space), damped, weighted by inverse document frequency and normalised.
-``fit`` counts document frequencies over all training rows, and clusters a bounded sample of
-``SAMPLE`` rows a language (expected, by a hash of the id) into ``CLUSTERS`` centroids a language.
+``fit`` counts document frequencies over all training rows, and clusters a sample of at most
+``SAMPLE`` different texts a language (those of the smallest hashes) into ``CLUSTERS`` centroids a language.
 ``classify`` gives the language of the centroid with the largest cosine; a text farther from
 it than ``SLACK`` times the usual distance span of that language's sample is rejected.
 
@@ -22,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.llm.common import chunked, materialize, prepared
 
 BUCKETS = 1 << 13
 CLUSTERS = 4
-#: Bound on the labelled rows that centroids are fitted on, for each language (expected).
+#: Bound on the labelled texts that centroids are fitted on, for each language.
 SAMPLE = 1500
 ROUNDS = 8
 SLACK = 0.25
@@ -151,8 +151,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                     [pa.array([langs[lo + i] for i in at], pa.string()),
                      pa.array([rows[i].tobytes() for i in at], pa.binary())], ["lang", "x"])
 
-    drawn = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate).mapInArrow(
-        vector, "lang string, x binary")
+    # different texts, about ``sample`` a language before the bound; copies are reduced where they are read
+    place = F.xxhash64("text")
+    some = (train.withColumn("at", F.pmod(place, F.lit(scale))).where(F.col("at") < rate)
+            .groupBy("lang", "at", place.alias("h")).agg(F.first("text").alias("text")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "h"))
+    drawn = (some.withColumn("nth", first).where(F.col("nth") <= sample).select("lang", "text")
+             .mapInArrow(vector, "lang string, x binary"))
 
     def centers(lang, rows):
         import pandas as pd
