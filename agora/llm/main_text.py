@@ -6,7 +6,8 @@ to the container it stands in, half to the next, less further up. The container
 discounted by link density) is the article, together with siblings that score or read like it;
 inside an ``article`` element (else a main part of few links) it is that element. Menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden parts and reader comments are left out by element, role
-and class or id words. Words alone leave out nothing that holds the article or most of the page's
+and class or id words; a form or sidebar around nearly all paragraphs of a page without an article is none. Of
+an article's own header the headings and full sentences stay. Words alone leave out nothing that holds the article or most of the page's
 paragraph points, and inside an article nothing that reads as prose, unless it also looks like a menu (links),
 a form or comments (repeated items).
 
@@ -40,8 +41,8 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no markup, or no text of the page.
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark "
-                   "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark "
+                   "optgroup option q rp rt ruby s samp select small span strike strong sub sup time tt u var wbr".split())
 #: Blocks that stand inside a container; they pass their points on to it.
 INNER = frozenset("p li ul ol dl dt dd table thead tbody tfoot tr td th blockquote pre h1 h2 h3 h4 h5 h6 figure "
                   "figcaption caption address hr center summary".split())
@@ -53,6 +54,8 @@ _WALL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "th": {"tr", "table"}, "tbody": {"table"}}
 
 DROPPED = frozenset("head nav footer aside form fieldset button select dialog menu option".split())
+#: Of these, what may stand around a whole page: kept where nearly all paragraphs stand inside and no article does.
+WRAPPERS = frozenset("form fieldset aside dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar "
                   "toolbar tablist note".split())
 #: Words of a class or id that name what is no article; a word that begins with one counts.
@@ -69,6 +72,13 @@ GOOD = ("article", "content", "entry", "main", "post", "story", "body", "text")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+_ENDING = ".!?…\"”)"
+
+
+def _sentence(text: str) -> bool:
+    return len(text) >= 60 and text[-1] in _ENDING
+
+
 @dataclass
 class Page:
     tags: list[str] = field(default_factory=lambda: ["#root"])
@@ -79,7 +89,8 @@ class Page:
 
 def parse(source: str) -> Page:
     page, stack, block, at, n = Page(), [0], 0, 0, len(source)
-    open_ = {}  # tag -> how many are open
+    open_: dict[str, int] = {}  # tag -> how many are open
+    unclosed: set[str] = set()
 
     def pop() -> None:
         nonlocal block
@@ -123,7 +134,7 @@ def parse(source: str) -> Page:
                         pop()
         if tag == "br":
             page.texts.append((block, stack[-1], " "))
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             block += 1
         if tag in VOID:
             continue
@@ -131,8 +142,9 @@ def parse(source: str) -> Page:
         if tag in RAW:
             if attrs.rstrip().endswith("/") and tag in ("svg", "iframe", "object"):
                 continue
-            end = re.compile(f"</{tag}[\\s/>]", re.I).search(source, at)
+            end = None if tag in unclosed else re.compile(f"</{tag}[\\s/>]", re.I).search(source, at)
             if end is None:
+                unclosed.add(tag)  # nor is there one further on
                 if tag in ("script", "style", "textarea", "title"):
                     break
                 continue
@@ -166,21 +178,24 @@ class _Told:
         page, named = self.page, self.named
         tags, parents, n = page.tags, page.parents, len(page.tags)
         self.read = True
-        out, talk = [False] * n, [0] * n
+        out, talk, hard = [False] * n, [0] * n, [False] * n  # ``hard``: out whatever it wraps
+        self.whole = [0.0] * n
         self.points, self.size, self.linked, self.prose = [0.0] * n, [0] * n, [0] * n, [0] * n
         self.forms, self.talks, self.articles = [0] * n, [0] * n, []
         for i in range(1, n):
             given, words = named[i]
             says = any(w.startswith(TALK) for w in words)
-            out[i] = out[parents[i]] or tags[i] in DROPPED or "hidden" in given or \
+            hides = tags[i] in DROPPED and tags[i] not in WRAPPERS or "hidden" in given or \
                 given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in ROLES or \
                 "display:none" in given.get("style", "").lower().replace(" ", "")
+            hard[i] = hard[parents[i]] or hides
+            out[i] = out[parents[i]] or hides or tags[i] in WRAPPERS
             talk[i] = talk[parents[i]] + says
             self.forms[i] += tags[i] == "form"
             self.talks[i] += says or tags[i] == "article"
             if not out[i] and (tags[i] in ("article", "main") or given.get("role") in ("main", "article")):
                 self.articles.append(i)
-        at, texts = 0, [(b, i, t) for b, i, t in page.texts if not out[i]]
+        at, texts = 0, [(b, i, t) for b, i, t in page.texts if not hard[i]]
         while at < len(texts):
             to, whole, inside = at, 0, 0
             while to < len(texts) and texts[to][0] == texts[at][0]:
@@ -193,6 +208,9 @@ class _Told:
             at = to
             if not text:
                 continue
+            if out[i]:
+                self.whole[i] += (1 + min(len(text) / 100, 3)) * (1 - inside / max(whole, 1))
+                continue
             self.size[i] += whole
             self.linked[i] += inside
             share = inside / max(whole, 1)
@@ -201,10 +219,11 @@ class _Told:
                 block = parents[block]
             if tags[block] not in HEADINGS:
                 self.points[i] += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - share)
-                if share < 0.5 and (len(text) >= 60 or len(text) >= 20 and text[-1] in ".!?…\"”)"):
+                self.whole[i] += (1 + min(len(text) / 100, 3)) * (1 - share)
+                if share < 0.5 and (len(text) >= 60 or len(text) >= 20 and text[-1] in _ENDING):
                     self.prose[i] += len(text)
         for i in range(n - 1, 0, -1):
-            for sums in (self.points, self.size, self.linked, self.prose, self.forms, self.talks):
+            for sums in (self.points, self.whole, self.size, self.linked, self.prose, self.forms, self.talks):
                 sums[parents[i]] += sums[i]
         # parts named after an article that hold paragraphs: in each subtree, around it, and what the outermost holds
         self.good, self.around, self.outer = [0] * n, [0] * n, [0.0] * n
@@ -224,6 +243,14 @@ class _Told:
             self.above.add(i)
             i = parents[i]
 
+    def wraps(self, i: int) -> bool:
+        """``i`` stands around the page: no article anywhere, and next to nothing outside it."""
+        if self.page.tags[i] not in WRAPPERS:
+            return False
+        if not self.read:
+            self._read()
+        return self.article < 0 and self.whole[i] >= 2.5 and self.whole[i] > 0.85 * self.whole[0]
+
     def _junk(self, i: int) -> bool:
         return any(w in JUNK_WORDS or w.startswith(JUNK) for w in self.named[i][1])
 
@@ -286,7 +313,7 @@ def main_text(source: str | None) -> str:
         named_head = any(w.startswith(HEAD_WORDS) for w in words) and tags[i] not in HEADINGS
         if tags[i] in DROPPED or "hidden" in given or given.get("aria-hidden", "").lower() == "true" \
                 or "display:none" in given.get("style", "").lower().replace(" ", ""):
-            gone[i] = not (article[i] and tags[i] not in ("head", "nav", "footer"))
+            gone[i] = not (article[i] and tags[i] not in ("head", "nav", "footer") or told.wraps(i))
         elif tags[i] in ("html", "body", "main") or article[i] and (not talk or told.holds_article(i)):
             pass
         elif tags[i] == "header" or named_head and not told.kept(i, in_article[p]):
@@ -303,7 +330,7 @@ def main_text(source: str | None) -> str:
     blocks: list[tuple[list[int], str]] = []
     length, linked, score = [0] * n, [0] * n, [0.0] * n
     at = 0
-    texts = [(b, i, t) for b, i, t in page.texts if not gone[i] and not headings[i]]
+    texts = [(b, i, t) for b, i, t in page.texts if not gone[i]]
     while at < len(texts):
         to = at
         while to < len(texts) and texts[to][0] == texts[at][0]:
@@ -313,6 +340,8 @@ def main_text(source: str | None) -> str:
         text = " ".join("".join(t for _, t in parts).split())
         if not text:
             continue
+        if any(headings[i] for i, _ in parts) and not _sentence(text):
+            continue  # of an article's own header: bylines, dates, labels
         inside = 0
         for i, t in parts:
             size = len(t.strip())
