@@ -29,11 +29,12 @@ from agora.llm.common import keyed, materialize, prepared
 
 CAPACITY = 1024
 END = 2
-#: Steps of the multiplicative weights.
-STEPS = 160
+#: Steps of the multiplicative weights at least, and at most for each length; between them they go on until
+#: every length is covered.
+LEAST_STEPS, STEPS = 64, 4
 RATE = 0.5
-#: Parts that the pieces of one length are ranked in.
-SALTS = 64
+#: Pieces of one length that are ranked in one part, about.
+RANKED = 1 << 18
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many)
 
@@ -89,7 +90,7 @@ def priced(value: np.ndarray, capacity: int) -> Filling:
     return tuple(sorted(found.items()))
 
 
-def relaxed(demand: np.ndarray, capacity: int, steps: int = STEPS) -> dict[Filling, float]:
+def relaxed(demand: np.ndarray, capacity: int) -> dict[Filling, float]:
     """Fractional solution of the configuration program by multiplicative weights: each step
     takes the best filling as often as its scarcest length is asked for, and lowers the
     weights of what it covers. Covers every length it can, up to a common factor."""
@@ -99,7 +100,9 @@ def relaxed(demand: np.ndarray, capacity: int, steps: int = STEPS) -> dict[Filli
     first = np.where(live, size * (1 + size), 0)
     covered = np.zeros(len(demand))
     x: dict[Filling, float] = {}
-    for _ in range(steps if live.any() else 0):
+    for step in range(max(LEAST_STEPS, STEPS * int(live.sum())) if live.any() else 0):
+        if step >= LEAST_STEPS and (covered[live] > 0).all():
+            break
         filling = priced(first * np.exp(-RATE * covered), capacity)
         times = min(demand[s] / k for s, k in filling)
         x[filling] = x.get(filling, 0) + times
@@ -192,7 +195,8 @@ def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in
                  sized.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     places = slots(solve(histogram, capacity))
-    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(1, -(-max(histogram.values(), default=0) // RANKED))
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = (salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
              .select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")))
