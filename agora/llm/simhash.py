@@ -178,9 +178,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
     fps = materialize(fingerprints(docs, size), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct, max_bits), "a", "b")
-    classes = distinct.join(found, distinct["fp"] == found["id"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = materialize(distinct.join(found, distinct["fp"] == found["id"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component")), "simhash")
+    # stored before the join with it, so that Spark can split a hot component
+    least = materialize(classes.groupBy("component").agg(F.min("first").alias("component_id")), "simhash")
     named = classes.join(least, "component").select("fp", "component", "component_id")
     return fps.join(named, "fp").select(
         "_row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
