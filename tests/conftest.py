@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -9,6 +10,21 @@ SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
 
 
+#: Seconds a test may take, so that one plan can't end the whole run.
+LONGEST = 400
+
+
+@pytest.fixture(autouse=True)
+def time_bound():
+    def late(*_):
+        raise TimeoutError(f"longer than {LONGEST} s")
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(LONGEST)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
 @pytest.fixture(scope="session")
 def spark():
     from agora.plans import offline  # noqa: F401  (registers the rule-based annotator)

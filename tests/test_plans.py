@@ -12,7 +12,11 @@ from tests.conftest import SMALL
 EAGER = {"ingest_posts_two_key", "groups_add", "groups_upsert", "sink_csv_roundtrip",
          "sink_json_roundtrip", "stream_ingest", "stream_pages_ingest", "batch_fixed",
          "batch_tokens", "batch_stats", "prompts", "annotate_posts", "annotate_posts_apply",
-         "annotate_comments"}
+         "annotate_comments", "ingest_pages", "ingest_shared_ordinals", "batch_blocks", "batch_block_tree",
+         "stream_pages_indexed", "stream_either_key", "annotate_two_passes", "annotate_ledger", "annotate_rejects",
+         "export_layout", "store_bootstrap", "stats_incremental", "stats_incremental_categories", "search_keyword_indexed"}
+# the training-data operators write their steps as tables
+OPERATORS = {n for n in queries() if n[:2] == "op" and n[2:3].isdigit()} | {"pipeline"}
 
 
 def plan(df) -> str:
@@ -24,7 +28,7 @@ def formatted(df) -> str:
     return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(queries()) - EAGER - OPERATORS))
 def test_no_cartesian_or_nested_loop(spark, name):
     p = plan(queries()[name](spark, SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
