@@ -109,14 +109,14 @@ def _visits(events):
     return events.select(*_VISIT, F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").alias("hour"))
 
 
-def _by_time(events, landing):
-    """Land the events in rounds of rising time, then the last round again."""
+def _by_time(events):
+    """The events in rounds of rising time, then the last round and the first one again."""
     lo, hi = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
                         F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     nth = F.floor((at - F.lit(lo)) * TIME_ROUNDS / F.lit(hi - lo + 1))
     for r in [*range(TIME_ROUNDS), TIME_ROUNDS - 1, 0]:
-        S.land_files(events.where(nth == r), landing, n_files=1)
+        yield events.where(nth == r)
 
 
 @register("stream_either_key", SB.two_key_first_wins(
@@ -129,11 +129,19 @@ def q_stream_either_key(spark, sf_dir):
     the day, so two days of lateness lose none; landing the first and last rounds again stores nothing."""
     events = B.events(spark, sf_dir)
     landing = scratch_path(spark, "landing-visits")
-    _by_time(events, landing)
     store, checkpoint = scratch_path(spark, "store-visits"), scratch_path(spark, "ckpt-visits")
-    visits = _visits(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing))
-    kept = either_key(visits, "user_id", ["user_id", "event_type", "day"], ["user_id", "hour"], ["ts", "event_id"], "ts",
-                      lateness_seconds=2 * 86400)
-    (kept.select(*_VISIT).writeStream.format("parquet").option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).outputMode("append").start(store).awaitTermination())
-    return spark.read.schema(kept.select(*_VISIT).schema).parquet(store)
+    # one batch a round, as in a stream that runs on: a batch without rows after each would move the watermark early
+    no_data = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(no_data)
+    spark.conf.set(no_data, "false")
+    try:
+        for part in _by_time(events):
+            S.land_round(part, landing)
+            visits = _visits(spark.readStream.schema(events.schema).parquet(landing))
+            kept = either_key(visits, "user_id", ["user_id", "event_type", "day"], ["user_id", "hour"], ["ts", "event_id"],
+                              "ts", lateness_seconds=2 * 86400).select(*_VISIT)
+            (kept.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).outputMode("append").start(store).awaitTermination())
+    finally:
+        spark.conf.set(no_data, before)
+    return spark.read.schema(kept.schema).parquet(store)

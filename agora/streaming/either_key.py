@@ -6,6 +6,10 @@ A record is stored if neither of its two keys was taken by a stored record (M1).
 different scopes never share a key (the site or the group that ids and urls belong to); each scope's rows
 of a round, which ``maxFilesPerTrigger`` bounds, are taken in the order of the ``ordinal`` columns (null first).
 
+A call of the function and a call of the state store cost more than a row does, so scopes are dealt into ``BUCKETS``
+groups by hash. What the scopes of a group have taken is one value of the store, which comes with the group's rows and goes
+back with its answer. It holds keys of the last ``lateness`` (and up to as long again), each with its scope.
+
 Rows later than the watermark are dropped by Spark, as everywhere in event-time processing. A null key is never
 taken; rows without an event time are not late and take their keys until the next expiry. The result equals that of
 the two-key sink wherever no key comes back after ``lateness``.
@@ -13,56 +17,54 @@ the two-key sink wherever no key comes back after ``lateness``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_KEY = T.StructType([T.StructField("which", T.IntegerType()), T.StructField("key", T.StringType())])
-_UNTIL = T.StructType([T.StructField("until", T.LongType())])
-
 
-class EitherKey(StatefulProcessor):
-    """State of a scope: (which key, its value) -> the event time, in ms, until which it is taken."""
+#: Groups that the scopes are dealt into. Part of the checkpoint: a stream goes on with the number it began with.
+BUCKETS = 1024
 
-    def __init__(self, columns: list[str], ordinal: list[str], lateness_ms: int):
-        self.columns, self.ordinal, self.lateness_ms = columns, ordinal, lateness_ms
 
-    def _place(self, row: Row) -> list:
-        return [(row[c] is not None, row[c]) for c in self.ordinal]
+def _rule(ordinal: list[str], numbers: set[str], lateness_ms: int):
+    """The rule for a group of scopes. Its state, as JSON: ``taken`` (key -> the event time, in ms, until which it is
+    taken) and ``due`` (when the state is looked through)."""
+    def place(row) -> list:
+        return [(row[c] is not None, Decimal(row[c]) if c in numbers and row[c] is not None else row[c]) for c in ordinal]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.taken = handle.getMapState("taken", _KEY, _UNTIL)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        timers = set(self.handle.listTimers())
-        for row in sorted(rows, key=self._place):
-            keys = [(i, row[c]) for i, c in enumerate(("_key1", "_key2")) if row[c] is not None]
-            if any(self.taken.containsKey(k) for k in keys):
+    def fn(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = json.loads(state.get[0]) if state.exists else {"taken": {}, "due": []}
+        taken, due, now, kept = known["taken"], set(known["due"]), state.getCurrentWatermarkMs(), []
+        rows = [] if state.hasTimedOut else [r for pdf in frames for r in pdf["_in"]]
+        for r in sorted(rows, key=lambda r: place(r["row"])):
+            keys = [r[c] for c in ("key1", "key2") if r[c] is not None]
+            if any(k in taken for k in keys):
                 continue
-            at = row["_at_ms"] if row["_at_ms"] is not None else timerValues.getCurrentWatermarkInMs()
+            at = int(r["at_ms"]) if r["at_ms"] is not None else now
             for k in keys:
-                self.taken.updateValue(k, (at + self.lateness_ms,))
-            # one timer for each ``lateness`` of event time, so the state is looked through that seldom
-            due = (at // self.lateness_ms + 2) * self.lateness_ms
-            if due not in timers:
-                self.handle.registerTimer(due)
-                timers.add(due)
-            yield Row(**{c: row[c] for c in self.columns})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for k in [k for k, (until,) in self.taken.iterator() if until <= now]:
-            self.taken.removeKey(k)
-        return iter(())
-
-    def close(self) -> None:
-        pass
+                taken[k] = at + lateness_ms
+            # looked through once for each ``lateness`` of event time
+            if keys:
+                due.add((at // lateness_ms + 2) * lateness_ms)
+            kept.append(r["row"])
+        if any(t <= now for t in due):
+            taken, due = {k: until for k, until in taken.items() if until > now}, {t for t in due if t > now}
+        if due:
+            state.update((json.dumps({"taken": taken, "due": sorted(due)}),))
+            state.setTimeoutTimestamp(min(due))
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield pd.DataFrame({"row": kept})
+    return fn
 
 
 def either_key(stream: DataFrame, scope: str, key1: list[str], key2: list[str], ordinal: list[str],
@@ -70,15 +72,24 @@ def either_key(stream: DataFrame, scope: str, key1: list[str], key2: list[str],
     """``stream`` without the rows whose first or second key an earlier row of it has taken. For a query in
     append mode; watermark and state store are set here."""
     spark = stream.sparkSession
-    if spark.conf.get(_PROVIDER, None) != _ROCKS:  # the only store that keeps several states
+    if spark.conf.get(_PROVIDER, None) != _ROCKS:  # the store that keeps its states on disk
         spark.conf.set(_PROVIDER, _ROCKS)
-    columns, fields = stream.columns, stream.schema.fields
-    set_ = lambda cols: F.when(~F.greatest(*[F.isnull(c).cast("int") for c in [*cols, cols[0]]]).cast("boolean"),
-                               F.to_json(F.struct(*cols)))
+    scoped = F.col(scope).cast("string").alias("scope")
+
+    def set_(which: int, cols: list[str]):
+        missing = F.greatest(*[F.isnull(c).cast("int") for c in [*cols, cols[0]]]).cast("boolean")
+        return F.when(~missing, F.to_json(F.struct(F.lit(which).alias("which"), scoped, F.struct(*cols).alias("key"))))
+
     # a UTC wall clock is an instant up to a constant, which changes no difference of times
     at = F.col(event_time).cast("timestamp")
+    # numbers go through pandas as text: with nulls among them they would turn into floats there
+    numbers = {f.name for f in stream.schema.fields if isinstance(f.dataType, T.NumericType)}
+    row = F.struct(*[F.col(c).cast("string").alias(c) if c in numbers else F.col(c) for c in stream.columns])
+    out = T.StructType([T.StructField(f.name, T.StringType() if f.name in numbers else f.dataType) for f in stream.schema.fields])
     rows = stream.withColumn("_at", at).withWatermark("_at", f"{lateness_seconds} seconds").select(
-        *columns, F.col(scope).cast("string").alias("_scope"), set_(key1).alias("_key1"), set_(key2).alias("_key2"),
-        "_at", F.unix_millis("_at").alias("_at_ms"))
-    return rows.groupBy("_scope").transformWithState(
-        EitherKey(columns, ordinal, lateness_seconds * 1000), T.StructType(fields), "append", "eventTime")
+        F.struct(row.alias("row"), set_(1, key1).alias("key1"), set_(2, key2).alias("key2"),
+                 F.unix_millis("_at").cast("string").alias("at_ms")).alias("_in"),
+        F.pmod(F.xxhash64(scoped), F.lit(BUCKETS)).alias("_bucket"), "_at")
+    return rows.groupBy("_bucket").applyInPandasWithState(
+        _rule(ordinal, numbers, lateness_seconds * 1000), T.StructType([T.StructField("row", out)]), "state string", "append",
+        GroupStateTimeout.EventTimeTimeout).select(*[F.col(f"row.{f.name}").cast(f.dataType).alias(f.name) for f in stream.schema.fields])

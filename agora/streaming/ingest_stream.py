@@ -164,3 +164,9 @@ def land_files(df: DataFrame, landing: str, n_files: int, copies: int = 1) -> No
     feed: every copy after the first is a re-scrape of the same records)."""
     for _ in range(copies):
         df.repartition(n_files).write.mode("append").parquet(landing)
+
+
+def land_round(df: DataFrame, landing: str) -> None:
+    """Write ``df`` into ``landing`` in as many files as its partitions: one round of a stream that is run after
+    each landing. No task holds the whole round."""
+    df.write.mode("append").parquet(landing)

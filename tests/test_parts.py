@@ -174,3 +174,22 @@ def test_either_key_forgets_behind_the_watermark(spark):
     got, state = _either(spark, rounds, 86400)
     assert got == [o for r in rounds[:8] for o, *_ in r] + [900]
     assert max(state) <= 2 * 20 * 5  # two keys a record, of the last days only
+
+
+def test_either_key_calls_no_function_for_every_scope(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, f"s{i % 3000}", f"a{i % 2}", None, at) for i in range(9000)]  # scopes may hold equal keys
+    got, state = _either(spark, [rows], 86400)
+    assert got == sorted({(s, a): o for o, s, a, _, _ in reversed(rows)}.values())
+    assert max(state) <= 1024  # not one state for each of 3000 scopes
+
+
+def test_either_key_keeps_whole_numbers(spark):
+    schema, landing, out = "id long, site string, k long, ts timestamp_ntz", *[scratch_path(spark, n) for n in ("in", "out")]
+    at = dt.datetime(2024, 1, 1)
+    rows = [(2**60 + 1, "x", 2**60 + 1, at), (None, "x", None, at), (2**60 + 3, "x", 2**60 + 1, at)]
+    S.land_round(spark.createDataFrame(rows, schema).repartition(3), landing)
+    kept = either_key(spark.readStream.schema(schema).parquet(landing), "site", ["k"], ["id"], ["id"], "ts", 86400)
+    (kept.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "ckpt")).outputMode("append")
+     .trigger(availableNow=True).start(out).awaitTermination())
+    assert {tuple(r) for r in spark.read.schema(schema).parquet(out).collect()} == set(rows[:2])
