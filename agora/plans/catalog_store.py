@@ -79,9 +79,9 @@ def q_annotate_ledger(spark, sf_dir):
     return answers.where("answer IS NOT NULL").select("batch_id", "n_items", "run")
 
 
-def _rounds(df, landing, key, rounds=3):
+def _rounds(df, key, rounds=3):
     for r in range(rounds):
-        S.land_files(df.where(F.pmod(F.col(key), F.lit(rounds)) == r), landing, n_files=1)
+        yield df.where(F.pmod(F.col(key), F.lit(rounds)) == r)
 
 
 def _kept_statistics(spark, sf_dir):
@@ -89,10 +89,10 @@ def _kept_statistics(spark, sf_dir):
     store = StatisticsStore(spark, scratch_path(spark, "statistics"), most=2)
     for df, key, add in ((B.posts_b1(spark, sf_dir), "internal_post_id", store.add_posts),
                          (B.comments_b1(spark, sf_dir), "comment_id", store.add_comments)):
-        landing = scratch_path(spark, "landing")
-        _rounds(df, landing, key)
-        S.run_ingest_stream(spark, landing, df.schema, "", scratch_path(spark, "ckpt"), lambda d: d, add,
-                            max_files_per_trigger=1)
+        landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "ckpt")
+        for part in _rounds(df, key):
+            S.land_round(part, landing)
+            S.run_ingest_stream(spark, landing, df.schema, "", checkpoint, lambda d: d, add)
     return store
 
 

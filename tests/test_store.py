@@ -13,6 +13,7 @@ from agora.operators import keyword_index, ledger, search, stats
 from agora.operators.stats_store import StatisticsStore
 from agora.session import scratch_path
 from agora.sources import bindings as B
+from agora.streaming import ingest_stream as S
 from tests.conftest import SMALL
 
 
@@ -156,3 +157,10 @@ def test_postings_of_odd_texts(spark):
     rows = spark.createDataFrame([(1, low.upper()), (2, "ab"), (3, None), (4, ""), (5, "abc")], "id long, t string")
     got = {(r["post_id"], r["gram"]) for r in keyword_index.postings(rows, "t", "id", None).collect()}
     assert got == {(1, low.upper().lower()[i:i + 3]) for i in range(len(low) - 2)} | {(5, "abc")}
+
+
+def test_a_round_lands_in_as_many_files_as_it_has_partitions(spark, tmp_path):
+    """One file a round was one task that held the whole round."""
+    S.land_round(spark.range(1000).repartition(5), str(tmp_path))
+    S.land_round(spark.range(10).repartition(2), str(tmp_path))
+    assert len(glob.glob(f"{tmp_path}/part-*")) == 7 and spark.read.parquet(str(tmp_path)).count() == 1010
