@@ -16,6 +16,7 @@ Comments use fixed chunks of 5 in comment-id order (W2): a global dense rank
 
 from __future__ import annotations
 
+import itertools
 import logging
 import random
 import time
@@ -86,32 +87,39 @@ def _next_starts(tokens: np.ndarray, max_tokens: int) -> np.ndarray:
     return np.maximum(fits, np.arange(len(tokens)) + 1)
 
 
-def _block_map(block_rows: int, reach: int, max_tokens: int):
-    """Where the batches leave a block, for each row they may enter it by: as runs of
+#: Rows, and maps of blocks, that a call of a Python function takes where they are smaller than a task needs: a call costs
+#: as much as some thousand rows.
+CALL_ROWS, CALL_MAPS = 8192, 4096
+_MAP_COLUMNS = ["_shard", "_block", "entry", "leave", "count"]
+
+
+def _block_maps(block_rows: int, blocks: int, reach: int, max_tokens: int):
+    """Where the batches leave each of ``blocks`` consecutive blocks, for each row they may enter it by: as runs of
     entries with the same (row of the next block, number of batches begun)."""
     def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        begin = int(key[1]) * block_rows
-        own = int((pdf["_pos"] < begin + block_rows).sum())
-        at = _next_starts(pdf["tokens"].to_numpy(), max_tokens)[:own]
-        count = np.ones(own, np.int64)
-        while len(inside := np.flatnonzero(at < own)):  # each step doubles the batches looked ahead
-            count[inside], at[inside] = count[inside] + count[at[inside]], at[at[inside]]
-        entry = np.arange(reach)
-        passed = entry >= own
-        enter = np.minimum(entry, own - 1)
-        return _as_runs(key[0], key[1], np.where(passed, entry, at[enter]) - block_rows,
-                        np.where(passed, 0, count[enter]))
+        pdf, out, entry = pdf.sort_values("_pos"), [], np.arange(reach)
+        rows = int((pdf["_pos"] < (int(key[1]) + 1) * blocks * block_rows).sum())
+        starts = _next_starts(pdf["tokens"].to_numpy(), max_tokens)
+        for begin in range(0, rows, block_rows):
+            own = min(block_rows, rows - begin)
+            at = starts[begin:begin + own] - begin
+            count = np.ones(own, np.int64)
+            while len(inside := np.flatnonzero(at < own)):  # each step doubles the batches looked ahead
+                count[inside], at[inside] = count[inside] + count[at[inside]], at[at[inside]]
+            passed = entry >= own
+            enter = np.minimum(entry, own - 1)
+            out.append((key[0], int(key[1]) * blocks + begin // block_rows, *_as_runs(
+                np.where(passed, entry, at[enter]) - block_rows, np.where(passed, 0, count[enter]))))
+        return pd.DataFrame(out, columns=_MAP_COLUMNS)
     return fn
 
 
-def _as_runs(shard: int, block: int, leave: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+def _as_runs(leave: np.ndarray, count: np.ndarray) -> tuple[list, list, list]:
     """A map from entries to (leave, count) as runs of entries: of one value, or (count 0) of entries that the
     batch passes by, whose leaves rise with the entry."""
     same = (np.diff(count) == 0) & (np.diff(leave) == (count[1:] == 0))
     new = np.flatnonzero(np.append(True, ~same))
-    return pd.DataFrame({"_shard": shard, "_block": block, "entry": [new.tolist()],
-                         "leave": [leave[new].tolist()], "count": [count[new].tolist()]})
+    return new.tolist(), leave[new].tolist(), count[new].tolist()
 
 
 def _from_runs(start, leave, count, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,28 +128,35 @@ def _from_runs(start, leave, count, reach: int) -> tuple[np.ndarray, np.ndarray]
     return np.where(count[run] == 0, leave[run] + np.arange(reach) - start[run], leave[run]), count[run]
 
 
-def _composed(reach: int):
-    """One map for consecutive blocks: composition is associative, so blocks may be joined as a tree."""
+def _composed(reach: int, fan: int):
+    """One map for each ``fan`` consecutive blocks: composition is associative, so blocks may be joined as a tree."""
     def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        leave, count = np.arange(reach), np.zeros(reach, np.int64)
-        pdf = pdf.sort_values("_block")
-        for runs in zip(pdf["entry"], pdf["leave"], pdf["count"]):
-            to, more = _from_runs(*runs, reach)
-            leave, count = to[leave], count + more[leave]
-        return _as_runs(key[0], key[1], leave, count)
+        pdf, out = pdf.sort_values("_block"), []
+        maps = zip(pdf["_block"] // fan, pdf["entry"], pdf["leave"], pdf["count"])
+        for above, own in itertools.groupby(maps, key=lambda m: m[0]):
+            leave, count = np.arange(reach), np.zeros(reach, np.int64)
+            for _, *runs in own:
+                to, more = _from_runs(*runs, reach)
+                leave, count = to[leave], count + more[leave]
+            out.append((key[0], int(above), *_as_runs(leave, count)))
+        return pd.DataFrame(out, columns=_MAP_COLUMNS)
     return fn
 
 
-def _entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow at most ``FAN`` blocks: where the batches enter each, and how many began before."""
-    pdf, out = pdf.sort_values("_block"), []
-    entry, seq = int(pdf["_entry"].iloc[0]), int(pdf["_seq"].iloc[0])
-    for block, start, leave, count in zip(pdf["_block"], pdf["entry"], pdf["leave"], pdf["count"]):
-        out.append((key[0], block, entry, seq))
-        run = int(np.searchsorted(start, entry, side="right")) - 1
-        seq += int(count[run])
-        entry = int(leave[run]) + (entry - int(start[run]) if count[run] == 0 else 0)
-    return pd.DataFrame(out, columns=["_shard", "_block", "_entry", "_seq"])
+def _entries(fan: int):
+    """Follow at most ``fan`` blocks of each map: where the batches enter each, and how many began before."""
+    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out, above = pdf.sort_values("_block"), [], None
+        rows = zip(pdf["_block"], pdf["_entry"], pdf["_seq"], pdf["entry"], pdf["leave"], pdf["count"])
+        for block, first, before, start, leave, count in rows:
+            if block // fan != above:
+                above, entry, seq = block // fan, int(first), int(before)
+            out.append((key[0], block, entry, seq))
+            run = int(np.searchsorted(start, entry, side="right")) - 1
+            seq += int(count[run])
+            entry = int(leave[run]) + (entry - int(start[run]) if count[run] == 0 else 0)
+        return pd.DataFrame(out, columns=["_shard", "_block", "_entry", "_seq"])
+    return fn
 
 
 #: Blocks (and maps of blocks) that are joined into one.
@@ -152,12 +167,15 @@ _MAP = "_shard long, _block long, entry array<long>, leave array<long>, count ar
 def _entered(maps: DataFrame, reach: int, fan: int) -> DataFrame:
     """Where the batches enter every block. Maps of ``fan`` blocks are composed into one, level by level, until
     a shard has at most ``fan`` of them; the entries then follow level by level back to the blocks. No task holds
-    more than ``fan`` maps, however many blocks a shard has."""
+    more than ``fan`` maps at once, or ``CALL_MAPS`` small ones, however many blocks a shard has."""
     levels = [cut_lineage(maps)]
     last = levels[0].agg(F.max("_block")).first()[0] or 0
     above = F.floor(F.col("_block") / fan).cast("long").alias("_above")
+    # maps of ``reach`` entries each: about as many numbers in a call, whatever their size
+    call = max(1, CALL_MAPS * 32 // max(32, reach) // fan)
+    some = F.floor(F.col("_block") / (fan * call)).cast("long").alias("_call")
     while last >= fan:
-        levels.append(cut_lineage(levels[-1].groupBy("_shard", above).applyInPandas(_composed(reach), _MAP)))
+        levels.append(cut_lineage(levels[-1].groupBy("_shard", some).applyInPandas(_composed(reach, fan), _MAP)))
         last //= fan
     entries = None
     for level in reversed(levels):
@@ -166,21 +184,25 @@ def _entered(maps: DataFrame, reach: int, fan: int) -> DataFrame:
             rows = rows.withColumns({"_entry": F.lit(0).cast("long"), "_seq": F.lit(0).cast("long")})
         else:
             rows = rows.join(entries.withColumnRenamed("_block", "_above"), ["_shard", "_above"])
-        entries = cut_lineage(rows.groupBy("_shard", "_above").applyInPandas(
-            _entries, "_shard long, _block long, _entry long, _seq long"))
+        entries = cut_lineage(rows.groupBy("_shard", some).applyInPandas(
+            _entries(fan), "_shard long, _block long, _entry long, _seq long"))
     return entries
 
 
 def _numbered(block_rows: int, max_tokens: int):
-    """Batch numbers of a block's rows, given where the batches enter it."""
+    """Batch numbers of the rows of consecutive blocks, given where the batches enter each."""
     def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
-        entry, seq = int(pdf["_entry"].iloc[0]), int(pdf["_seq"].iloc[0])
         starts, begins = _next_starts(pdf["tokens"].to_numpy(), max_tokens), np.zeros(len(pdf), np.int64)
-        while entry < len(pdf):
-            begins[entry] = 1
-            entry = starts[entry]
-        return pd.DataFrame({"_g": pdf["_g"].to_numpy(), "batch_seq": seq - 1 + np.cumsum(begins)})
+        enters, before, seq = pdf["_entry"].to_numpy(), pdf["_seq"].to_numpy(), np.zeros(len(pdf), np.int64)
+        for begin in range(0, len(pdf), block_rows):
+            end = min(begin + block_rows, len(pdf))
+            entry = begin + enters[begin]
+            while entry < end:
+                begins[entry] = 1
+                entry = starts[entry]
+            seq[begin:end] = before[begin] - 1 + np.cumsum(begins[begin:end])
+        return pd.DataFrame({"_g": pdf["_g"].to_numpy(), "batch_seq": seq})
     return fn
 
 
@@ -213,14 +235,16 @@ def pack_batches(rows: DataFrame, id_col: str, text_col: str, shard: Column,
     narrow = (ranked.select("_g", "shard", "tokens").join(first, F.col("shard").eqNullSafe(F.col("_name")))
               .select("_g", "_shard", (F.col("_g") - F.col("_shard")).alias("_pos"), "tokens"))
     reach = max(1, max_tokens // schemas.TOKEN_OVERHEAD)
-    block = F.floor(F.col("_pos") / block_rows)
-    back = F.greatest(F.lit(0), F.floor((F.col("_pos") - reach) / block_rows))
-    maps = (narrow.withColumn("_block", F.explode(F.sequence(back.cast("long"), block.cast("long"))))
-            .groupBy("_shard", "_block").applyInPandas(
-                _block_map(block_rows, reach, max_tokens), _MAP))
+    # a call takes several small blocks, and the rows that a batch may reach behind the last of them
+    blocks = max(1, max(CALL_ROWS, reach) // block_rows)
+    call = lambda pos: F.floor(pos / (block_rows * blocks)).cast("long")
+    back = F.greatest(F.lit(0).cast("long"), call(F.col("_pos") - reach))
+    maps = (narrow.withColumn("_call", F.explode(F.sequence(back, call(F.col("_pos")))))
+            .groupBy("_shard", "_call").applyInPandas(
+                _block_maps(block_rows, blocks, reach, max_tokens), _MAP))
     entries = _entered(maps, reach, fan)
-    packed = (narrow.withColumn("_block", block.cast("long")).join(entries, ["_shard", "_block"])
-              .groupBy("_shard", "_block").applyInPandas(
+    packed = (narrow.withColumn("_block", F.floor(F.col("_pos") / block_rows).cast("long")).join(entries, ["_shard", "_block"])
+              .groupBy("_shard", call(F.col("_pos")).alias("_call")).applyInPandas(
                   _numbered(block_rows, max_tokens), "_g long, batch_seq long"))
     out = ranked.join(packed, "_g").drop("_g")
     return out.withColumn("batch_id", F.concat_ws("/", "shard", F.lit("0"), F.col("batch_seq").cast("string")))

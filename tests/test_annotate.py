@@ -74,6 +74,18 @@ def test_any_block_size_gives_the_same_batches(spark, budget):
         assert {r["id"]: (r["shard"], r["batch_seq"]) for r in out} == want and len(out) == len(rows)
 
 
+def test_small_blocks_share_a_call():
+    """A call of the Python function for every block of one row made the packing as slow as its calls."""
+    import pandas as pd
+    rows = pd.DataFrame({"_pos": range(40), "tokens": [100] * 40})
+    maps = AN._block_maps(1, 30, 10, 1000)((7, 0), rows)
+    assert maps["_block"].tolist() == list(range(30)) and set(maps["_shard"]) == {7}
+    entries = maps.assign(_entry=0, _seq=0)
+    assert AN._entries(30)((7, 0), entries)["_seq"].tolist() == [(i + 9) // 10 for i in range(30)]
+    assert len(AN._composed(10, 4)((7, 0), maps)) == 8
+    assert AN.CALL_ROWS > 1000 and AN.CALL_MAPS > 1000
+
+
 def test_fixed_chunks(spark):
     df = spark.createDataFrame([(i * 3, "t") for i in range(12)], "comment_id long, t string")
     out = AN.fixed_chunks(df, "comment_id").collect()
