@@ -39,16 +39,17 @@ RAW_SCHEMA = ("page_id bigint, url string, author_pic string, author_name string
 _BG_URL = re.compile(r'background-image:\s*url\("?([^")]*)"?\)')
 
 
+#: Tasks a core that CPU-heavy Python work is cut into, and pages that a task holds in Python at once.
+TASKS, PAGES = 4, 256
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy Python work every core: when the planned input has fewer
-    partitions than the cluster's parallelism (a few large files), spread it
-    round-robin; a big input already has many partitions and is left alone."""
+    """Deal CPU-heavy Python work evenly over every core, round-robin, into several tasks a core: an explicit count,
+    which AQE does not coalesce (a shuffle of pages is small beside the work that they make). Asking the input
+    for its partitions instead would run its joins and aggregations once more."""
     if df.isStreaming:          # micro-batches are sized by maxFilesPerTrigger
         return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def compiled(rules: dict[str, list[str]]) -> tuple[html.Matcher, dict[str, list[list[int]]]]:
@@ -182,7 +183,7 @@ def _rules_fn(rules: dict, fields: tuple):
     def fn(batches):
         import pandas as pd
         reader = _Reader(rules, fields)
-        for pdf in batches:
+        for pdf in (whole[i:i + PAGES] for whole in batches for i in range(0, len(whole), PAGES)):
             rows = [reader.one(h) for h in pdf["html"]]
             out = pd.DataFrame(rows, columns=["author_pic", "author_name", "content_text",
                                               "image_url", "time_text", "time_candidates",

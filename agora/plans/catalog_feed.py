@@ -71,7 +71,8 @@ def feed_pages(spark, sf_dir) -> DataFrame:
         "&gt;</div></div>", image, "<ul>", F.coalesce("comments", F.lit("")), "</ul></div></div></body></html>")
     url = _pick(k, _written(f"{_SITE}/groups/g/posts/", k.cast("string"), "/?ref=x#top"),
                 _written(f"{_SITE}/watch/?v=v", k.cast("string")), _written("https://other.test/x/", k.cast("string")))
-    rows = B.table(spark, sf_dir, "customer").join(comments, F.col("k") == k, "left")
+    # the comments of a page are long: a plan's estimate of them is far too low for a broadcast
+    rows = B.table(spark, sf_dir, "customer").join(comments.hint("merge"), F.col("k") == k, "left")
     return rows.select(k.alias("page_id"), url.alias("url"), page.alias("html"))
 
 
