@@ -63,15 +63,51 @@ class _Parts:
 
 class IdTable(_Parts):
     """Rows with a unique integer id, ``span`` consecutive ids a part. New rows have the largest ids, so
-    annotating what is new touches the last parts only."""
+    annotating what is new touches the last parts only.
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, span: int = 1_000_000):
+    Small parts share folders, so that files and folders grow with the rows and not with the parts: a write puts
+    the parts of about ``rows`` ids in a row in one folder. The manifest names the folder of each part, and a row counts
+    only where its part is named with the folder it stands in, so a part is rewritten alone and what
+    its old folder still holds of it is not read as rows."""
+
+    NO_ID = "__HIVE_DEFAULT_PARTITION__"
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, span: int = 1_000_000,
+                 rows: int = 100_000):
         super().__init__(spark, root, schema)
-        self.key, self.span = key, span
+        self.key, self.span, self.bundle = key, span, max(1, rows // span)
 
     def _part(self, key: Column) -> Column:
         return F.floor(key / F.lit(self.span)).cast("string")
 
+    def _write(self, df: DataFrame, part: Column, batch: int = MERGED) -> dict[str, list]:
+        folder, key = f"{self.root}/data-{uuid.uuid4().hex}", F.col(self.key)
+        rows = df.select(*self.schema.names, F.floor(key / F.lit(self.span * self.bundle)).alias("_bundle"))
+        (rows.hint("rebalance", "_bundle").sortWithinPartitions("_bundle", self.key)
+         .write.partitionBy("_bundle").parquet(folder))
+        sizes = {name: size for name, size in sinks.folders(self.spark, folder) if name.startswith("_bundle=")}
+        if not sizes:
+            return {}
+        held = self.spark.read.schema(self.schema).parquet(*[f"{folder}/{name}" for name in sizes]).select(self._part(key)).distinct()
+        parts = [p for p, in held.toLocalIterator()]  # as many as the manifest gets
+        home = {p: f"_bundle={int(p) // self.bundle if p is not None else self.NO_ID}" for p in parts}
+        return {p if p is not None else self.NO_ID: [f"{folder}/{home[p]}", batch, sizes[home[p]]] for p in parts}
+
+    def _rows(self, parts: dict[str, list]) -> DataFrame:
+        """The rows of these parts of the manifest."""
+        live = [(entry[0], part) for part, entries in parts.items() for entry in entries]
+        read = self._read([folder] for folder in dict.fromkeys(folder for folder, _ in live))
+        if self.bundle == 1 or not live:  # a folder is a part
+            return read
+        names = [("/".join(folder.split("/")[-2:]), part) for folder, part in live]
+        table = self.spark.createDataFrame(names, "_home string, _name string")
+        home = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)/[^/]+$", 1)
+        return (read.withColumns({"_home": home, "_name": F.coalesce(self._part(F.col(self.key)), F.lit(self.NO_ID))})
+                .join(F.broadcast(table), ["_home", "_name"], "left_semi").select(*self.schema.names))
+
+    def read(self) -> DataFrame:
+        return self._rows(self.manifest()["parts"])
+
     def append(self, df: DataFrame) -> None:
         manifest = self.manifest()
         for part, entry in self._write(df, self._part(F.col(self.key))).items():
@@ -86,7 +122,7 @@ class IdTable(_Parts):
     def _rewrite(self, touched: list[str], change) -> None:
         manifest = self.manifest()
         if touched:
-            old = self._read(e for p in touched for e in manifest["parts"][p])
+            old = self._rows({p: manifest["parts"][p] for p in touched})
             new = self._write(change(old), self._part(F.col(self.key)))
             for part in touched:
                 manifest["parts"].pop(part)
