@@ -21,8 +21,9 @@ from agora.operators.ingest import cut_lineage
 from agora.session import ship_package
 from agora.sources import sinks
 
-#: Prompts that a task sends at most, about: what a lost task asks again.
-PER_TASK = 8
+#: Prompts that a task sends at least, about: what a lost task asks again. Where these make more than ``TASKS`` tasks
+#: a core, a task sends more, so that tasks and files of the ledger do not grow with the prompts.
+PER_TASK, TASKS = 8, 16
 LEDGER = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "answer", "run")])
 
 
@@ -40,10 +41,10 @@ def read_ledger(spark, path: str) -> DataFrame:
 
 
 def annotate_with_ledger(prompts: DataFrame, path: str, annotator: str = "offline", options: dict | None = None,
-                         retry: dict | None = None, run: str = "", per_task: int = PER_TASK,
+                         retry: dict | None = None, run: str = "", per_task: int | None = None,
                          concurrency: int | None = None) -> DataFrame:
     """(batch_id, system, user, n_items) -> (batch_id, n_items, answer, run), answers from the ledger at ``path``
-    after the prompts that it lacks were sent. ``run`` is stored with new answers. ``concurrency`` bounds the calls at
+    after the prompts that it lacks were sent, ``per_task`` a task (``None``: few, within a bounded number of tasks). ``run`` is stored with new answers. ``concurrency`` bounds the calls at
     once: the prompts then go in jobs of so many tasks."""
     spark = prompts.sparkSession
     ship_package(spark)
@@ -59,12 +60,16 @@ def annotate_with_ledger(prompts: DataFrame, path: str, annotator: str = "offlin
     call = call.asNondeterministic()
     new = cut_lineage(asked.join(read_ledger(spark, path).select("key"), "key", "left_anti")
                       .groupBy("key").agg(F.first("system").alias("system"), F.first("user").alias("user")))
-    tasks = -(-new.count() // per_task)
+    count = new.count()
+    if per_task is None:
+        per_task = max(PER_TASK, -(-count // (TASKS * spark.sparkContext.defaultParallelism)))
+    tasks = -(-count // per_task)
     wave = min(tasks, int(concurrency or tasks))
     waves = -(-tasks // wave) if tasks else 0
     for i in range(waves):
         part = new if waves == 1 else new.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == i)
-        (part.repartition(max(1, wave), "key").select("key", call(F.col("system"), F.col("user")).alias("answer"))
-         .where("answer IS NOT NULL").withColumn("run", F.lit(run)).write.mode("append")
-         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path))
+        with annotate.small_batches(spark, annotate.CALL_PROMPTS):
+            (part.repartition(max(1, wave), "key").select("key", call(F.col("system"), F.col("user")).alias("answer"))
+             .where("answer IS NOT NULL").withColumn("run", F.lit(run)).write.mode("append")
+             .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path))
     return cut_lineage(asked.join(read_ledger(spark, path), "key", "left").select("batch_id", "n_items", "answer", "run"))
