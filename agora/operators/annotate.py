@@ -21,6 +21,7 @@ import logging
 import random
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -328,6 +329,23 @@ def call_with_retry(fn, *args, initial=schemas.RETRY_INITIAL_S,
             return None
 
 
+#: Prompts that cross into Python at once: they are long, and a call takes far longer than a batch.
+CALL_PROMPTS = 256
+
+
+@contextmanager
+def small_batches(spark, rows: int):
+    """At most ``rows`` rows an Arrow batch in jobs that are planned and run inside, whatever the session has."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    now = int(before)
+    spark.conf.set(name, str(min(rows, now) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def annotate_prompts(prompts: DataFrame, annotator: str = "offline", options: dict | None = None,
                      retry: dict | None = None, concurrency: int | None = None) -> DataFrame:
     """UDF1/UDF2: (batch_id, system, user) -> + answer (NULL when the call failed).
@@ -355,7 +373,8 @@ def annotate_prompts(prompts: DataFrame, annotator: str = "offline", options: di
     call = call.asNondeterministic()
     answered = prompts.select("batch_id", "n_items", call(F.col("system"), F.col("user"))
                               .alias("answer"))
-    return cut_lineage(answered)
+    with small_batches(prompts.sparkSession, CALL_PROMPTS):
+        return cut_lineage(answered)
 
 
 # ---------------------------------------------------------------- mapping back
