@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.text import generated_group_name
-from agora.session import shared_dir
+from agora.session import scratch_path, shared_dir
 
 log = logging.getLogger(__name__)
 
@@ -96,6 +96,16 @@ def unique_ordinal(df: DataFrame, ordinal: str, name: str = "_o") -> DataFrame:
         F.monotonically_increasing_id().alias("c")))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` in a Parquet folder of its own, with its row number ``_place`` and a hash of the row, ``_b``: what needs
+    the keys alone reads only them, and whole rows are read once, where they are given out."""
+    path = scratch_path(df.sparkSession, "incoming")
+    rows = df.withColumns({"_b": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),
+                           "_place": F.monotonically_increasing_id()})
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _where_set(df: DataFrame, key: str, step) -> DataFrame:
     """``step`` on the rows with a key; rows without one pass by it, so that NULLs
     never meet in one task of a join."""
@@ -111,25 +121,26 @@ def insert_one_key(stored: DataFrame | None, incoming: DataFrame, key_cols: list
     A row is inserted iff its key is NULL, or it is the first row of its key in
     the batch and the key is not stored yet.
     """
-    key = key_col(*key_cols)
-    incoming = unique_ordinal(incoming, ordinal)
-    cand = first_per_key(incoming, key, "_o")
+    rows = _stored(incoming)
+    # the key's part of every row, in the order of ``unique_ordinal``
+    keys = rows.select(key_col(*key_cols).alias("_k"), F.struct(F.col(ordinal).alias("a"), "_b", "_place").alias("_o"))
+    firsts = keys.filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.min("_o").alias("_o"))
     if stored is not None:
-        sk = stored.select(key.alias("_k")).filter(F.col("_k").isNotNull())
-        cand = _where_set(cand.withColumn("_k", key), "_k",
-                          lambda d: d.join(sk, "_k", "left_anti")).drop("_k")
-    ignored = incoming.join(cand.select("_o"), "_o", "left_anti")
-    return cand.drop("_o"), ignored.drop("_o")
+        sk = stored.select(key_col(*key_cols).alias("_k")).filter(F.col("_k").isNotNull())
+        firsts = firsts.join(sk, "_k", "left_anti")
+    kept = cut_lineage(firsts.select("_o._place").unionByName(
+        keys.filter(F.col("_k").isNull()).select("_o._place")))
+    inserted, ignored = (rows.join(kept, "_place", how).drop("_place", "_b") for how in ("left_semi", "left_anti"))
+    return inserted, ignored
 
 
 # ---------------------------------------------------------------- M1 / M5
 def _placed(df: DataFrame, ordinal: str, key1: Column, key2: Column) -> tuple[DataFrame, DataFrame]:
-    """(``df`` checkpointed with its row number ``_place``; ``_place``, both keys and a dense order ``_o``).
+    """(``df`` stored with its row number ``_place``; ``_place``, both keys and a dense order ``_o``).
     Rows that share an ordinal are ordered by a hash of the row, then by place (repeated rows)."""
-    rows = cut_lineage(df).withColumn("_place", F.monotonically_increasing_id())
-    keys = rows.select(F.col(ordinal).alias("_a"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_b"),
-                       "_place", key1.alias("_k1"), key2.alias("_k2"))
-    return rows, with_ordinal(keys, ["_a", "_b", "_place"], "_o").select("_o", "_place", "_k1", "_k2")
+    rows = _stored(df)
+    keys = rows.select(F.col(ordinal).alias("_a"), "_b", "_place", key1.alias("_k1"), key2.alias("_k2"))
+    return rows.drop("_b"), with_ordinal(keys, ["_a", "_b", "_place"], "_o").select("_o", "_place", "_k1", "_k2")
 
 
 def _firsts(work: DataFrame, key: str) -> DataFrame:
