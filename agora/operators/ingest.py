@@ -135,10 +135,13 @@ def insert_one_key(stored: DataFrame | None, incoming: DataFrame, key_cols: list
 
 
 # ---------------------------------------------------------------- M1 / M5
-def _placed(df: DataFrame, ordinal: str, key1: Column, key2: Column) -> tuple[DataFrame, DataFrame]:
-    """(``df`` stored with its row number ``_place``; ``_place``, both keys and a dense order ``_o``).
-    Rows that share an ordinal are ordered by a hash of the row, then by place (repeated rows)."""
+def _placed(df: DataFrame, ordinal: str, key1: Column, key2: Column, unique: bool) -> tuple[DataFrame, DataFrame]:
+    """(``df`` stored with its row number ``_place``; ``_place``, both keys and an order ``_o``: the ordinal itself where
+    it is ``unique``, else a dense one, in which rows that share an ordinal are ordered by a hash of the row, then by
+    place (repeated rows))."""
     rows = _stored(df)
+    if unique:
+        return rows.drop("_b"), rows.select(F.col(ordinal).alias("_o"), "_place", key1.alias("_k1"), key2.alias("_k2"))
     keys = rows.select(F.col(ordinal).alias("_a"), "_b", "_place", key1.alias("_k1"), key2.alias("_k2"))
     return rows.drop("_b"), with_ordinal(keys, ["_a", "_b", "_place"], "_o").select("_o", "_place", "_k1", "_k2")
 
@@ -197,23 +200,26 @@ def _followed(work: DataFrame) -> tuple[DataFrame, int]:
 
 def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: list[str],
                     key2_cols: list[str], ordinal: str, max_rounds: int | None = None,
-                    taken: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
+                    taken: tuple[DataFrame, DataFrame] | None = None,
+                    unique: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """M1 / M5: (inserted, ignored, rounds) for a table with two unique keys.
 
     Exactly equal to inserting the rows one by one in ``ordinal`` order with
     INSERT OR IGNORE against both keys. ``taken`` gives the stored keys (``_k1``; ``_k2``) in place of
     ``stored``. ``max_rounds`` is only a safety valve for tests; ``None`` runs to completion; a pointer
-    jump counts as a round.
+    jump counts as a round. ``unique`` says that no two rows share an ordinal and none lacks it (one made by
+    ``with_ordinal``), so that rows need not be sorted and numbered again.
     """
     k1, k2 = key_col(*key1_cols), key_col(*key2_cols)
-    rows, work = _placed(incoming, ordinal, k1, k2)
+    rows, work = _placed(incoming, ordinal, k1, k2, unique)
     anti = lambda d, key, gone: _where_set(d, key, lambda x: x.join(gone, key, "left_anti"))
     if taken is None and stored is not None:
         taken = stored.select(k1.alias("_k1")), stored.select(k2.alias("_k2"))
     if taken is not None:
         for key, gone in zip(("_k1", "_k2"), taken):
             work = anti(work, key, gone.filter(F.col(key).isNotNull()).distinct())
-    work = cut_lineage(work)
+    if taken is not None or not unique:  # else it is a scan of the stored rows
+        work = cut_lineage(work)
     # rows with both keys NULL never collide: kept now; every later kept row has a
     # non-NULL key, so the anti-joins on the taken keys also drop it from ``work``
     both_null = F.col("_k1").isNull() & F.col("_k2").isNull()

@@ -59,7 +59,7 @@ def q_ingest_posts_two_key(spark, sf_dir):
     """M1 on lineitem: key 1 = (orderkey, linenumber), key 2 = (partkey, suppkey)."""
     rows = lineitem_with_ordinal(spark, sf_dir)
     inserted, _, _ = ingest.insert_two_keys(None, rows, ["l_orderkey", "l_linenumber"],
-                                            ["l_partkey", "l_suppkey"], "ordinal")
+                                            ["l_partkey", "l_suppkey"], "ordinal", unique=True)
     return inserted.select("ordinal", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 

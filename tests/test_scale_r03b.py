@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from agora import schemas
 from agora.functions import html
-from agora.operators import extract
+from agora.operators import extract, ingest, keyword_index
+from agora.session import scratch_path
 
 PLAIN = ("<!DOCTYPE html><html><head><title>a &amp; b</title><style>p{}</style><script>var t='</p>';</script></head><body>"
          "<!-- ad --><p>one<p class=\"x y\" data-a='1'>two<br/>three<div id=k hidden><IMG SRC=\"i.png\"/>four</div></body></html>")
@@ -49,3 +51,36 @@ def test_records_leave_a_task_in_columns():
     out, = extract._arrow_fn(schemas.ARTICLE_RULES, extract.ALL_FIELDS)([pages])
     assert [c and c[0]["comment_text"] for c in out.column("comments").to_pylist()] == ["c", []]
     assert out.column("author_name").to_pylist() == ["t", None] and out.column("url").to_pylist() == ["u", None]
+
+
+def test_postings_of_a_batch_share_a_stored_row(spark):
+    posts = spark.range(0, 300, 1, 1).select(F.col("id").alias("internal_post_id"), F.lit("Ring of steel").alias("post_content_raw"))
+    comments = posts.select("internal_post_id", (F.col("internal_post_id") * 10).alias("comment_id"),
+                            F.concat(F.lit("ring "), "internal_post_id").alias("comment_text"))
+    path = keyword_index.build(posts, comments, scratch_path(spark, "grams"))
+    postings = 300 * len("Ring of steel") - 300 * 2 + sum(len(f"ring {i}") - 2 for i in range(300))
+    assert spark.read.parquet(path).count() < postings / 4
+    assert keyword_index.candidates(spark, path, "RING").count() == 300
+    assert [r[0] for r in keyword_index.candidates(spark, path, "ring 123").collect()] == [123]
+
+
+def test_postings_of_long_texts_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(keyword_index, "PIECE", 50)
+    monkeypatch.setattr(keyword_index, "LETTERS", 30)
+    texts = ["".join(chr(97 + (i * i + i // 7) % 26) for i in range(n)) for n in (50, 51, 52, 99, 100, 101, 102, 400)]
+    texts += ["\U0001f600\U0001f601\U0001f602", "a\x00b", "".join(chr(0x4e00 + i) for i in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {(r["post_id"], r["gram"]) for r in keyword_index.postings(rows, "t", "id", None).collect()}
+    assert got == {(k, t[i:i + 3]) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+
+
+def test_rows_of_a_unique_ordinal_are_not_numbered_again(spark, monkeypatch):
+    rows = spark.createDataFrame([(i * 3, i * 7 % 5 if i % 6 else None, i * 11 % 8 if i % 7 else None) for i in range(60)],
+                                 "o long, a long, b long")
+    stored = spark.createDataFrame([(900, 1, 3)], "o long, a long, b long")
+    for before in (None, stored):
+        want = [sorted(map(str, d.collect())) for d in ingest.insert_two_keys(before, rows, ["a"], ["b"], "o")[:2]]
+        with monkeypatch.context() as m:
+            m.setattr(ingest, "with_ordinal", lambda *_: pytest.fail("sorted again"))
+            got = ingest.insert_two_keys(before, rows, ["a"], ["b"], "o", unique=True)[:2]
+        assert [sorted(map(str, d.collect())) for d in got] == want
