@@ -73,9 +73,11 @@ def parse_time_text(text: Column, base: Column) -> Column:
     s = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     # a weekday before a full date says nothing more
     s = F.regexp_replace(s, rf"(?i)^({'|'.join(_DAYS)}),? (?!at\b)(?=[a-z0-9])", "")
-    return bind(F.struct(s.alias("s"), base.alias("base")),
-                lambda v: bind(F.struct(v["s"].alias("s"), F.lower(v["s"]).alias("low"), v["base"].alias("base")),
-                               lambda b: _parsed(b["s"], b["low"], b["base"])))
+    # most rows have no text: for them none of the forms is tried
+    return F.when(text.isNotNull(), bind(
+        F.struct(s.alias("s"), base.alias("base")),
+        lambda v: bind(F.struct(v["s"].alias("s"), F.lower(v["s"]).alias("low"), v["base"].alias("base")),
+                       lambda b: _parsed(b["s"], b["low"], b["base"]))))
 
 
 def _parsed(s: Column, low: Column, base: Column) -> Column:

@@ -65,20 +65,28 @@ class _Reader:
         self.rules, self.want = rules, set(fields)
         self.matcher, self.numbers = compiled(rules)
         self.found = None
+        self.matches = {}
         self.tags = {}
 
+    def matched(self, rule):
+        """What the rule's selectors match on this page, in their order, without those that match nothing: most of them."""
+        found = self.matches.get(rule)
+        if found is None:
+            found = self.matches[rule] = [m for m in map(self.found.of, self.numbers[rule]) if m[0]]
+        return found
+
     def first_match(self, node, rule):
         # rule cascade: the first element matching the first selector that matches
-        for sels in self.numbers[rule]:
-            n = self.found.first(sels, node)
+        for at, nodes in self.matched(rule):
+            n = html.first_inside(at, nodes, node)
             if n is not None:
                 return n
         return None
 
     def first_text(self, node, rule, sep=" "):
         # the first selector giving a non-empty text wins
-        for sels in self.numbers[rule]:
-            n = self.found.first(sels, node)
+        for at, nodes in self.matched(rule):
+            n = html.first_inside(at, nodes, node)
             t = n.text(sep) if n is not None else ""
             if t:
                 return t
@@ -162,10 +170,10 @@ class _Reader:
 
     def one(self, page):
         root = html.parse(page, self.tags)
-        self.found = self.matcher.walk(root)
+        self.found, self.matches = self.matcher.walk(root), {}
         author = self.first_text(root, "author_name")
         tt = self.post_time(root) if "posted_at" in self.want else None
-        return {
+        record = {
             "author_pic": self.image_of(self.first_match(root, "author_pic"))
             if "post_author_profile_pic_url" in self.want else None,
             "author_name": author if "post_author_name" in self.want else None,
@@ -178,6 +186,8 @@ class _Reader:
             "has_time_marker": self.first_match(root, "time_marker") is not None,
             "comments": self.comments(root) if "comments" in self.want else [],
         }
+        html.release(root)
+        return record
 
 
 def _arrow_fn(rules: dict, fields: tuple):

@@ -96,14 +96,18 @@ def unique_ordinal(df: DataFrame, ordinal: str, name: str = "_o") -> DataFrame:
         F.monotonically_increasing_id().alias("c")))
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in a Parquet folder of its own below the shared one: a table whose later readers read only their columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _stored(df: DataFrame) -> DataFrame:
-    """``df`` in a Parquet folder of its own, with its row number ``_place`` and a hash of the row, ``_b``: what needs
+    """``df`` landed, with its row number ``_place`` and a hash of the row, ``_b``: what needs
     the keys alone reads only them, and whole rows are read once, where they are given out."""
-    path = scratch_path(df.sparkSession, "incoming")
-    rows = df.withColumns({"_b": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),
-                           "_place": F.monotonically_increasing_id()})
-    rows.write.parquet(path)
-    return df.sparkSession.read.schema(rows.schema).parquet(path)
+    return landed(df.withColumns({"_b": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),
+                                  "_place": F.monotonically_increasing_id()}), "incoming")
 
 
 def _where_set(df: DataFrame, key: str, step) -> DataFrame:
@@ -122,28 +126,31 @@ def insert_one_key(stored: DataFrame | None, incoming: DataFrame, key_cols: list
     the batch and the key is not stored yet.
     """
     rows = _stored(incoming)
+    kept = cut_lineage(_kept_of_one_key(stored, rows, key_cols, ordinal).select("_place"))
+    inserted, ignored = (rows.join(kept, "_place", how).drop("_place", "_b") for how in ("left_semi", "left_anti"))
+    return inserted, ignored
+
+
+def _kept_of_one_key(stored: DataFrame | None, rows: DataFrame, key_cols: list[str], ordinal: str) -> DataFrame:
+    """a (the ordinal), _b, _place: those of ``rows`` (``_stored``) that a table with one unique key takes."""
     # the key's part of every row, in the order of ``unique_ordinal``
     keys = rows.select(key_col(*key_cols).alias("_k"), F.struct(F.col(ordinal).alias("a"), "_b", "_place").alias("_o"))
     firsts = keys.filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.min("_o").alias("_o"))
     if stored is not None:
         sk = stored.select(key_col(*key_cols).alias("_k")).filter(F.col("_k").isNotNull())
         firsts = firsts.join(sk, "_k", "left_anti")
-    kept = cut_lineage(firsts.select("_o._place").unionByName(
-        keys.filter(F.col("_k").isNull()).select("_o._place")))
-    inserted, ignored = (rows.join(kept, "_place", how).drop("_place", "_b") for how in ("left_semi", "left_anti"))
-    return inserted, ignored
+    return firsts.select("_o.*").unionByName(keys.filter(F.col("_k").isNull()).select("_o.*"))
 
 
 # ---------------------------------------------------------------- M1 / M5
-def _placed(df: DataFrame, ordinal: str, key1: Column, key2: Column, unique: bool) -> tuple[DataFrame, DataFrame]:
-    """(``df`` stored with its row number ``_place``; ``_place``, both keys and an order ``_o``: the ordinal itself where
+def _placed(rows: DataFrame, ordinal: str, key1: Column, key2: Column, unique: bool) -> DataFrame:
+    """``_place``, both keys and an order ``_o`` of ``rows`` (``_stored``): the ordinal itself where
     it is ``unique``, else a dense one, in which rows that share an ordinal are ordered by a hash of the row, then by
-    place (repeated rows))."""
-    rows = _stored(df)
+    place (repeated rows)."""
     if unique:
-        return rows.drop("_b"), rows.select(F.col(ordinal).alias("_o"), "_place", key1.alias("_k1"), key2.alias("_k2"))
+        return rows.select(F.col(ordinal).alias("_o"), "_place", key1.alias("_k1"), key2.alias("_k2"))
     keys = rows.select(F.col(ordinal).alias("_a"), "_b", "_place", key1.alias("_k1"), key2.alias("_k2"))
-    return rows.drop("_b"), with_ordinal(keys, ["_a", "_b", "_place"], "_o").select("_o", "_place", "_k1", "_k2")
+    return with_ordinal(keys, ["_a", "_b", "_place"], "_o").select("_o", "_place", "_k1", "_k2")
 
 
 def _firsts(work: DataFrame, key: str) -> DataFrame:
@@ -210,8 +217,20 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
     jump counts as a round. ``unique`` says that no two rows share an ordinal and none lacks it (one made by
     ``with_ordinal``), so that rows need not be sorted and numbered again.
     """
+    rows = _stored(incoming)
+    kept, rounds = _kept_of_two_keys(stored, rows, key1_cols, key2_cols, ordinal, max_rounds, taken, unique)
+    kept = cut_lineage(kept.select("_place"))
+    inserted, ignored = (rows.join(kept, "_place", how).drop("_place", "_b") for how in ("left_semi", "left_anti"))
+    return inserted, ignored, rounds
+
+
+def _kept_of_two_keys(stored: DataFrame | None, rows: DataFrame, key1_cols: list[str], key2_cols: list[str], ordinal: str,
+                      max_rounds: int | None = None, taken: tuple[DataFrame, DataFrame] | None = None,
+                      unique: bool = False) -> tuple[DataFrame, int]:
+    """(_o, an order that follows the ordinal, and _place of those of ``rows`` (``_stored``) that a table with two unique
+    keys takes; rounds)."""
     k1, k2 = key_col(*key1_cols), key_col(*key2_cols)
-    rows, work = _placed(incoming, ordinal, k1, k2, unique)
+    work = _placed(rows, ordinal, k1, k2, unique)
     anti = lambda d, key, gone: _where_set(d, key, lambda x: x.join(gone, key, "left_anti"))
     if taken is None and stored is not None:
         taken = stored.select(k1.alias("_k1")), stored.select(k2.alias("_k2"))
@@ -223,7 +242,7 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
     # rows with both keys NULL never collide: kept now; every later kept row has a
     # non-NULL key, so the anti-joins on the taken keys also drop it from ``work``
     both_null = F.col("_k1").isNull() & F.col("_k2").isNull()
-    kept_parts: list[DataFrame] = [work.filter(both_null).select("_place")]
+    kept_parts: list[DataFrame] = [work.filter(both_null).select("_o", "_place")]
     work = work.filter(~both_null)
     rounds, before, slow = 0, work.count(), False
     while before:
@@ -232,7 +251,7 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("two-key insert did not converge within max_rounds")
         kept = cut_lineage(found)
-        kept_parts.append(kept.select("_place"))
+        kept_parts.append(kept.select("_o", "_place"))
         for key in ("_k1", "_k2"):
             work = anti(work, key, kept.select(key).filter(F.col(key).isNotNull()))
         work = cut_lineage(work)
@@ -241,11 +260,8 @@ def insert_two_keys(stored: DataFrame | None, incoming: DataFrame, key1_cols: li
     kept_all = kept_parts[0]
     for p in kept_parts[1:]:
         kept_all = kept_all.unionByName(p)
-    kept_all = cut_lineage(kept_all)
-    inserted = rows.join(kept_all, "_place", "left_semi").drop("_place")
-    ignored = rows.join(kept_all, "_place", "left_anti").drop("_place")
     log.info("two-key insert converged in %d rounds", rounds)
-    return inserted, ignored, rounds
+    return kept_all, rounds
 
 
 # ---------------------------------------------------------------- groups
@@ -348,10 +364,17 @@ def cap_per_group(df: DataFrame, group_cols: list[str], ordinal: str, n: int) ->
 # ---------------------------------------------------------------- records -> store
 def _next_ids(existing: DataFrame, id_col: str, new: DataFrame, order_cols: list[str],
               out_col: str) -> DataFrame:
-    """New surrogate ids continuing after the stored maximum, dense in ``order_cols`` order."""
+    """_place and a new surrogate id of each row of ``new``, continuing after the stored maximum, dense in ``order_cols`` order."""
     base = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    return with_ordinal(new, order_cols, "_seq").withColumn(
-        out_col, (F.lit(int(base)) + F.col("_seq")).cast("bigint")).drop("_seq")
+    return cut_lineage(with_ordinal(new, order_cols, "_seq").select(
+        "_place", (F.lit(int(base)) + F.col("_seq")).cast("bigint").alias(out_col)))
+
+
+def _with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` that have an id, with it. Where none has (a re-scrape), no row is read."""
+    if ids.isEmpty():
+        rows = rows.filter(F.lit(False))
+    return rows.join(ids, "_place").drop("_place")
 
 
 def resolve_post_ids(records: DataFrame, posts: DataFrame) -> DataFrame:
@@ -373,26 +396,29 @@ def ingest_records(posts: DataFrame, comments: DataFrame, records: DataFrame,
     ``comments`` (the extraction output). Posts are inserted first-wins on both
     unique keys; every record - inserted or already stored - is then resolved to
     its stored post (Q10) and its comments are inserted first-wins on the
-    external comment id. Returns the new table snapshots and the run counts.
+    external comment id. New rows are written once, beside the stored ones.
+    Returns the new table snapshots and the run counts.
     """
     from agora import schemas
     from agora.operators.extract import explode_comments
     from agora.sources.bindings import conform
-    recs = records.withColumn("group_id", F.lit(int(group_id)).cast("bigint"))
-    recs = cut_lineage(recs)
-    ins, ign, _ = insert_two_keys(posts, recs, ["external_post_id"], ["post_url"], ordinal)
-    new_posts = _next_ids(posts, "internal_post_id", ins, [ordinal], "internal_post_id")
-    new_posts = new_posts.withColumn("is_processed_by_ai", F.lit(False)) \
+    # whole records are written once, and read once for the posts and once for their comments; which of them go in,
+    # under what ids, is found on keys and places alone
+    rows = _stored(records.withColumn("group_id", F.lit(int(group_id)).cast("bigint")))
+    recs = rows.drop("_b")
+    kept = cut_lineage(_kept_of_two_keys(posts, rows, ["external_post_id"], ["post_url"], ordinal)[0])
+    ids = _next_ids(posts, "internal_post_id", kept, ["_o"], "internal_post_id")
+    new_posts = _with_ids(recs, ids).withColumn("is_processed_by_ai", F.lit(False)) \
         .withColumn("post_content_raw", F.col("content_text"))
-    posts_after = posts.unionByName(conform(new_posts, schemas.POSTS))
-    resolved = resolve_post_ids(recs.drop("group_id"), posts_after)
-    cm = explode_comments(resolved, keep=("internal_post_id",)) \
-        .filter(F.col("internal_post_id").isNotNull()) \
-        .withColumn("_ord", F.struct(F.col("page_id"), F.col("pos")))
-    c_ins, c_ign = insert_one_key(comments, cm, ["external_comment_id"], "_ord")
-    new_c = _next_ids(comments, "comment_id", c_ins.withColumn("_p", F.col("_ord.page_id"))
-                      .withColumn("_q", F.col("_ord.pos")), ["_p", "_q"], "comment_id")
-    new_c = new_c.withColumn("is_processed_by_ai_comment", F.lit(False))
-    comments_after = comments.unionByName(conform(new_c, schemas.COMMENTS))
+    posts_after = posts.unionByName(landed(conform(new_posts, schemas.POSTS), "posts"))
+    resolved = resolve_post_ids(recs.drop("group_id", "_place"), posts_after)
+    cm = _stored(explode_comments(resolved, keep=("internal_post_id",))
+                 .filter(F.col("internal_post_id").isNotNull())
+                 .withColumn("_ord", F.struct(F.col("page_id"), F.col("pos"))))
+    c_kept = cut_lineage(_kept_of_one_key(comments, cm, ["external_comment_id"], "_ord"))
+    c_ids = _next_ids(comments, "comment_id", c_kept, ["a", "_b", "_place"], "comment_id")
+    new_c = _with_ids(cm.drop("_b"), c_ids).withColumn("is_processed_by_ai_comment", F.lit(False))
+    comments_after = comments.unionByName(landed(conform(new_c, schemas.COMMENTS), "comments"))
+    ign = recs.join(kept.select("_place"), "_place", "left_anti").drop("_place")
     return {"posts": posts_after, "comments": comments_after, "inserted_posts": new_posts,
             "ignored_records": ign, "inserted_comments": new_c}

@@ -84,3 +84,68 @@ def test_rows_of_a_unique_ordinal_are_not_numbered_again(spark, monkeypatch):
             m.setattr(ingest, "with_ordinal", lambda *_: pytest.fail("sorted again"))
             got = ingest.insert_two_keys(before, rows, ["a"], ["b"], "o", unique=True)[:2]
         assert [sorted(map(str, d.collect())) for d in got] == want
+
+
+RECORD = ("page_id long, post_url string, external_post_id string, scraped_at timestamp_ntz, post_author_profile_pic_url string, "
+          "post_author_name string, content_text string, post_image_url string, time_text string, posted_at timestamp_ntz, "
+          "comments array<struct<pos:int,commenter_profile_pic_url:string,commenter_name:string,comment_text:string,href:string,"
+          "data_comment_id:string,time_text:string>>")
+
+
+def _records(spark, rows):
+    """(page, url, id, ids of comments) -> records"""
+    return spark.createDataFrame([(p, u, e, None, None, "a", f"text {p}", None, None, None,
+                                   [(i, None, "c", "t", None, c, None) for i, c in enumerate(cs)]) for p, u, e, cs in rows], RECORD)
+
+
+def test_whole_records_are_stored_once_and_a_rescrape_writes_none(spark, monkeypatch):
+    cut, landed = ingest.cut_lineage, {}
+
+    def narrow(df):
+        assert not {"content_text", "comments", "comment_text", "post_content_raw"} & set(df.columns), "whole rows are checkpointed"
+        return cut(df)
+
+    def land(df, name, land=ingest.landed):
+        out = land(df, name)
+        landed.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ingest, "cut_lineage", narrow)
+    monkeypatch.setattr(ingest, "landed", land)
+    rows = [(7, "u7", "e7", ["k", "m"]), (2, "u2", "e2", ["k", "l"]), (5, "u2", "e5", ["n"]), (9, "u9", "e2", []), (3, None, None, ["x"]),
+            (4, "u4", None, ["p"]), (8, "u8", "e8", [])]
+    posts, comments = spark.createDataFrame([], schemas.POSTS), spark.createDataFrame([], schemas.COMMENTS)
+    for shift in (0, 100):
+        again = [(p + shift, u, e, cs) for p, u, e, cs in rows if u or not shift]  # a record without a key never meets a stored one
+        run = ingest.ingest_records(posts, comments, _records(spark, again), group_id=1)
+        posts, comments = run["posts"], run["comments"]
+        assert sorted((r["internal_post_id"], r["post_content_raw"]) for r in posts.collect()) == [
+            (1, "text 2"), (2, "text 3"), (3, "text 4"), (4, "text 7"), (5, "text 8")]
+        assert sorted((r["comment_id"], r["internal_post_id"], r["external_comment_id"]) for r in comments.collect()) == [
+            (1, 1, "k"), (2, 1, "l"), (3, 3, "p"), (4, 1, "n"), (5, 4, "m")]
+        assert run["ignored_records"].count() == (6 if shift else 2)
+        assert run["inserted_posts"].count() == (0 if shift else 5) and run["inserted_comments"].count() == (0 if shift else 5)
+    assert landed["posts"] == [5, 0] and landed["comments"] == [5, 0]
+
+
+def test_a_page_is_freed_without_the_collector():
+    import gc
+    reader = extract._Reader(schemas.ARTICLE_RULES, extract.ALL_FIELDS)
+    nodes = lambda: sum(type(o) is html.Node for o in gc.get_objects())
+    gc.collect()
+    gc.disable()
+    try:
+        for page in (PLAIN, "<article><p>a<div><button>b</button></div><li>c</article>"):
+            reader.one(page)
+            reader.found, reader.matches = None, {}
+            assert nodes() == 0
+    finally:
+        gc.enable()
+
+
+def test_no_form_of_a_time_is_tried_where_there_is_no_text(spark):
+    from agora.functions import timeparse
+    parsed = timeparse.parse_time_text(F.col("t"), F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+    df = spark.createDataFrame([(None,), ("1 day ago",), ("",)], "t string").select("t", parsed.alias("ts"))
+    assert [str(r["ts"]) for r in df.collect()] == ["None", "2024-01-01 00:00:00", "None"]
+    assert "CASE WHEN isnotnull(t" in df._jdf.queryExecution().analyzed().toString()
